@@ -1,25 +1,37 @@
-"""Session helpers: the shared checkpoint folder, lineage cuts and Arrow batch sizes."""
+"""Session helpers: lineage cuts in the shared checkpoint folder, and Arrow batch sizes."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to a table in the shared checkpoint folder and read again: a lost executor costs no recomputation."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches small: documents may be long, and a batch is held whole in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text: the key of a document is its id and a hash of its text.
+
+    Rows that share both are the same document and are treated alike, so repeated rows and repeated ids do no harm.
+    """
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
