@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, linededup, neardup, token_counts
+from . import bpe, chat, decontaminate, licenses, linededup, neardup, spandedup, token_counts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,12 +49,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spandedup.changed_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op6_byte_bpe, op7_line_dedup, op9_near_duplicates]
+    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates]
     return {f.__name__: f for f in found}
 
 
