@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, linededup, neardup, spandedup, token_counts
+from . import bpe, chat, decontaminate, langid, licenses, linededup, neardup, spandedup, token_counts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,8 +57,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.identify(rows, langid.fit(docs)).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates]
+    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates, op10_language_id]
     return {f.__name__: f for f in found}
 
 
