@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, linededup, neardup, spandedup, token_counts
+from . import ann, bpe, chat, decontaminate, langid, licenses, linededup, neardup, spandedup, token_counts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -41,6 +41,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"), licenses.default_templates(spark))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates, op10_language_id]
+    found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op5_nearest, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates, op10_language_id]
     return {f.__name__: f for f in found}
 
 
