@@ -33,7 +33,8 @@ from .session import cut
 
 SAMPLE, PER_LIST, MAX_LISTS = 10_000, 400, 4096
 REPLICAS, BOUNDARY, TARGET_RECALL = 4, 1.12, 0.97
-LINKS, BLOCK = 16, 4096
+#: Links of a centroid to its nearest, places a walk starts from, and centroids it opens at least.
+LINKS, STARTS, OPENED, BLOCK = 16, 64, 64, 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ class Lists:
     """Centroids in the space with one more component, their graph, and what the sample tells about queries."""
 
     centroids: np.ndarray
-    links: np.ndarray
+    links: list[list[int]]
     radius: float
     sample: np.ndarray
     sample_ids: np.ndarray
@@ -74,7 +75,7 @@ class Lists:
     def search(self, query: np.ndarray, k: int) -> list[int]:
         """Lists of a query (lifted): best-first over the graph, until the next is beyond the ratio and k rows are held."""
         c, ratio = self.centroids, self.ratio
-        starts = range(0, len(c), max(1, len(c) // 8))
+        starts = range(0, len(c), max(1, len(c) // STARTS))
         d2 = {i: float(((c[i] - query) ** 2).sum()) for i in starts}
         heap = [(d, i) for i, d in d2.items()]
         heap.sort()
@@ -82,11 +83,11 @@ class Lists:
         while heap:
             d, i = heappop(heap)
             best = min(best, d)
-            if d > best * ratio**2 and held >= REPLICAS * (k + 1):
+            if d > best * ratio**2 and held >= REPLICAS * (k + 1) and len(out) >= OPENED:
                 break
             out.append((d, i))
             held += int(self.counts[i]) if self.counts is not None else k
-            new = [j for j in self.links[i].tolist() if j not in d2]
+            new = [j for j in self.links[i] if j not in d2]
             if new:
                 for j, dj in zip(new, ((c[new] - query) ** 2).sum(1).tolist(), strict=True):
                     d2[j] = dj
@@ -117,12 +118,16 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -
     return c
 
 
-def centroid_graph(c: np.ndarray) -> np.ndarray:
-    """For each centroid its nearest others, and the next one by number so that the graph is connected."""
+def centroid_graph(c: np.ndarray) -> list[list[int]]:
+    """For each centroid its nearest others, those it is nearest to, and the next by number, so that all connect."""
     d = (c * c).sum(1) - 2 * c @ c.T + (c * c).sum(1)[:, None]
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, 1, kind="stable")[:, : min(LINKS, len(c) - 1)]
-    return np.hstack([near, (np.arange(len(c)) + 1)[:, None] % len(c)])
+    links = [{(i + 1) % len(c), *near[i].tolist()} for i in range(len(c))]
+    for i, row in enumerate(near.tolist()):
+        for j in row:
+            links[j].add(i)
+    return [sorted(x) for x in links]
 
 
 def fit(rows: DataFrame, k: int) -> Lists:
@@ -135,7 +140,7 @@ def fit(rows: DataFrame, k: int) -> Lists:
     x = np.array([r["embedding"] for r in drawn], np.float64).reshape(len(drawn), -1)
     ids = np.array([r["vec_id"] for r in drawn])
     lists = max(1, min(MAX_LISTS, len(x) // 8, round(n / PER_LIST)))
-    made = Lists(np.zeros((1, 1)), np.zeros((1, 1), np.int64), radius * (1 + 1e-9), x, ids)
+    made = Lists(np.zeros((1, 1)), [[0]], radius * (1 + 1e-9), x, ids)
     if not len(x):
         return made
     lifted = made.lifted(x)
