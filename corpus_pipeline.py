@@ -1,18 +1,60 @@
-"""Corpus cleaning in stages: each stage takes (spark, docs, sf_dir) and gives the documents it keeps."""
+"""Corpus cleaning in stages: each takes (spark, docs, sf_dir) and gives what it keeps, for the next one to work on.
+
+1. language ID: documents whose language isn't recognised go (no letters, or a rejected prediction);
+2. line dedup: repeated lines go, and documents that hold nothing else;
+3. MinHash near-dedup: one document of each group of near-duplicates stays;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. byte-level BPE: each document's token ids, decoded again, as counts and digests.
+
+All but the last give the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graindex.llm import bpe, decontaminate, langid, linededup, neardup
+from graindex.llm.session import cut
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
 #: (name, function) of each stage, in order.
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 #: No SQL expresses the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to documents."""
+    """Apply every stage to documents; each stage's result is written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
