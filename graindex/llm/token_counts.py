@@ -14,15 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .session import cut
 
 #: Lengths in one range of the two-level sums.
 RANGE = 1024
 
 
 def length_histogram(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """One row a length that occurs: n_tokens, n_docs."""
+    """One row a length that occurs: n_tokens, n_docs. It is written out, so that no later use encodes again."""
     counted = bpe.lengths(docs.select(F.col(text)), path, pattern, text)
-    return counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return cut(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
