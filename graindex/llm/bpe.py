@@ -12,6 +12,7 @@ one very long text costs its ids and a block.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches
-from .textkernel import Runs, mix
+from .textkernel import Runs, chunks, mix
 
-#: Pre-tokens taken at a time, and the most that a worker's cache holds.
-BLOCK, CACHE = 50_000, 400_000
+#: Characters taken at a time, the most pre-tokens that a worker's cache holds, and the rank of no token.
+BLOCK_CHARS, CACHE, NONE = 200_000, 500_000, 1 << 40
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
@@ -81,6 +82,7 @@ class Vocabulary:
         self.entries: list[tuple[bytes, int]] = [(b"", -1)] * len(tokens)
         for t, i in zip(tokens, place.tolist(), strict=True):
             self.entries[i] = (t, ranks[t])
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
 
     def whole(self, pieces: list[bytes]) -> list[int]:
@@ -95,46 +97,63 @@ class Vocabulary:
     def merge(self, piece: bytes) -> list[int]:
         """Second tier: repeatedly join the neighbours of lowest rank, leftmost first."""
         rank, n = self.ranks.get, len(piece)
+        ids = [self.bytes[x] for x in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        # the rank of the pair that begins at each place, and a heap of rank * n + place; a rank that changed is stale
+        pair = [rank(piece[i : i + 2], NONE) for i in range(n - 1)]
+        pair.append(NONE)
+        heap = [r * n + i for i, r in enumerate(pair) if r < NONE]
         heapify(heap)
-        gone = bytearray(n)
         while heap:
-            _, i, end = heappop(heap)
+            r, i = divmod(heappop(heap), n)
+            if pair[i] != r:
+                continue
             j = after[i]
-            if gone[i] or j >= n or after[j] != end:
-                continue  # one of the two has been merged since
-            gone[j], after[i] = 1, end
+            end = after[j]
+            ids[i], ids[j], pair[j], after[i] = r, -1, NONE, end
             if end < n:
                 before[end] = i
-                if (r := rank(piece[i : after[end]])) is not None:
-                    heappush(heap, (r, i, after[end]))
-            if (h := before[i]) >= 0 and (r := rank(piece[h:end])) is not None:
-                heappush(heap, (r, h, end))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
-
-    def blocks(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, a block of pre-tokens at a time."""
-        matches = self.pattern.finditer(text)
-        while tokens := [m[0] for m in islice(matches, BLOCK)]:
-            self.learn(set(tokens))
-            yield b"".join(map(self.cache.__getitem__, tokens))
+                pair[i] = r = rank(piece[i : after[end]], NONE)
+                if r < NONE:
+                    heappush(heap, r * n + i)
+            else:
+                pair[i] = NONE
+            if i:
+                h = before[i]
+                pair[h] = r = rank(piece[h:end], NONE)
+                if r < NONE:
+                    heappush(heap, r * n + h)
+        return [x for x in ids if x >= 0]
 
     def learn(self, tokens: set[str]) -> None:
+        """Put the ids of all these pre-tokens into the cache."""
         if len(self.cache) + len(tokens) > CACHE:
             self.cache.clear()
-        new = [t for t in tokens if t not in self.cache]
-        if new:
+        if new := list(tokens.difference(self.cache)):
             pieces = [t.encode() for t in new]
+            merge, cache = self.merge, self.cache
             for t, piece, i in zip(new, pieces, self.whole(pieces), strict=True):
-                self.cache[t] = np.array([i] if i >= 0 else self.merge(piece), "<u4").tobytes()
+                cache[t] = array("I", (i,) if i >= 0 else merge(piece)).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; neighbouring texts are learnt together."""
+        out: list[bytes] = []
+        for _, part in chunks(texts, BLOCK_CHARS):
+            if len(part[0]) > 4 * BLOCK_CHARS:
+                out += [self.encode_long(t) for t in part]
+                continue
+            tokens = [self.pattern.findall(t) for t in part]
+            self.learn(set().union(*tokens))
+            out += [b"".join(map(self.cache.__getitem__, t)) for t in tokens]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.blocks(text))
+    def encode_long(self, text: str) -> bytes:
+        """A very long text by blocks of pre-tokens."""
+        matches, out = self.pattern.finditer(text), []
+        while tokens := [m[0] for m in islice(matches, BLOCK_CHARS // 4)]:
+            self.learn(set(tokens))
+            out.append(b"".join(map(self.cache.__getitem__, tokens)))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -180,7 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = held.get()
         for texts in batches:
-            yield pd.Series([v.encode(t or "") for t in texts], dtype=object)
+            yield pd.Series(v.encode_all(texts), dtype=object)
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
@@ -194,7 +213,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text", length
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = held.get()
         for texts in batches:
-            yield pd.Series([sum(len(b) for b in v.blocks(t or "")) // 4 for t in texts], dtype="int64")
+            yield pd.Series([len(b) // 4 for b in v.encode_all(texts)], dtype="int64")
 
     return docs.withColumn(length, counted(F.col(text)))
 
