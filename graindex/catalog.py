@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import bills, texts, vectors
+
+_PLANS = (bills.REGISTRY, vectors.REGISTRY, texts.REGISTRY)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for plans in _PLANS for name, f in plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plans in _PLANS for name, sql in plans.sql.items()}
