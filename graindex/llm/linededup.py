@@ -2,10 +2,14 @@
 
 Lines end at line feeds; they are compared in lower case with white space trimmed and runs of it as one space. A
 line is the set of its character 6-grams (a shorter line is one gram). MinHash signatures are banded for high recall
-(two lines of Jaccard similarity 0.8 meet with probability 0.995), candidates are verified by the exact Jaccard
+(two lines of Jaccard similarity 0.8 meet with probability 0.99), candidates are verified by the exact Jaccard
 similarity, which must be ``THRESHOLD`` or more, and a distributed union-find joins them (components.py). Equal
 lines are one item throughout. The line that stays is the one with the least (doc_id, text_key, line number).
 
+Lines of ``LONG`` grams or more take all values of a signature from one hash (one bin of grams for each value, empty
+bins filled from others); shorter ones, where bins would be empty, take one hash for each value. Lines up to
+LONG / 0.8 do both, so that any two lines of similarity 0.8 have a kind in common.
+
 Blank lines are left alone. Null and empty texts have no lines and are unchanged. A document all of whose lines but
 blank ones go is dropped by ``dedup_lines``: its content stands elsewhere.
 """
@@ -21,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import STARS, band_keys, similar_components
-from .neardup import HELD_KEYS, pair_similarities, star_batch
+from .components import band_keys, similar_components
+from .neardup import multiplicities
 from .session import bounded_batches, cut, keyed
 from .textkernel import Runs, chunks, code_points, tables
 
-GRAM, THRESHOLD = 6, 0.8
-BANDS, ROWS = 10, 4
+GRAM, THRESHOLD, LONG = 6, 0.8, 64
+BANDS, ROWS = 12, 5
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
@@ -63,7 +67,7 @@ class Lines:
 
 
 def minhash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Signatures of the sets that begin at the places ``at`` of ``h``."""
+    """Signatures of the sets that begin at the places ``at`` of ``h``, by a hash for each value."""
     seeds = np.random.default_rng(20).integers(0, 1 << 32, (k, 2), dtype=np.uint32)
     low = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(at), k), np.uint64)
@@ -72,60 +76,69 @@ def minhash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def binned_minhash(h: np.ndarray, of: np.ndarray, sets: int, k: int) -> np.ndarray:
+    """Signatures of the sets ``of``: the least hash of each of k bins, empty bins filled from bins drawn in a fixed order."""
+    none = np.uint32(0xFFFFFFFF)
+    out = np.full(sets * k, none, np.uint32)
+    bins = ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out, of * k + bins, h.astype(np.uint32))
+    full = out.reshape(sets, k)
+    filled, rng = full.copy(), np.random.default_rng(21)
+    open_sets = np.flatnonzero((full == none).any(1))
+    while len(open_sets):
+        source = rng.integers(0, k, k)
+        part = filled[open_sets]
+        filled[open_sets] = np.where(part == none, full[open_sets][:, source], part)
+        open_sets = open_sets[(filled[open_sets] == none).any(1)]
+    return filled.astype(np.uint64)
+
+
+def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of all lines one after another, and their number for each line."""
+    h, at = lines.grams()
+    many = np.diff(np.append(at, len(h)))
+    line = np.repeat(np.arange(len(at)), many)
+    short, long = many < LONG / THRESHOLD, many >= LONG
+    keys, owner = [], []
+    for kind, mask in ((0, short), (1, long)):
+        mine = np.flatnonzero(mask)
+        if len(mine):
+            inside = mask[line]
+            grams, n = h[inside], many[mine]
+            k = BANDS * ROWS
+            signature = binned_minhash(grams, np.repeat(np.arange(len(mine)), n), len(mine), k) if kind else minhash(grams, np.cumsum(n) - n, k)
+            keys.append(band_keys(signature, ROWS, kind).ravel())
+            owner.append(np.repeat(mine, BANDS))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(keys)[order], np.bincount(owner, minlength=len(at))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no and node of every line that isn't blank."""
+    """doc_id, text_key, line_no, node and band keys of every line that isn't blank."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in chunks(batch.column("text").to_pylist()):
                 lines = Lines(part)
+                keys, many = line_keys(lines)
                 row = pa.array(lines.text + at)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number.astype(np.int32)), pa.array(lines.node)],
-                    ["doc_id", "text_key", "line_no", "node"],
+                    [batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number.astype(np.int32)), pa.array(lines.node), lists],
+                    ["doc_id", "text_key", "line_no", "node", "keys"],
                 )
 
-    return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, line_no int, node long")
-
+    return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, line_no int, node long, keys array<long>")
 
-def stars(docs: DataFrame) -> DataFrame:
-    """Candidate stars of the lines of each task by their MinHash band keys; equal lines of a batch count once."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
-        for batch in batches:
-            for _, part in chunks(batch.column("text").to_pylist()):
-                lines = Lines(part)
-                if not len(lines.node):
-                    continue
-                keys.append(band_keys(minhash(*lines.grams(), BANDS * ROWS), ROWS))
-                nodes.append(lines.node)
-                held += keys[-1].size
-            if held > HELD_KEYS:
-                yield star_batch(np.concatenate(keys), np.concatenate(nodes))
-                keys, nodes, held = [], [], 0
-        if held:
-            yield star_batch(np.concatenate(keys), np.concatenate(nodes))
-
-    return docs.select("text").mapInArrow(found, STARS)
-
-
-def verify(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of (a, b, text_a, text_b) whose gram sets have a Jaccard similarity of ``threshold`` or more."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [t for ab in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True) for t in ab]
-            good = np.zeros(len(both) // 2, bool)
-            for lo in range(0, len(both), 400):
-                lines = Lines(both[lo : lo + 400])
-                h, at = lines.grams()
-                side = np.repeat(lines.text, np.diff(np.append(at, len(h))))
-                n = len(both[lo : lo + 400]) // 2
-                good[lo // 2 : lo // 2 + n] = pair_similarities(h, side // 2, side % 2, n, weighted=False) >= threshold
-            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(kept, "a long, b long")
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of each text, which is one line."""
+    lines = Lines(texts)
+    h, at = lines.grams()
+    return multiplicities(h, np.repeat(lines.text, np.diff(np.append(at, len(h)))))[:2]
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -156,8 +169,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         one = lines.join(nodes, "node").groupBy("node").agg(least.alias("at")).select("at.*", "node")
         return line_texts(docs, one).dropDuplicates(["node"])
 
-    groups = similar_components(stars(docs), texts, verify)
-    rows = lines.join(groups, "node", "left").select("doc_id", "text_key", "line_no", F.coalesce("component", "node").alias("component"))
+    groups = similar_components(lines, texts, features, THRESHOLD)
+    rows = lines.drop("keys").join(groups, "node", "left").select("doc_id", "text_key", "line_no", F.coalesce("component", "node").alias("component"))
     kept = rows.groupBy("component").agg(least.alias("kept"))
     return (
         rows.join(kept, "component")

@@ -24,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import STARS, band_keys, local_stars, similar_components
+from .components import band_keys, similar_components
 from .session import bounded_batches, cut, keyed
 from .textkernel import Runs, Words, chunks, mix, shingles
 
 WORDS, THRESHOLD = 5, 0.8
-#: 16 bands of 4: a pair of similarity 0.8 meets with probability 0.9998.
-BANDS, ROWS = 16, 4
-#: Band keys that a task holds before it combines them.
-HELD_KEYS = 2_000_000
+#: 16 bands of 5: a pair of similarity 0.8 meets with probability 0.998.
+BANDS, ROWS = 16, 5
 
 
 def multiplicities(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,43 +94,29 @@ def content_hashes(words: Words) -> np.ndarray:
     return np.where(n > 0, h | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def contents(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and node (the hash of the text's words, null without words) of each document."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.concatenate([content_hashes(Words(part)) for _, part in chunks(batch.column("text").to_pylist())] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(h, mask=h == 0)], ["doc_id", "text_key", "node"])
-
-    return keyed(docs).mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long")
-
-
-def stars(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Candidate stars of the documents of each task by their DartMinHash band keys."""
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key, node (the hash of the text's words, null without words) and band keys of each document."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
         for batch in batches:
+            nodes, keys = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)]
             for _, part in chunks(batch.column("text").to_pylist()):
                 words = Words(part)
                 h, text, weight = multiplicities(*shingles(words, WORDS)[:2])
-                node = content_hashes(words)
-                some = node != 0
-                keys.append(band_keys(dart_minhash(h, text, weight, len(part), bands * rows), rows)[some])
-                nodes.append(node[some])
-                held += keys[-1].size
-            if held > HELD_KEYS:
-                yield star_batch(np.concatenate(keys), np.concatenate(nodes))
-                keys, nodes, held = [], [], 0
-        if held:
-            yield star_batch(np.concatenate(keys), np.concatenate(nodes))
+                nodes.append(content_hashes(words))
+                keys.append(band_keys(dart_minhash(h, text, weight, len(part), bands * rows), rows))
+            node, key = np.concatenate(nodes), np.concatenate(keys)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * bands), pa.array(key.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node, mask=node == 0), lists], ["doc_id", "text_key", "node", "keys"])
 
-    return docs.select("text").mapInArrow(found, STARS)
+    return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long, keys array<long>")
 
 
-def star_batch(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    key, a, b, linked = local_stars(keys, nodes)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=~linked)], ["key", "a", "b"])
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle that occurs n times as n features, so that Jaccard similarity is that of the weights."""
+    h, text, weight = multiplicities(*shingles(Words(texts), WORDS)[:2])
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return mix(np.repeat(h, weight) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(text, weight)
 
 
 def pair_similarities(hashes: np.ndarray, pair: np.ndarray, side: np.ndarray, pairs: int, weighted: bool = True) -> np.ndarray:
@@ -150,33 +134,17 @@ def pair_similarities(hashes: np.ndarray, pair: np.ndarray, side: np.ndarray, pa
     return np.divide(both, either, out=np.zeros(pairs), where=either > 0)
 
 
-def verify(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of (a, b, text_a, text_b) whose weighted Jaccard similarity is ``threshold`` or more."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [t or "" for ab in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True) for t in ab]
-            good = []
-            for lo in range(0, len(both), 200):
-                part = both[lo : lo + 200]
-                h, text, _ = shingles(Words(part), WORDS)
-                good.append(pair_similarities(h, text // 2, text % 2, len(part) // 2) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
-
-    return pairs.mapInArrow(kept, "a long, b long")
-
-
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key, class_id (the least doc_id of its group)."""
     bounded_batches(docs.sparkSession)
-    held = cut(contents(docs))
+    held = cut(signatures(docs))
 
     def texts(nodes: DataFrame) -> DataFrame:
         one = held.join(nodes, "node").groupBy("node").agg(F.min_by("text_key", "doc_id").alias("text_key"), F.min("doc_id").alias("doc_id"))
         return keyed(docs).join(one, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])
 
-    groups = similar_components(stars(docs), texts, verify)
-    rows = held.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = similar_components(held, texts, features, THRESHOLD)
+    rows = held.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "component", "left").select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"))
 
