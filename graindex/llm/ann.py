@@ -137,7 +137,7 @@ def fit(rows: DataFrame, k: int) -> Lists:
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
     drawn = sorted({r["vec_id"]: r for r in drawn}.values(), key=lambda r: r["vec_id"])
-    x = np.array([r["embedding"] for r in drawn], np.float64).reshape(len(drawn), -1)
+    x = np.array([r["embedding"] for r in drawn], np.float64) if drawn else np.zeros((0, 1))
     ids = np.array([r["vec_id"] for r in drawn])
     lists = max(1, min(MAX_LISTS, len(x) // 8, round(n / PER_LIST)))
     made = Lists(np.zeros((1, 1)), [[0]], radius * (1 + 1e-9), x, ids)

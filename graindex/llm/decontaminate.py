@@ -64,9 +64,9 @@ class Index:
         for i in some:
             self.prints[i] = fingerprints(self.items.hashes[i], np.array([0]), np.array([len(self.items.hashes[i])]))[0]
         slot = np.array([self.slots[int(self.items.k[i]), int(self.items.size[i])] for i in some], np.int64)
-        key = (((slot[:, None] * BLOCKS + np.arange(BLOCKS)) * 256)[:, :, None] + (self.prints[some][:, :, None] ^ _NEIGHBOURS)).reshape(len(some), -1)
+        key = (((slot[:, None] * BLOCKS + np.arange(BLOCKS)) * 256)[:, :, None] + (self.prints[some][:, :, None] ^ _NEIGHBOURS)).reshape(len(some), BLOCKS * len(_NEIGHBOURS))
         order = np.argsort(key.ravel(), kind="stable")
-        self.listed = np.repeat(some, key.shape[1] if len(some) else 0)[order]
+        self.listed = np.repeat(some, key.shape[1])[order]
         self.offsets = np.searchsorted(key.ravel()[order], np.arange(len(self.slots) * BLOCKS * 256 + 1))
 
     def matches(self, texts: list[str]) -> tuple[np.ndarray, ...]:
