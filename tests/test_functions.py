@@ -43,7 +43,7 @@ def test_style_names(spark):
 
 def test_descriptors(spark):
     rows = [("Rich caramel and toffee with orange.", "Caramel, creamy; finishes dry.", None), (None, None, None)]
-    got = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1).select(domain.descriptors("a", "b", "c").alias("d") if False else domain.descriptors(F.col("a"), F.col("b"), F.col("c")).alias("d")).collect()
+    got = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1).select(domain.descriptors(F.col("a"), F.col("b"), F.col("c")).alias("d")).collect()
     found = {d.name: (d.family, d.strength) for d in got[0].d}
     assert found["caramel"] == ("malt", 2) and found["citrus"] == ("hops", 1) and {"dry finish", "creamy"} <= set(found) and "banana" not in found and got[1].d == []
 
