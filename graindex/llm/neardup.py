@@ -140,8 +140,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     held = cut(signatures(docs))
 
     def texts(nodes: DataFrame) -> DataFrame:
-        one = held.join(nodes, "node").groupBy("node").agg(F.min_by("text_key", "doc_id").alias("text_key"), F.min("doc_id").alias("doc_id"))
-        return keyed(docs).join(one, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])
+        least = F.min(F.struct("doc_id", "text_key")).alias("at")
+        one = held.select("node", "doc_id", "text_key").join(nodes, "node").groupBy("node").agg(least)
+        one = one.select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"), "node")
+        return keyed(docs).join(one, F.expr("doc_id <=> _id and text_key = _key")).select("node", "text").dropDuplicates(["node"])
 
     groups = similar_components(held, texts, features, THRESHOLD)
     rows = held.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -83,6 +83,12 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert neardup.near_duplicate_classes(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_among_documents_without_ids(spark):
+    base = made_up(random.Random(1), 60)
+    docs = spark.createDataFrame([(None, base), (None, base + " more"), (None, "apart")], "doc_id bigint, text string")
+    assert neardup.keep_one(docs).count() == 2
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     h = np.array([1, 2, 3, 1, 2, 4], np.uint64)
     w = np.array([3.5, 100.0, 1.0, 7.0, 50.0, 0.25])
