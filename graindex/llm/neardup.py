@@ -135,7 +135,10 @@ def pair_similarities(hashes: np.ndarray, pair: np.ndarray, side: np.ndarray, pa
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, text_key, class_id (the least doc_id of its group)."""
+    """One row a document: doc_id, text_key, and those of the document that stands for its group: class_id, class_key.
+
+    That is the least by doc_id, then text_key; null ids come last.
+    """
     bounded_batches(docs.sparkSession)
     held = cut(signatures(docs))
 
@@ -147,13 +150,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     groups = similar_components(held, texts, features, THRESHOLD)
     rows = held.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "component", "left").select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
+    least = rows.where("component is not null").groupBy("component").agg(first).select("component", "first.doc_id", "first.text_key").toDF("component", "class_id", "class_key")
+    alone = F.col("component").isNull()
+    return rows.join(least, "component", "left").select(
+        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("text_key")).otherwise(F.col("class_key")).alias("class_key")
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents but one of each group, with all their columns; the least doc_id of a group stays."""
-    kept = near_duplicate_classes(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """One document of each group, with all its columns: the least (doc_id, text_key) of a group stays, null ids last."""
+    kept = near_duplicate_classes(docs).where("doc_id <=> class_id and text_key = class_key").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     rows = docs.withColumn("_text_key", F.xxhash64("text"))
     found = rows.join(kept, F.expr("doc_id <=> _id and _text_key = _key"), "left_semi")
     return found.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
