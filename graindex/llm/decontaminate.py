@@ -29,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .neardup import pair_similarities
 from .session import bounded_batches
-from .textkernel import Words, chunks, mix
-from .windows import Items, spread
+from .textkernel import Words, chunks, mix, spread
+from .windows import Items
 
 THRESHOLD, RADIUS, BLOCKS = 0.8, 31, 16
 #: Characters of benchmark text in one block, at most about.

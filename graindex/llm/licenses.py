@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .components import band_keys
 from .decontaminate import blocks, scan
 from .session import bounded_batches
-from .textkernel import Words, mix
-from .windows import Items, spread
+from .textkernel import Words, mix, spread
+from .windows import Items
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 2
 

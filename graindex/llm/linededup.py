@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .components import band_keys, similar_components
 from .neardup import multiplicities
 from .session import bounded_batches, cut, keyed
-from .textkernel import Runs, chunks, code_points, tables
+from .textkernel import Runs, chunks, code_points, spread, tables
 
 GRAM, THRESHOLD, LONG = 6, 0.8, 64
 BANDS, ROWS = 12, 5
@@ -44,12 +44,20 @@ class Lines:
         space[_SPACES] = True
         solid, feed = ~space[cp], cp == 10
         begins = np.append(0, np.flatnonzero(feed) + 1)[:-1]  # each text ends with a line feed
-        line = np.cumsum(feed) - feed
-        last = np.maximum.accumulate(np.where(solid, np.arange(len(cp)), -1))
-        after = np.append(solid[1:], False)
-        keep = solid | (~feed & after & (last >= begins[line]))
-        chars = np.where(solid[keep], cp[keep], np.uint32(32))
-        count = np.bincount(line[keep], minlength=len(begins))
+        # of a run of white space the last character stays, if the line has something before and after it
+        inner = ~solid & ~feed
+        inner[:-1] &= solid[1:]
+        inner[-1:] = False
+        keep = solid.copy()
+        keep[1:] |= inner[1:] & solid[:-1]
+        inner &= ~keep
+        if len(open_ := np.flatnonzero(inner)):  # runs of two and more, and those at the beginning of a line
+            at = np.flatnonzero(solid)
+            before = np.searchsorted(at, open_) - 1
+            first = begins[np.searchsorted(begins, open_, side="right") - 1]
+            keep[open_[(before >= 0) & (at[before] >= first)]] = True
+        chars = np.where(solid, cp, np.uint32(32))[keep]
+        count = np.add.reduceat(keep, begins, dtype=np.int64) if len(begins) else begins
         some = np.flatnonzero(count)
         self.end = np.cumsum(count)[some]
         self.start = self.end - count[some]
@@ -60,10 +68,15 @@ class Lines:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Gram hashes of all lines one after another, and the place of each line's first."""
-        many = np.maximum(self.end - self.start - GRAM + 1, 1)
-        at = np.cumsum(many) - many
-        first = np.arange(many.sum()) - np.repeat(at - self.start, many)
-        return self.runs.hash(first, np.minimum(first + GRAM, np.repeat(self.end, many))), at
+        size = self.end - self.start
+        many = np.maximum(size - GRAM + 1, 1)
+        h = np.zeros(int(self.end[-1]) if len(size) else 0, np.uint64)
+        h[: max(0, len(h) - GRAM + 1)] = self.runs.hash_all(GRAM)
+        short = size < GRAM
+        h[self.start[short]] = self.runs.hash(self.start[short], self.end[short])
+        keep = np.ones(len(h), bool)
+        keep[spread(self.start + many, size - many)[0]] = False
+        return h[keep], np.cumsum(many) - many
 
 
 def minhash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:

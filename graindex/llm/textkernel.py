@@ -75,6 +75,14 @@ class Runs:
         n = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + n + np.uint64(salt))
 
+    def hash_all(self, size: int) -> np.ndarray:
+        """The hashes of all runs of ``size`` symbols, in order."""
+        many = max(0, len(self.prefix) - size)
+        out = self.prefix[size:] - self.prefix[:many]
+        out *= self.down[:many]
+        out += np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        return mix(out)
+
 
 class Words:
     """The words of a few texts: their hashes, and the text and characters (start, end) they come from."""
@@ -127,6 +135,12 @@ def chunks(texts: Iterable[str | None], size: int = CHUNK_CHARS) -> Iterator[tup
         yield at, part
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in all runs [start, start + size) one after another, and the run of each."""
+    run = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[run], run
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of minima over sum of maxima of the multiplicities of two hash arrays; 0 if both are empty."""
     if not len(a) or not len(b):

@@ -74,9 +74,3 @@ def grams(words: Words, k: int, text: int) -> np.ndarray:
     """The hashes of all runs of k words of one text."""
     first = np.arange(words.bounds[text], words.bounds[text + 1] - k + 1)
     return Runs(words.hash).hash(first, first + k, 0x5A17)
-
-
-def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in all windows one after another, and the window of each."""
-    window = np.repeat(np.arange(len(starts)), sizes)
-    return np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[window], window
