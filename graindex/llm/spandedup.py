@@ -106,7 +106,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans at another place than their first: doc_id, text_key, char_start, char_end, first_doc_id."""
     bounded_batches(docs.sparkSession)
     spans = cut(span_table(docs))
-    seen = spans.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written out, so that the join stands right on its shuffles and Spark can split the rows of a frequent span
+    seen = cut(spans.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     return spans.join(seen, "hash").where("again or not (doc_id <=> first_doc_id)").select("doc_id", "text_key", "char_start", "char_end", "first_doc_id")
 
 
