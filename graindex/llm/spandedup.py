@@ -1,10 +1,13 @@
 """Substring dedup by sliding spans of sentences.
 
 A sentence ends at ``.``, ``!``, ``?`` (before white space or the end) or a line feed. A sentence of more than
-``LONG`` words is cut further after words chosen by their hash, so that a passage without sentence ends is cut alike
-wherever it stands. A *span* is the shortest run of consecutive sentences from each one on that has ``SENTENCES`` of
-them or more and ``WORDS`` words or more; a run that ends before that is no span. Spans are compared by a hash of
-their words: case, punctuation and white space don't count.
+``LONG`` words is cut further after the word of least hash in every window of ``PIECE`` words, so that a passage
+without sentence ends is cut alike wherever it stands, but for PIECE - 1 words at its ends. A *span* is a run of
+consecutive sentences that has ``SENTENCES`` of them or more and ``WORDS`` words or more, and is the shortest such run
+that begins, or the shortest that ends, with its first or last sentence. Each sentence of a longer run is in a span
+inside it: in the one that begins with the run, or else in one that ends with the sentence. So the sentences that
+spans cover are those that all runs would cover. Spans are compared by a hash of their words: case, punctuation and
+white space don't count.
 
 The first place of a span is its first one in the document of least doc_id that holds it. Every sentence covered by
 a span at another place is removed. Repeats inside one document are told apart where the document is read, so the
@@ -27,9 +30,10 @@ from pyspark.sql import types as T
 from .session import bounded_batches, cut, keyed
 from .textkernel import Runs, Words, chunks
 
-#: With sentences of at most 25 words, a passage of more than 50 words that begins or ends with a sentence holds a span.
+#: With sentences of at most 25 words, a passage of more than 50 words that begins or ends with a sentence holds a span;
+#: so does one of 49 words inside a longer sentence.
 SENTENCES, WORDS, LONG = 2, 20, 25
-#: One in so many words ends a piece of a long sentence.
+#: A piece of a long sentence ends in every window of so many words.
 PIECE = 8
 _ENDS = np.array([ord(c) for c in ".!?"], np.uint32)
 
@@ -56,8 +60,10 @@ class Spans:
         closes |= np.append(words.text[1:] != words.text[:-1], True)[:n]
         high = np.flatnonzero(closes) + 1
         low = np.append(0, high)[:-1]
-        long = np.repeat(high - low > LONG, high - low)
-        closes |= long & (words.hash % np.uint64(PIECE) == 0)
+        sentence = np.repeat(np.arange(len(low)), high - low)
+        many = max(0, n - PIECE + 1)
+        at = np.flatnonzero((sentence[:many] == sentence[PIECE - 1 :]) & ((high - low)[sentence[:many]] > LONG))
+        closes[at + PIECE - 1 - words.hash[at[:, None] + np.arange(PIECE)[::-1]].argmin(1)] = True
         self.high = np.flatnonzero(closes) + 1
         self.low = np.append(0, self.high)[:-1]
         self.text = words.text[self.low]
@@ -66,12 +72,15 @@ class Spans:
         leads = np.append(True, self.text[1:] != self.text[:-1])[: len(self.text)]
         self.begin[leads] = 0
         self.end = np.where(np.append(leads[1:], True)[: len(leads)], size, np.append(self.begin[1:], 0)[: len(leads)])
-        # from each sentence to the first one that makes enough sentences and words
+        # from each sentence to the first one, and back to the last one, that makes enough sentences and words
         s = np.arange(len(self.low))
         last = np.maximum(s + SENTENCES - 1, np.searchsorted(self.high, self.low + WORDS))
-        ok = last < len(s)
-        ok[ok] = self.text[last[ok]] == self.text[s[ok]]
-        self.first, self.last = s[ok], last[ok]
+        first = np.minimum(s - SENTENCES + 1, np.searchsorted(self.low, self.high - WORDS, side="right") - 1)
+        on, back = last < len(s), first >= 0
+        on[on] = self.text[last[on]] == self.text[s[on]]
+        back[back] = self.text[first[back]] == self.text[s[back]]
+        both = np.unique(np.concatenate([s[on] * len(s) + last[on], first[back] * len(s) + s[back]]))
+        self.first, self.last = both // max(1, len(s)), both % max(1, len(s))
         self.hash = Runs(words.hash).hash(self.low[self.first], self.high[self.last], 0x59).view(np.int64)
         order = np.lexsort((self.first, self.hash, self.text[self.first]))
         h, t = self.hash[order], self.text[self.first][order]

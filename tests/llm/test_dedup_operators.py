@@ -184,6 +184,37 @@ def test_long_repeated_passages_hold_a_span():
         assert len(s.first) and s.high[-1] == n
 
 
+def test_span_dedup_removes_all_that_repeated_runs_cover(spark):
+    rng = random.Random(21)
+    made = lambda n: [made_up(rng, rng.randint(3, 17)).capitalize() + "." for _ in range(n)]
+    docs = [made(rng.randint(5, 14)) for _ in range(30)]
+    docs += [list(d) for d in docs[:20]] + [made(2) + d[1:-1] + made(2) for d in docs[10:25]] + [docs[3] + made(1) + docs[3]]
+    docs += [[made_up(rng, n).capitalize() + "." for n in (12, 12, 5)]] * 2
+    seen, want = set(), {}
+    for d, s in enumerate(docs):
+        gone = set()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                run = tuple(WORD.findall(" ".join(s[i : j + 1]).lower()))
+                if len(run) >= 20:
+                    if run in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(run)
+        if gone:
+            want[d] = " ".join(x for i, x in enumerate(s) if i not in gone)
+    got = {r.doc_id: r.text.strip() for r in spandedup.changed_documents(docs_of(spark, [" ".join(s) for s in docs])).collect()}
+    assert got == want and len(want) >= 36 and got[len(docs) - 1] == ""
+
+
+def test_passages_inside_long_sentences_share_a_span():
+    rng = random.Random(22)
+    for _ in range(400):
+        passage = made_up(rng, 49)
+        s = spandedup.Spans([f"{made_up(rng, rng.randint(1, 30))} {passage} {made_up(rng, rng.randint(1, 30))}" for _ in range(2)])
+        at = s.text[s.first]
+        assert set(s.hash[at == 0]) & set(s.hash[at == 1])
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
 
