@@ -1,6 +1,7 @@
 """Benchmark decontamination: documents that hold a benchmark item, or nearly.
 
-Every window of a document that is as long as an item and could match (see windows.py) gets a SimHash of 128 bits
+Every window of a document that is as long as an item and could match (see windows.py), or the whole of a document that
+is shorter, gets a SimHash of 128 bits
 over its word shingles, weighted by how often they occur. Fingerprints within ``RADIUS`` bits of an item's are found
 by multi-index blocks: of 16 blocks of 8 bits at least one differs in at most one bit, so an item is listed in each
 block under its own value and the eight beside it, and no fingerprint within the radius is missed. Candidates are
@@ -56,8 +57,8 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None], threshold: float = THRESHOLD):
         self.threshold = threshold
-        # equal total weights n: sum of minima m gives m / (2 n - m)
-        self.items = Items(ids, texts, 2 * threshold / (1 + threshold))
+        # of total weights s and n, a sum of minima m gives m / (s + n - m)
+        self.items = Items(ids, texts, 2 * threshold / (1 + threshold), mutual=True)
         some = np.flatnonzero(self.items.size > 0)
         self.slots = {(int(k), int(n)): i for i, (k, n) in enumerate(sorted(set(zip(self.items.k[some], self.items.size[some], strict=True))))}
         self.prints = np.zeros((len(ids), BLOCKS), np.uint8)
@@ -72,9 +73,9 @@ class Index:
     def matches(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Best window of each text and item: text, item, similarity, first and last character (exclusive)."""
         words, found = Words(texts), []
-        for k, h, starts, sizes in self.items.windows(words):
+        for k, h, starts, sizes, meets in self.items.windows(words):
             prints = fingerprints(h, starts, sizes)
-            slot = np.array([self.slots[k, n] for n in sizes.tolist()])
+            slot = np.array([self.slots[k, n] for n in meets.tolist()])
             key = ((slot[:, None] * BLOCKS + np.arange(BLOCKS)) * 256 + prints).ravel()
             many = self.offsets[key + 1] - self.offsets[key]
             entry, row = spread(self.offsets[key], many)

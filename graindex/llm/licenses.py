@@ -1,10 +1,12 @@
 """License scans: documents that hold a license notice, or nearly.
 
-Overlapping windows of a document as long as a template, at every word where one could match (see windows.py), get a
-MinHash signature of their word shingles. Templates that share a band of it are retrieved, and verified by exact
+Overlapping windows of a document as long as a template, and a quarter and a half longer for notices with words
+inserted, at every word where one could match (see windows.py), or the whole of a shorter document, get a MinHash
+signature of their word shingles. Templates that share a band of it are retrieved, and verified by exact
 containment: the share of the template's distinct shingles that the window holds must be ``THRESHOLD`` or more. A
-window of that containment has a Jaccard similarity of at least 2/3, and with 16 bands of 2 values it shares a band
-with probability 0.9999.
+window of that containment and the template's length has a Jaccard similarity of at least 2/3, and with 16 bands of 2
+values it shares a band with probability 0.9999; one a half longer has at least 0.47 and 0.98. Of windows of equal
+containment the shortest, then the first, is given.
 
 Templates are a parameter (a table of template_id and text), taken in blocks of bounded size that are broadcast, as
 in decontaminate.py. Case and punctuation don't count. A null or empty document matches nothing.
@@ -24,6 +26,8 @@ from .textkernel import Words, mix, spread
 from .windows import Items
 
 THRESHOLD, BANDS, ROWS = 0.8, 16, 2
+#: Lengths of windows in lengths of the template.
+LENGTHS = (1, 1.25, 1.5)
 
 #: Public notices (fixed texts): a name, and one notice that stands for it.
 TEMPLATES = [
@@ -54,7 +58,7 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.items = Items(ids, texts, 0)
+        self.items = Items(ids, texts, 0, lengths=LENGTHS)
         self.distinct = [np.unique(h) for h in self.items.hashes]
         # repeated shingles of a template count once, so a window needs a share of the distinct ones
         some = np.flatnonzero(self.items.size > 0)
@@ -67,22 +71,22 @@ class Index:
     def matches(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Best window of each text and template: text, template, containment, first and last character (exclusive)."""
         words, found = Words(texts), []
-        for k, h, starts, sizes in self.items.windows(words):
+        for k, h, starts, sizes, meets in self.items.windows(words):
             key = minhash(h, starts, sizes).ravel()
             lo = np.searchsorted(self.keys, key)
             entry, row = spread(lo, np.searchsorted(self.keys, key, side="right") - lo)
             pair = np.unique(np.stack([row // BANDS, self.listed[entry]], 1), axis=0)
             window, item = pair[:, 0], pair[:, 1]
-            same = (self.items.size[item] == sizes[window]) & (self.items.k[item] == k)
+            same = (self.items.size[item] == meets[window]) & (self.items.k[item] == k)
             window, item = window[same], item[same]
             share = np.array([np.isin(self.distinct[i], h[starts[w] : starts[w] + sizes[w]]).mean() for w, i in zip(window.tolist(), item.tolist(), strict=True)])
             good = np.flatnonzero(share >= self.threshold)
             s, n = starts[window[good]], sizes[window[good]]
-            found.append((words.text[s], item[good], share[good], words.begin[s], words.end[s + n + k - 2]))
+            found.append((words.text[s], item[good], share[good], n, words.begin[s], words.end[s + n + k - 2]))
         if not found:
             return (np.zeros(0, np.int64),) * 5
-        text, item, share, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((begin, -share, item, text))
+        text, item, share, size, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, size, -share, item, text))
         text, item, share, begin, end = (x[order] for x in (text, item, share, begin, end))
         best = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))[: len(text)]
         base = words.starts[text[best]]

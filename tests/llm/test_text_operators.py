@@ -162,6 +162,17 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_documents_shorter_than_an_item(spark):
+    rng = random.Random(15)
+    item, other = made_up(rng, 40).split(), made_up(rng, 12).split()
+    texts = [" ".join(item[:-2]), " ".join(item[3:]), " ".join(item[:-7]), " ".join(item[:-8]), " ".join(other[1:]), " ".join(other[:-2]), "a b"]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other))], "item_id bigint, text string")
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.char_start, r.char_end) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(d, i): (pytest.approx(s), 0, len(texts[d])) for d, i, s in ((0, 0, 34 / 36), (1, 0, 33 / 36), (2, 0, 29 / 36), (4, 1, 7 / 8))}
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(docs, bench).collect()) == [3, 5, 6]
+
+
 def test_decontamination_in_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [made_up(rng, 20) for _ in range(12)]
@@ -195,6 +206,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, texts), licenses.default_templates(spark).limit(0)).count() == 0
 
 
+def test_licenses_cut_short_or_with_words_inserted(spark):
+    mit = dict(licenses.TEMPLATES)["MIT-grant"].split()
+    n = len(grams(" ".join(mit)))
+    added = " ".join(mit[:20] + made_up(random.Random(2), 18).split() + mit[20:])
+    texts = [" ".join(mit[:-2]), added, "before it " * 9 + added + " and after" * 40, " ".join(mit[: int(0.8 * n)])]
+    got = {(r.doc_id, r.template_id): r for r in licenses.scan_licenses(docs_of(spark, texts), licenses.default_templates(spark)).collect()}
+    assert set(got) == {(d, "MIT-grant") for d in range(3)}
+    assert got[0, "MIT-grant"].containment == pytest.approx((n - 2) / n) and got[0, "MIT-grant"].char_end == len(texts[0])
+    assert all(got[d, "MIT-grant"].containment == pytest.approx((n - 4) / n) for d in (1, 2))
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op10_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
