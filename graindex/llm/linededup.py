@@ -6,7 +6,7 @@ line is the set of its character 6-grams (a shorter line is one gram). MinHash s
 similarity, which must be ``THRESHOLD`` or more, and a distributed union-find joins them (components.py). Equal
 lines are one item throughout. The line that stays is the one with the least (doc_id, text_key, line number).
 
-Lines of ``LONG`` grams or more take all values of a signature from one hash (one bin of grams for each value, empty
+Lines of ``LONG`` distinct grams or more take all values of a signature from one hash (one bin of grams for each value, empty
 bins filled from others); shorter ones, where bins would be empty, take one hash for each value. Lines up to
 LONG / 0.8 do both, so that any two lines of similarity 0.8 have a kind in common.
 
@@ -106,12 +106,23 @@ def binned_minhash(h: np.ndarray, of: np.ndarray, sets: int, k: int) -> np.ndarr
     return filled.astype(np.uint64)
 
 
+def _of(h: np.ndarray, at: np.ndarray, many: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the lines ``some``, and which of these each belongs to."""
+    place, of = spread(at[some], many[some])
+    return h[place], of
+
+
 def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of all lines one after another, and their number for each line."""
     h, at = lines.grams()
     many = np.diff(np.append(at, len(h)))
     line = np.repeat(np.arange(len(at)), many)
-    short, long = many < LONG / THRESHOLD, many >= LONG
+    # the kind goes by distinct grams, as similarity does; a line of few grams has no more of them
+    distinct = many.copy()
+    some = np.flatnonzero(many >= LONG)
+    if len(some):
+        distinct[some] = np.bincount(multiplicities(*_of(h, at, many, some))[1], minlength=len(some))
+    short, long = distinct < LONG / THRESHOLD, distinct >= LONG
     keys, owner = [], []
     for kind, mask in ((0, short), (1, long)):
         mine = np.flatnonzero(mask)

@@ -143,6 +143,15 @@ def test_long_and_short_line_signatures_overlap():
         assert len(keys) == many[0] == linededup.BANDS * (2 if 64 <= n < 80 else 1)
 
 
+def test_repetitive_lines_of_any_length_are_compared(spark):
+    texts = ["-" * 40, "-" * 100, "=-" * 30, "=-" * 200, "very good " * 5, "very good " * 30, "+---" * 12, "+---" * 90]
+    keys, many = linededup.line_keys(linededup.Lines(texts))
+    by_line = [set(x.tolist()) for x in np.split(keys, np.cumsum(many)[:-1])]
+    assert all(by_line[i] & by_line[i + 1] for i in range(0, len(texts), 2))
+    got = {(r.doc_id, r.kept_doc_id) for r in linededup.repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == {(i + 1, i) for i in range(0, len(texts), 2)}
+
+
 def test_span_dedup_against_brute_force(spark):
     rng = random.Random(9)
 
