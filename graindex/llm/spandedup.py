@@ -9,11 +9,12 @@ inside it: in the one that begins with the run, or else in one that ends with th
 spans cover are those that all runs would cover. Spans are compared by a hash of their words: case, punctuation and
 white space don't count.
 
-The first place of a span is its first one in the document of least doc_id that holds it. Every sentence covered by
-a span at another place is removed. Repeats inside one document are told apart where the document is read, so the
-shuffle needs only the least doc_id and the count of each span hash, which are summed before it.
+The first place of a span is its first one in the first document that holds it, by doc_id (null ids last) and then by a
+hash of the text, so documents that share an id, or have none, are told apart. Every sentence covered by a span at
+another place is removed. Repeats inside one document are told apart where the document is read. The first shuffle
+holds a hash and a count, summed before it; only spans that repeat carry their places on.
 
-Null and empty texts have no spans. Rows that share doc_id and text are one document.
+Null and empty texts have no spans. Rows that share doc_id and text are one document, and all of them stay.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches, cut, keyed
+from .session import bounded_batches, cut, document_key, free, keyed
 from .textkernel import Runs, Words, chunks
 
 #: With sentences of at most 25 words, a passage of more than 50 words that begins or ends with a sentence holds a span;
@@ -89,35 +90,34 @@ class Spans:
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, char_start, char_end, hash and again (not the first place in its text) of every span."""
+    """doc_id, text_key, hash and place of every span: first character * 2**32 + last (exclusive), negative if not the first place in its text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in chunks(batch.column("text").to_pylist()):
                 s = Spans(part)
                 row = pa.array(s.text[s.first] + at)
+                place = (s.begin[s.first].astype(np.int64) << 32) + s.end[s.last]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(row),
-                        batch.column("text_key").take(row),
-                        pa.array(s.begin[s.first].astype(np.int32)),
-                        pa.array(s.end[s.last].astype(np.int32)),
-                        pa.array(s.hash),
-                        pa.array(s.again),
-                    ],
-                    ["doc_id", "text_key", "char_start", "char_end", "hash", "again"],
+                    [batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(s.hash), pa.array(np.where(s.again, -place, place))],
+                    ["doc_id", "text_key", "hash", "place"],
                 )
 
-    return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, char_start int, char_end int, hash long, again boolean")
+    return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, hash long, place long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans at another place than their first: doc_id, text_key, char_start, char_end, first_doc_id."""
-    bounded_batches(docs.sparkSession)
-    spans = cut(span_table(docs))
-    # written out, so that the join stands right on its shuffles and Spark can split the rows of a frequent span
-    seen = cut(spans.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    return spans.join(seen, "hash").where("again or not (doc_id <=> first_doc_id)").select("doc_id", "text_key", "char_start", "char_end", "first_doc_id")
+    with bounded_batches(docs.sparkSession):
+        spans = span_table(docs)
+        # tables that are joined are written out, so that a join stands right on its shuffles and Spark can split the rows of a frequent span
+        seen = cut(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+        spans = cut(spans.join(seen, "hash"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = cut(spans.groupBy("hash").agg(F.min(at).alias("first")))
+    met = spans.join(first, "hash").where((F.col("place") < 0) | (at != F.col("first")))
+    begin, end = F.shiftright(F.abs("place"), 32).cast("int"), F.abs("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return met.select("doc_id", "text_key", begin.alias("char_start"), end.alias("char_end"), F.col("first.doc_id").alias("first_doc_id"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -144,15 +144,16 @@ def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 
 def changed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that lose text: doc_id, first_doc_ids, removed_chars, and the text that is left."""
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone", "first_doc_ids")
-    rows = keyed(docs).join(gone, F.expr("doc_id <=> _id and text_key = _key"))
+    """The documents that lose text: doc_id, first_doc_ids (null ones left out), removed_chars, and the text that is left."""
+    lost = removals(docs).select(F.struct("doc_id", "text_key").alias("of"), "gone", "first_doc_ids")
+    rows = docs.select("doc_id", "text", document_key().alias("key")).join(lost, F.col("key") == F.col("of"))
     left = rows.withColumn("left", _without("text", F.col("gone.char_start"), F.col("gone.char_end")))
     return left.select("doc_id", "first_doc_ids", (F.length("text") - F.length("left")).cast("long").alias("removed_chars"), F.col("left").alias("text"))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated sentences removed from ``text``, and all other columns."""
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text")).join(gone, F.expr("doc_id <=> _id and _text_key = _key"), "left")
-    return rows.withColumn("text", _without("text", F.col("_gone.char_start"), F.col("_gone.char_end"))).select(*docs.columns)
+    key, of, lost = free(docs, "key", "of", "lost")
+    gone = removals(docs).select(F.struct("doc_id", "text_key").alias(of), F.col("gone").alias(lost))
+    rows = docs.withColumn(key, document_key()).join(gone, F.col(key) == F.col(of), "left")
+    return rows.withColumn("text", _without("text", F.col(f"{lost}.char_start"), F.col(f"{lost}.char_end"))).select(*docs.columns)
