@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches
 from .textkernel import Runs, chunks, mix
 
-#: Characters taken at a time, the most pre-tokens that a worker's cache holds, and the rank of no token.
-BLOCK_CHARS, CACHE, NONE = 200_000, 500_000, 1 << 40
+#: Characters taken at a time, the bytes that a worker's cache holds at most beside the block at hand, and the rank of no token.
+BLOCK_CHARS, CACHE_BYTES, NONE = 200_000, 32_000_000, 1 << 40
+#: Bytes that an entry of the cache takes besides its characters and ids.
+ENTRY_BYTES = 200
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
@@ -84,6 +85,7 @@ class Vocabulary:
             self.entries[i] = (t, ranks[t])
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, pieces: list[bytes]) -> list[int]:
         """First tier: the id of each piece that is a vocabulary entry, else -1."""
@@ -127,13 +129,15 @@ class Vocabulary:
 
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of all these pre-tokens into the cache."""
-        if len(self.cache) + len(tokens) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         if new := list(tokens.difference(self.cache)):
             pieces = [t.encode() for t in new]
             merge, cache = self.merge, self.cache
             for t, piece, i in zip(new, pieces, self.whole(pieces), strict=True):
                 cache[t] = array("I", (i,) if i >= 0 else merge(piece)).tobytes()
+            self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, pieces))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; neighbouring texts are learnt together."""
@@ -192,7 +196,6 @@ class _Held:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``docs`` with a binary column of token ids (little-endian unsigned 32-bit); a column of that name is replaced."""
-    bounded_batches(docs.sparkSession)
     held = _Held(docs.sparkSession, path, pattern)
 
     @F.pandas_udf(T.BinaryType())
@@ -206,7 +209,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text", length: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each text; no ids leave the workers."""
-    bounded_batches(docs.sparkSession)
     held = _Held(docs.sparkSession, path, pattern)
 
     @F.pandas_udf(T.LongType())

@@ -3,11 +3,12 @@
 Subwords are the letter n-grams of one to four characters inside words (marked at word ends), of the whole text in
 lower case, hashed to ``BUCKETS`` rows of an embedding table. A text is the mean of its rows; a linear layer gives a
 logit for each language. Both are trained together in numpy by stochastic gradient descent on a bounded sample:
-about ``SAMPLE`` documents of each of the ``MAX_LANGUAGES`` most frequent languages, drawn by a hash of doc_id, and
-``PIECES`` random pieces of each document of up to ``PIECE`` characters, so that short texts are learnt too. Only
-the text and lang of documents whose crc32(doc_id) modulo 4 isn't 2 are used. A quarter of the sample isn't trained
-on; it sets the temperature of the softmax and the score below which a prediction is rejected: the largest of at
-most ``REJECT_AT`` that rejects no more than ``REJECT_SHARE`` of the right predictions.
+about ``SAMPLE`` documents of each language (fewer, if that would make more than ``ROWS`` in all), drawn by a hash of
+doc_id and text. Every sampled text is learnt whole, and so are ``PIECES`` short pieces of it, drawn at random, so
+that short texts are known too. Executors count the subwords; a document leaves them as counts of buckets, however
+long it is. Only the text and lang of documents whose crc32(doc_id) modulo 4 isn't 2 are used. A quarter of the sample
+isn't trained on; it sets the temperature of the softmax and the score below which a prediction is rejected: the
+largest of at most ``REJECT_AT`` that rejects no more than ``REJECT_SHARE`` of the right predictions.
 
 Prediction reads every whole text, by one table of BUCKETS x languages that is broadcast; nothing is shuffled. A
 text that is null or has no letter is ``und`` with score 0, and rejected. Without labelled documents all are.
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches
-from .textkernel import chunks, code_points, mix, tables
+from .textkernel import chunks, code_points, mix, spread, tables
 
 BUCKETS_LOG2, ORDERS, DIM = 16, 4, 16
-SAMPLE, MAX_LANGUAGES, PIECES, PIECE = 400, 256, 6, 200
+SAMPLE, ROWS, PIECES, PIECE = 400, 20_000, 4, 200
 EPOCHS, BATCH, RATE = 4, 32, 8.0
 REJECT_AT, REJECT_SHARE = 0.5, 0.001
 UNKNOWN = "und"
@@ -67,12 +68,11 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (mix(h[at]) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), text[at + (~inside[at] if n > 1 else 0)]
 
 
-def by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all orders, sorted by text."""
-    found = list(subwords(texts))
-    bucket, text = np.concatenate([b for b, _ in found]), np.concatenate([t for _, t in found])
-    order = np.argsort(text, kind="stable")
-    return bucket[order], text[order]
+def bucket_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, bucket) of all orders with their numbers, in order of texts."""
+    found = [np.zeros(0, np.int64), *[(t << BUCKETS_LOG2) + b for b, t in subwords(texts)]]
+    key, count = np.unique(np.concatenate(found), return_counts=True)
+    return key >> BUCKETS_LOG2, key & (1 << BUCKETS_LOG2) - 1, count
 
 
 @dataclass
@@ -113,33 +113,54 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(pieces: list[str], labels: np.ndarray, languages: list[str], calibration: np.ndarray, seed: int = 7) -> Model:
-    """Fit on the pieces that aren't for calibration, then set temperature and threshold on those that are."""
-    rng, k = np.random.default_rng(seed), len(languages)
-    bucket, text = by_text(pieces)
-    ends = np.searchsorted(text, np.arange(len(pieces) + 1))
+@dataclass
+class Sample:
+    """Texts as counts of buckets: those of text i are at ends[i]:ends[i + 1]; its language, and whether it is for calibration."""
+
+    ends: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    label: np.ndarray
+    calibration: np.ndarray
+    languages: list[str]
+
+    def means(self, rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean of ``table`` over the buckets of each text, and the buckets and their shares one text after another."""
+        n = self.ends[rows + 1] - self.ends[rows]
+        place, _ = spread(self.ends[rows], n)
+        share = self.count[place].astype(np.float32)
+        at = np.cumsum(n) - n
+        share /= np.repeat(np.add.reduceat(share, at), n)
+        return np.add.reduceat(table[self.bucket[place]] * share[:, None], at), self.bucket[place], share
+
+
+def train(sample: Sample, seed: int = 7) -> Model:
+    """Fit on the texts that aren't for calibration, then set temperature and threshold on those that are."""
+    rng, k = np.random.default_rng(seed), len(sample.languages)
     embedding = rng.normal(0, 1 / DIM, (1 << BUCKETS_LOG2, DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 1, (DIM, k)).astype(np.float32), np.zeros(k, np.float32)
-    fit = np.flatnonzero(~calibration & (np.diff(ends) > 0))
+    some = np.diff(sample.ends) > 0
+    fit = np.flatnonzero(~sample.calibration & some)
     steps, step = EPOCHS * (len(fit) // BATCH + 1), 0
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(fit), len(fit) // BATCH + 1):
             rate, step = RATE * (1 - step / steps), step + 1
             if not len(rows):
                 continue
-            n = ends[rows + 1] - ends[rows]
-            b = np.concatenate([bucket[ends[r] : ends[r + 1]] for r in rows])
-            mean = np.add.reduceat(embedding[b], np.cumsum(n) - n) / n[:, None]
+            mean, bucket, share = sample.means(rows, embedding)
             error = softmax(mean @ weight + bias)
-            error[np.arange(len(rows)), labels[rows]] -= 1
-            back = (error @ weight.T / n[:, None]).astype(np.float32)
+            error[np.arange(len(rows)), sample.label[rows]] -= 1
+            back = np.repeat((error @ weight.T).astype(np.float32), sample.ends[rows + 1] - sample.ends[rows], axis=0) * share[:, None]
             weight -= (rate / len(rows) * 0.1 * (mean.T @ error)).astype(np.float32)
             bias -= (rate / len(rows) * 0.01 * error.sum(0)).astype(np.float32)
-            np.add.at(embedding, b, -rate * np.repeat(back, n, axis=0))
-    model = Model(languages, np.ascontiguousarray((embedding @ weight).T), bias.astype(np.float64))
-    held = np.flatnonzero(calibration & (np.diff(ends) > 0))
+            # steps of a batch that fall on one bucket are summed before they are made
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+            embedding[bucket[order][first]] -= rate * np.add.reduceat(back[order], first)
+    model = Model(sample.languages, np.ascontiguousarray((embedding @ weight).T), bias.astype(np.float64))
+    held = np.flatnonzero(sample.calibration & some)
     if len(held):
-        logits, truth = model.logits([pieces[i] for i in held])[0], labels[held]
+        logits, truth = sample.means(held, np.ascontiguousarray(model.table.T))[0] + model.bias, sample.label[held]
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
         p = softmax(logits / model.temperature)
@@ -148,57 +169,47 @@ def train(pieces: list[str], labels: np.ndarray, languages: list[str], calibrati
     return model
 
 
-def sample(docs: DataFrame) -> list:
-    """doc_id, lang and pieces of the training sample; only pieces leave the executors."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "text")
+def sampled(docs: DataFrame) -> Sample:
+    """The training sample. Rows that share doc_id, text and lang are drawn together and learnt once."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("doc", F.xxhash64("doc_id", "text", F.lit(1)))
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row a language
+    most = min(SAMPLE, ROWS / max(1, len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["count"]))]) if counts else F.create_map()
+    drawn = known.where(F.pmod("doc", F.lit(1 << 30)) / (1 << 30) < F.coalesce(share[F.col("lang")], F.lit(0.0)) if counts else F.lit(False))
+    # copies without an id would all be drawn together
+    drawn = drawn.select("doc", "lang", "text").dropDuplicates(["doc", "lang"])
 
-    def cutout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            doc, lang = batch.column("doc").to_pylist(), batch.column("lang").to_pylist()
             for i, text in enumerate(batch.column("text").to_pylist()):
-                text = text or ""
-                rng = np.random.default_rng(len(text))
-                for j in range(PIECES):
-                    size = PIECE if j == 0 else int(rng.integers(8, PIECE))
+                text, rng = text or "", np.random.default_rng(doc[i] & (1 << 63) - 1)
+                pieces = [text]
+                for size in rng.integers(8, PIECE, PIECES).tolist():
                     at = int(rng.integers(0, max(1, len(text) - size + 1)))
-                    out.append((i, text[at : at + size]))
-            row = pa.array([i for i, _ in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("lang").take(row), pa.array([p for _, p in out], pa.string())], ["doc_id", "lang", "piece"])
+                    pieces.append(text[at : at + size])
+                of, bucket, count = bucket_counts(pieces)
+                ends = np.searchsorted(of, np.arange(len(pieces) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (bucket, count)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(pieces)), pa.array([lang[i]] * len(pieces)), *lists], ["doc", "lang", "bucket", "count"])
 
-    rows = drawn.mapInArrow(cutout, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, piece string").collect()
-    return sorted({(r["lang"], r["piece"], str(r["doc_id"])) for r in rows})
+    with bounded_batches(docs.sparkSession):
+        rows = drawn.mapInArrow(counted, "doc long, lang string, bucket array<int>, count array<int>").collect()
+    rows = sorted(rows, key=lambda r: (r["doc"], r["lang"], len(r["bucket"]), r["bucket"]))
+    languages = sorted({r["lang"] for r in rows})
+    ends = np.append(0, np.cumsum([len(r["bucket"]) for r in rows])).astype(np.int64)
+    joined = [np.concatenate([np.zeros(0, np.int32), *[np.array(r[c], np.int32) for r in rows]]) for c in ("bucket", "count")]
+    return Sample(ends, *joined, np.array([languages.index(r["lang"]) for r in rows], np.int64), np.array([(r["doc"] >> 32) % 4 == 0 for r in rows], bool), languages)
 
 
 def fit(docs: DataFrame) -> Model:
     """Train on the documents that may be learnt from (doc_id, text, lang)."""
-    bounded_batches(docs.sparkSession)
-    rows = sample(docs)
-    seen, unique = set(), []
-    for lang, piece, doc in rows:
-        if (lang, piece) not in seen:
-            seen.add((lang, piece))
-            unique.append((lang, piece, doc))
-    languages = sorted({r[0] for r in unique})
-    if not languages:
-        return Model([], np.zeros((0, 1 << BUCKETS_LOG2), np.float32), np.zeros(0))
-    labels = np.array([languages.index(r[0]) for r in unique])
-    calibration = np.array([hash_of(r[2]) % 4 == 0 for r in unique])
-    return train([r[1] for r in unique], labels, languages, calibration)
-
-
-def hash_of(text: str) -> int:
-    return int(mix(np.array([sum(ord(c) * 31**i for i, c in enumerate(text)) & (1 << 64) - 1], np.uint64))[0] >> np.uint64(40))
+    sample = sampled(docs)
+    return train(sample) if sample.languages else Model([], np.zeros((0, 1 << BUCKETS_LOG2), np.float32), np.zeros(0))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; columns of those names are replaced."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.drop("lang_pred", "score", "rejected")
 
