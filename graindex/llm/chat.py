@@ -11,17 +11,19 @@ it expands to). Parts stand on lines of their own. A formatted turn is::
 
 A control string inside a text gets one backslash more in front than it had. No mark of the template follows a
 backslash, so taking one away from each escaped control string gives the text back exactly. Roles escape backslash
-and line feed. Only the texts of the roles in ``LEARNED`` are under the loss mask, without the marks around them.
+and line feed. The loss mask covers the texts of the roles in ``LEARNED``, without the marks around them: a flag for each
+turn, and the characters [begin, end) of each learned text in the formatted conversation.
 
 Null text is empty, a null role is the empty role, an unknown kind of part is text. Rows of one conversation are
 ordered by turn, then role, then text (nulls first), and repeated rows are repeated turns. A null conv_id is a
 conversation of its own, as in any grouping. Turns of a conversation are first gathered by ranges of turns, so that
-one huge conversation is formatted by many tasks and only its finished pieces meet.
+one huge conversation is formatted by many tasks and only its finished pieces meet. A formatted conversation is one
+value, so it must fit into one (2 GB).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<turn>", "\n</turn>\n"
@@ -76,9 +78,10 @@ def flatten_attachments(parts: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, parts: Column) -> DataFrame:
-    """One row a conversation: conv_id, formatted, and attachments array<struct<turn, part, kind, ref, tokens>>.
+    """One row a conversation: conv_id, formatted, attachments array<struct<turn, part, kind, ref, tokens>>, and the loss mask.
 
-    ``turns`` has conv_id, turn and role; ``parts`` gives each turn's parts. Other columns are left out.
+    The mask is learned array<boolean>, by turn, and loss_spans array<struct<begin, end>>, by learned turn. ``turns`` has
+    conv_id, turn and role; ``parts`` gives each turn's parts. Other columns are left out.
     """
     each = turns.select(
         "conv_id",
@@ -86,20 +89,38 @@ def format_conversations(turns: DataFrame, parts: Column) -> DataFrame:
         escape_role(F.col("role")).alias("role"),
         F.coalesce(flatten_text(parts), F.lit("")).alias("body"),
         F.coalesce(flatten_attachments(parts), F.expr("array()")).alias("found"),
+        F.coalesce(F.col("role").isin(*LEARNED), F.lit(False)).alias("learned"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct("turn", "role", "body", "found")))
+    in_order = F.array_sort(F.collect_list(F.struct("turn", "role", "body", "found", "learned")))
     mark = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["body"], F.lit(CLOSE))
     of_turn = lambda t: F.transform(t["found"], lambda a: F.struct(t["turn"].alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
+    head = lambda t: F.length(t["role"]) + len(OPEN) + 1
+
+    def spans(seen: Column, t: Column) -> Column:
+        begin = seen["at"] + head(t)
+        mine = F.when(t["learned"], F.array(F.struct(begin.alias("begin"), (begin + F.length(t["body"])).alias("end")))).otherwise(F.expr("array()"))
+        return F.struct((begin + F.length(t["body"]) + len(CLOSE)).alias("at"), F.concat(seen["spans"], mine).alias("spans"))
+
+    none = F.expr("struct(cast(0 as bigint) as at, cast(array() as array<struct<begin:bigint,end:bigint>>) as spans)")
     ranges = (
         each.groupBy("conv_id", F.floor(F.col("turn") / RANGE).alias("range"))
         .agg(in_order.alias("turns"))
-        .select("conv_id", "range", F.array_join(F.transform("turns", mark), "").alias("piece"), F.flatten(F.transform("turns", of_turn)).alias("found"))
+        .select(
+            "conv_id", "range", F.array_join(F.transform("turns", mark), "").alias("piece"), F.flatten(F.transform("turns", of_turn)).alias("found"),
+            F.transform("turns", lambda t: t["learned"]).alias("learned"), F.aggregate("turns", none, spans)["spans"].alias("spans"),
+        )
     )
-    pieces = F.array_sort(F.collect_list(F.struct("range", "piece", "found")))
+    # a piece begins where those before it end; the window stands on the partitioning that the last grouping needs
+    before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.transform("spans", lambda s: F.struct((s["begin"] + F.col("before")).alias("begin"), (s["end"] + F.col("before")).alias("end")))
+    ranges = ranges.withColumn("before", before).withColumn("spans", moved).drop("before")
+    pieces = F.array_sort(F.collect_list(F.struct("range", "piece", "found", "learned", "spans")))
     return ranges.groupBy("conv_id").agg(pieces.alias("pieces")).select(
         "conv_id",
         F.array_join(F.col("pieces.piece"), "").alias("formatted"),
         F.flatten(F.col("pieces.found")).alias("attachments"),
+        F.flatten(F.col("pieces.learned")).alias("learned"),
+        F.flatten(F.col("pieces.spans")).alias("loss_spans"),
     )
 
 
@@ -118,9 +139,10 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """From the formatted text alone: turn count, digest of all turns, digest of the text under the loss mask."""
-    back = conversations.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*LEARNED)), lambda t: t["text"]), "")
+    """From the formatted text and its mask alone: turn count, digest of all turns, digest of the text under the loss mask."""
+    back = conversations.select("conv_id", "formatted", "learned", read_back(F.col("formatted")).alias("turns"))
+    under_mask = F.filter(F.arrays_zip("turns", "learned"), lambda x: x["learned"])
+    loss = F.array_join(F.transform(under_mask, lambda x: x["turns"]["text"]), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.withColumn("loss", loss).select(
         "conv_id",
