@@ -1,20 +1,24 @@
 """Nearest neighbours by largest inner product, over balanced posting lists.
 
 Vectors get one more component, sqrt(M**2 - |x|**2) with M the largest norm, so that the largest inner product is the
-least Euclidean distance. Centroids are fitted in numpy on a bounded sample (``SAMPLE`` vectors) by k-means with a
-price on full clusters. Every vector goes to its nearest centroid's list and, as a boundary vector, to those of up to
-``REPLICAS`` centroids whose distance is within ``BOUNDARY`` times the least. A query walks a graph of the centroids
-(each linked to its nearest ones) and takes all lists within a ratio of its least distance; the ratio is the least
-that finds ``TARGET_RECALL`` of the neighbours of sampled queries in the sample. Lists too large for one task are
-split by a hash of vec_id, and their queries too; each block of queries meets each block of vectors in one
-task, which keeps the best of its own. A list never has to fit into a task, and no pair is listed that the sample
-already shows to be out of reach: the k-th best score among the sampled vectors of a query's lists is a lower bound
-of its final one.
+least Euclidean distance. Centroids are fitted in numpy on a bounded sample by k-means with a price on full clusters:
+a list for each ``PER_LIST`` vectors, up to ``MAX_LISTS``, and ``PER_CENTROID`` sampled vectors for each. Every vector
+goes to its nearest centroid's list and, as a boundary vector, to those of up to ``REPLICAS`` centroids whose distance
+is within ``BOUNDARY`` times the least. A query walks a graph of the centroids (each linked to its nearest ones) and
+takes all lists within a ratio of its least distance; the ratio is the least that finds ``TARGET_RECALL`` of the
+neighbours of sampled queries in the sample.
+
+Lists are packed into bins of about ``BIN`` entries, so a query is sent once for each bin that holds some of its lists,
+and reads only those there. A list larger than a bin is split by a hash of vec_id and its queries go to each part; the
+queries of a bin are split likewise. So neither a list nor its queries have to fit into a task, and no pair is listed
+that the sample already shows to be out of reach: the k-th best score among some sampled vectors (``BOUNDING``) of a
+query's lists is a lower bound of its final one. Beyond ``MAX_LISTS`` lists, which bound what the driver holds, lists
+grow with the table.
 
 Scores are inner products in double precision of the original vectors. Rows without a vec_id, and vectors that are
 null, empty or zero, or hold null or non-finite components, take no part; nor do vectors of another length than most
-have. Rows that share a vec_id count as one vector. Ties go to the smaller vec_id. A query with fewer than k
-candidates gets them all: it takes further lists until they hold k others.
+have. Rows that share a vec_id count as one vector, the least of them. Ties go to the smaller vec_id. A query with
+fewer than k candidates gets them all: it takes further lists until they hold k others.
 """
 
 from __future__ import annotations
@@ -31,17 +35,20 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
-SAMPLE, PER_LIST, MAX_LISTS = 10_000, 400, 4096
-REPLICAS, BOUNDARY, TARGET_RECALL = 4, 1.12, 0.97
+PER_LIST, MAX_LISTS, PER_CENTROID, BOUNDING = 100, 4096, 16, 5000
+REPLICAS, BOUNDARY, TARGET_RECALL = 2, 1.01, 0.85
 #: Links of a centroid to its nearest, places a walk starts from, and centroids it opens at least.
-LINKS, STARTS, OPENED, BLOCK = 16, 64, 64, 4096
+LINKS, STARTS, OPENED = 16, 64, 64
+#: Entries of a bin, and queries that meet it in one task.
+BIN = QUERIES = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the rows that take part."""
+    """vec_id and embedding of the rows that take part, one row a vec_id."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.where("vec_id is not null and embedding is not null").where(~F.exists("embedding", bad)).where(F.exists("embedding", lambda x: x != 0))
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    rows = rows.where(~F.exists("embedding", bad)).where(F.exists("embedding", lambda x: x != 0))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 @dataclass
@@ -132,14 +139,15 @@ def centroid_graph(c: np.ndarray) -> list[list[int]]:
 
 def fit(rows: DataFrame, k: int) -> Lists:
     """Fit centroids, graph and ratio on a bounded sample of ``rows`` (vec_id, embedding)."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     n, radius = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(norm), F.lit(1.0))).first()
-    share = min(1.0, SAMPLE / max(n, 1))
+    lists = max(1, min(MAX_LISTS, n // PER_LIST))
+    share = min(1.0, PER_CENTROID * lists / max(n, 1))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
-    drawn = sorted({r["vec_id"]: r for r in drawn}.values(), key=lambda r: r["vec_id"])
+    drawn.sort(key=lambda r: r["vec_id"])
     x = np.array([r["embedding"] for r in drawn], np.float64) if drawn else np.zeros((0, 1))
     ids = np.array([r["vec_id"] for r in drawn])
-    lists = max(1, min(MAX_LISTS, len(x) // 8, round(n / PER_LIST)))
+    lists = max(1, min(lists, len(x) // 4))
     made = Lists(np.zeros((1, 1)), [[0]], radius * (1 + 1e-9), x, ids)
     if not len(x):
         return made
@@ -151,7 +159,8 @@ def fit(rows: DataFrame, k: int) -> Lists:
     asked[:, -1] = 0
     score = x[probe] @ x.T
     score[np.arange(len(probe)), probe] = -np.inf
-    top = np.argsort(-score, 1)[:, : max(1, min(k, len(x) - 1))]
+    # the k nearest of all rows are about as near as this many of the sample
+    top = np.argsort(-score, 1)[:, : max(1, min(-(-k * len(x) // n), len(x) - 1))]
     (row, place), near = made.assign(x)
     d = made.distances(asked)
     relative = d / np.maximum(d.min(1, keepdims=True), 1e-12)
@@ -160,84 +169,124 @@ def fit(rows: DataFrame, k: int) -> Lists:
     lists_of = made.sample_lists[top]
     cost = np.where(lists_of >= 0, np.take_along_axis(relative, np.maximum(lists_of, 0).reshape(len(probe), -1), 1).reshape(lists_of.shape), np.inf).min(2)
     made.ratio = float(np.quantile(cost, TARGET_RECALL, method="higher")) * (1 + 1e-9)
+    made.sample, made.sample_ids, made.sample_lists = x[:BOUNDING], ids[:BOUNDING], made.sample_lists[:BOUNDING]
     return made
 
 
+def bins_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first bin, and the number of bins it is split into; small neighbouring lists share a bin."""
+    first, parts, at, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if n > BIN:
+            at, held = at + (held > 0), 0
+            first[i], parts[i] = at, -(-n // BIN)
+            at += int(parts[i])
+        else:
+            if held + n > BIN:
+                at, held = at + 1, 0
+            first[i], held = at, held + n
+    return first, parts
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row of ``vectors`` for which ``is_query`` holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("embedding") == (size["n"] if size else 0))
+    rows = cut(rows.where(F.size("embedding") == (size["n"] if size else 0)))
     lists = fit(rows, k)
     sent = spark.sparkContext.broadcast(lists)
-    id_type = dict(rows.dtypes)["vec_id"]
+    kinds = dict(rows.dtypes)
+    id_type, real = kinds["vec_id"], np.float32 if kinds["embedding"] == "array<float>" else np.float64
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
     def packed(x: np.ndarray) -> pa.Array:
-        return pa.array([v.tobytes() for v in x], pa.binary())
+        return pa.array([v.tobytes() for v in x.astype(real)], pa.binary())
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("embedding"))
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                x = matrix(part.column("embedding"))
                 (row, place), near = sent.value.assign(x)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, place].astype(np.int32)), batch.column("vec_id").take(pa.array(row)), packed(x[row])], ["list", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, place].astype(np.int32)), part.column("vec_id").take(pa.array(row)), packed(x[row])], ["list", "vec_id", "vector"])
 
     postings = cut(rows.mapInArrow(entries, f"list int, vec_id {id_type}, vector binary"))
     counts = np.zeros(len(lists.centroids), np.int64)
     for r in postings.groupBy("list").count().collect():  # one number for each of at most MAX_LISTS lists
         counts[r["list"]] = r["count"]
     lists.counts = counts
-    ready = spark.sparkContext.broadcast(lists)
+    ready, (first, parts) = spark.sparkContext.broadcast(lists), bins_of(counts)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ready.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("embedding"))
-            ids = np.array(batch.column("vec_id").to_pylist())
-            score = x @ found.sample.T
-            score[ids[:, None] == found.sample_ids[None, :]] = -np.inf
-            at = [found.search(q, k) for q in np.hstack([x, np.zeros((len(x), 1))])]
-            for i, a in enumerate(at):
-                taken = np.zeros(len(found.centroids) + 1, bool)  # the last stands for no list
-                taken[a] = True
-                score[i, ~taken[found.sample_lists].any(1)] = -np.inf
-            bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(x), -np.inf)
-            row = np.repeat(np.arange(len(x)), [len(a) for a in at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(at).astype(np.int32)), batch.column("vec_id").take(pa.array(row)), packed(x[row]), pa.array(bound[row])],
-                ["list", "query_id", "vector", "bound"],
-            )
-
-    queries = cut(rows.where(is_query).mapInArrow(asked, f"list int, query_id {id_type}, vector binary, bound double"))
-    per_list = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}
-    blocks = lambda n: -(-int(n) // BLOCK)
-    parts = spark.createDataFrame([(i, max(1, blocks(counts[i])), max(1, blocks(per_list.get(i, 0)))) for i in range(len(counts))], "list int, v_parts int, q_parts int")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                x = matrix(part.column("embedding"))
+                ids = np.array(part.column("vec_id").to_pylist())
+                score = x @ found.sample.T
+                score[ids[:, None] == found.sample_ids[None, :]] = -np.inf
+                at = [np.array(found.search(q, k)) for q in np.hstack([x, np.zeros((len(x), 1))])]
+                row, bins, taken = [], [], []
+                for i, a in enumerate(at):
+                    flag = np.zeros(len(found.centroids) + 1, bool)  # the last stands for no list
+                    flag[a] = True
+                    score[i, ~flag[found.sample_lists].any(1)] = -np.inf
+                    a = a[np.lexsort((a, first[a]))]
+                    for some in np.split(a, np.flatnonzero(np.diff(first[a])) + 1):
+                        for b in range(int(first[some[0]]), int(first[some[0]] + parts[some[0]])):
+                            row.append(i)
+                            bins.append(b)
+                            taken.append(some)
+                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(x), -np.inf)
+                ends = np.append(0, np.cumsum([len(t) for t in taken])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bins, pa.int32()), part.column("vec_id").take(pa.array(row)), packed(x[row]), pa.array(bound[row]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).astype(np.int32))),
+                    ],
+                    ["bin", "query_id", "vector", "bound", "lists"],
+                )
+
+    queries = cut(rows.where(is_query).mapInArrow(asked, f"bin int, query_id {id_type}, vector binary, bound double, lists array<int>"))
+    of_list = spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(len(counts))], "list int, first int, parts int")
+    blocks = queries.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_parts"))
     part_of = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(parts, "list").select("list", part_of("vec_id", "v_parts").alias("v"), every("q_parts").alias("q"), "vec_id", "vector")
-    right = queries.join(parts, "list").select("list", every("v_parts").alias("v"), part_of("query_id", "q_parts").alias("q"), "query_id", "vector", "bound")
+    # the tables of lists and of bins have at most MAX_LISTS rows, and a bin for each BIN entries
+    left = postings.join(F.broadcast(of_list), "list").withColumn("bin", F.col("first") + part_of("vec_id", "parts")).join(blocks, "bin")
+    left = left.select("bin", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("q"), "list", "vec_id", "vector")
+    right = queries.join(blocks, "bin").select("bin", part_of("query_id", "q_parts").alias("q"), "query_id", "vector", "bound", "lists")
     schema = f"query_id {id_type}, vec_id {id_type}, score double"
-    found = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(lambda a, b: best_pairs(a, b, k), schema)
+    met = left.groupBy("bin", "q").cogroup(right.groupBy("bin", "q")).applyInPandas(lambda a, b: best_of_bin(a, b, k, real), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best_pairs(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best vectors of a block for each query of a block, leaving out what is under the query's bound."""
+def best_of_bin(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, real: type) -> pd.DataFrame:
+    """For each query the k best vectors of its lists in a bin, a list at a time, leaving out what is under its bound."""
+    none = {"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")}
     if not len(vectors) or not len(queries):
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    vectors = vectors.drop_duplicates("vec_id")
-    x = np.frombuffer(b"".join(vectors["vector"]), np.float64).reshape(len(vectors), -1)
+        return pd.DataFrame(none)
+    lists = dict(list(vectors.groupby("list")))
+    asks = queries["lists"].to_numpy()
+    place, of = np.repeat(np.arange(len(queries)), [len(a) for a in asks]), np.concatenate(asks)
+    out = [best_pairs(lists[i], queries.iloc[place[of == i]], k, real) for i in np.unique(of).tolist() if i in lists]
+    if not out:
+        return pd.DataFrame(none)
+    found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+    return found.groupby("query_id", sort=False).head(k)
+
+
+def best_pairs(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, real: type) -> pd.DataFrame:
+    """The k best of some vectors for each of some queries, leaving out what is under the query's bound."""
+    x = np.frombuffer(b"".join(vectors["vector"]), real).astype(np.float64).reshape(len(vectors), -1)
     ids, out = vectors["vec_id"].to_numpy(), []
     for lo in range(0, len(queries), 256):
         part = queries.iloc[lo : lo + 256]
-        q = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(len(part), -1)
+        q = np.frombuffer(b"".join(part["vector"]), real).astype(np.float64).reshape(len(part), -1)
         own = part["query_id"].to_numpy()
         rough = q @ x.T
         rough[own[:, None] == ids[None, :]] = -np.inf
