@@ -10,13 +10,15 @@ more. At that similarity a fingerprint differs in 19 bits on average, with a dev
 within the radius, and a passage has several windows.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size, each broadcast and held against one scan
-of the documents; documents are never shuffled or collected. Case and punctuation don't count. A null or empty
-document matches nothing, as does an item without words; an item of fewer than five words matches as a whole.
+of the documents; documents are never collected. With one block they aren't shuffled either, and are scanned where the
+result is read; of several blocks one at a time is built and broadcast, its results are written out, and it is
+released before the next. Repeated items count once. Case and punctuation don't count. A null or empty document
+matches nothing, as does an item without words; an item of fewer than five words matches as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .neardup import pair_similarities
-from .session import bounded_batches
+from .session import cut, document_key, free, keyed
 from .textkernel import Words, chunks, mix, spread
 from .windows import Items
 
@@ -58,7 +60,7 @@ class Index:
     def __init__(self, ids: list, texts: list[str | None], threshold: float = THRESHOLD):
         self.threshold = threshold
         # of total weights s and n, a sum of minima m gives m / (s + n - m)
-        self.items = Items(ids, texts, 2 * threshold / (1 + threshold), mutual=True)
+        self.items = Items(ids, texts, 2 * threshold / (1 + threshold))
         some = np.flatnonzero(self.items.size > 0)
         self.slots = {(int(k), int(n)): i for i, (k, n) in enumerate(sorted(set(zip(self.items.k[some], self.items.size[some], strict=True))))}
         self.prints = np.zeros((len(ids), BLOCKS), np.uint8)
@@ -102,21 +104,37 @@ class Index:
         return text[best], item[best], similarity[best], begin[best] - base, end[best] - base
 
 
-def blocks(items: DataFrame, item_id: str, text: str, make) -> list[Broadcast]:
-    """Indexes of the items, block by block; the number of blocks follows their total length, so each is bounded."""
-    spark = items.sparkSession
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("t") + 64), F.lit(0))).first()[0]
-    parts = 1 + int(chars) // BLOCK_CHARS
-    out = []
-    for part in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect() if chars else []
-        out.append(spark.sparkContext.broadcast(make([r.i for r in block], [r.t for r in block])))
-    return out
+def indexes(items: DataFrame, item_id: str, make: Callable) -> tuple[int, Iterator[Broadcast]]:
+    """The number of blocks of items, and their broadcast indexes (made by ``make`` of ids and texts), each when it is asked for.
+
+    The number follows the total length of the items, so a block is bounded.
+    """
+    context = items.sparkSession.sparkContext
+    rows = items.select(F.col(item_id).alias("i"), F.col("text").alias("t")).distinct()
+    parts = 1 + int(rows.agg(F.coalesce(F.sum(F.length("t") + 64), F.lit(0))).first()[0]) // BLOCK_CHARS
+
+    def made() -> Iterator[Broadcast]:
+        for part in range(parts):
+            block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect()
+            yield context.broadcast(make([r.i for r in block], [r.t for r in block]))
+
+    return parts, made()
+
+
+def scans(docs: DataFrame, items: DataFrame, item_id: str, score: str, make: Callable) -> DataFrame:
+    """doc_id, text_key and best window of each document and item; of several blocks each is scanned for, written out and released."""
+    (parts, each), found = indexes(items, item_id, make), []
+    for index in each:
+        matches = scan(docs, index, items.schema[item_id].dataType, item_id, score)
+        if parts == 1:
+            return matches
+        found.append(cut(matches))
+        index.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def scan(docs: DataFrame, index: Broadcast, id_type: T.DataType, item: str, score: str) -> DataFrame:
-    """doc_id, item, score, char_start, char_end of the best window of each document and item of one block."""
+    """doc_id, text_key, item, score, char_start, char_end of the best window of each document and item of one block."""
     item_arrow = to_arrow_type(id_type)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,36 +144,38 @@ def scan(docs: DataFrame, index: Broadcast, id_type: T.DataType, item: str, scor
                 if len(text):
                     ids = pa.array([index.value.items.ids[i] for i in which.tolist()], item_arrow)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(text + at)), ids, pa.array(value, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
-                        ["doc_id", item, score, "char_start", "char_end"],
+                        [batch.column("doc_id").take(pa.array(text + at)), batch.column("text_key").take(pa.array(text + at)), ids, pa.array(value, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
+                        ["doc_id", "text_key", item, score, "char_start", "char_end"],
                     )
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField(item, id_type), T.StructField(score, T.DoubleType()), T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(found, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField(item, id_type), T.StructField(score, T.DoubleType()), T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType())])
+    return keyed(docs).mapInArrow(found, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, similarity, char_start, char_end."""
-    bounded_batches(docs.sparkSession)
-    made = blocks(benchmark, "item_id", "text", lambda ids, texts: Index(ids, texts, threshold))
-    return reduce(DataFrame.unionByName, [scan(docs, b, benchmark.schema["item_id"].dataType, "item_id", "similarity") for b in made])
+    return scans(docs, benchmark, "item_id", "similarity", lambda ids, texts: Index(ids, texts, threshold)).drop("text_key")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without any benchmark item, with all their columns; filtered where they are read."""
-    bounded_batches(docs.sparkSession)
+    """The documents without any benchmark item, with all their columns.
+
+    With one block of items they are filtered where they are read; with several, left out by the keys found.
+    """
+    make = lambda ids, texts: Index(ids, texts, threshold)
+    parts, each = indexes(benchmark, "item_id", make)
+    if parts == 1:
+        index = next(each)
 
-    def clean(index: Broadcast):
         @F.pandas_udf(T.BooleanType())
-        def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 out = np.ones(len(texts), bool)
                 for at, part in chunks(texts):
                     out[at + index.value.matches(part)[0]] = False
                 yield pd.Series(out)
 
-        return free
-
-    for index in blocks(benchmark, "item_id", "text", lambda ids, texts: Index(ids, texts, threshold)):
-        docs = docs.where(clean(index)(F.col("text")))
-    return docs
+        return docs.where(clean(F.col("text")))
+    of, key = free(docs, "of", "key")
+    leaks = scans(docs, benchmark, "item_id", "similarity", make).select(F.struct("doc_id", "text_key").alias(of)).distinct()
+    return docs.withColumn(key, document_key()).join(leaks, F.col(key) == F.col(of), "left_anti").select(*docs.columns)

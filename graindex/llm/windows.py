@@ -1,9 +1,9 @@
 """Windows of a text that could match a short item, found by the word shingles they share with it.
 
 An item has n shingles of k words (k is five, or the item's length if that is less), and is compared with windows of
-n shingles, or longer ones if asked for. A text of fewer shingles than a window is one window as a whole. A window that
-reaches the similarity asked for shares so many shingles with the item that a count of the window's shingles known to
-any item already rules the others out; so the windows given here are all that count.
+n shingles. A text of fewer shingles than a window is one window as a whole. A window that reaches the similarity
+asked for shares so many shingles with the item that a count of the window's shingles known to any item already rules
+the others out; so the windows given here are all that can match, and no match is lost by leaving out the others.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ _SIEVE = 20
 class Items:
     """The items of one block: ids and texts; those without words are left out.
 
-    ``share`` is the share of an item's shingles that a matching window must hold; if ``mutual``, of the mean of both
-    numbers of shingles. Windows are as long as an item times each of ``lengths``.
+    ``share`` is the share of the mean number of shingles of item and window that both must hold.
     """
 
-    def __init__(self, ids: list, texts: list[str | None], share: float, k: int = 5, mutual: bool = False, lengths: tuple[float, ...] = (1,)):
-        self.mutual, self.lengths = mutual, lengths
+    def __init__(self, ids: list, texts: list[str | None], share: float, k: int = 5):
         self.ids = ids
         words = Words([t or "" for t in texts])
         counts = words.counts()
@@ -61,28 +59,25 @@ class Items:
             held = np.where(whole > 0, before[lead_in + whole] - before[lead_in], 0)
             found = []
             for n in sizes:
-                longest = 0
-                for size in sorted({int(n * x) for x in self.lengths}):
-                    # texts shorter than this window, and not than the last
-                    short = np.flatnonzero((whole >= longest) & (whole < size) & (held >= self.need(whole, n)))
-                    found.append((lead_in[short], whole[short], np.full(len(short), n)))
-                    longest = size
-                    need = int(self.need(size, n))
-                    # the first known shingle of such a window is among its first size - need + 1
-                    lead = hit[: max(0, len(hit) - need + 1)]
-                    lead = lead[hit[need - 1 :][: len(lead)] - lead < size]
-                    p = np.unique(lead[:, None] - np.arange(size - need + 1)[None, :])
-                    p = p[(p >= 0) & (p + size + k - 1 <= len(words.hash))]
-                    p = p[before[p + size] - before[p] >= need]
-                    p = p[words.text[p] == words.text[p + size + k - 2]]
-                    found.append((p, np.full(len(p), size), np.full(len(p), n)))
+                # texts shorter than this window
+                short = np.flatnonzero((whole < n) & (held >= self.need(whole, n)))
+                found.append((lead_in[short], whole[short], np.full(len(short), n)))
+                need = int(self.need(n, n))
+                # the first known shingle of such a window is among its first n - need + 1
+                lead = hit[: max(0, len(hit) - need + 1)]
+                lead = lead[hit[need - 1 :][: len(lead)] - lead < n]
+                p = np.unique(lead[:, None] - np.arange(n - need + 1)[None, :])
+                p = p[(p >= 0) & (p + n + k - 1 <= len(words.hash))]
+                p = p[before[p + n] - before[p] >= need]
+                p = p[words.text[p] == words.text[p + n + k - 2]]
+                found.append((p, np.full(len(p), n), np.full(len(p), n)))
             starts, size, of = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(starts):
                 yield k, h, starts, size, of
 
     def need(self, size, n: int):
         """The known shingles that a window of ``size`` shingles must hold to match an item of n."""
-        return np.maximum(1, np.ceil(self.share * ((size + n) / 2 if self.mutual else n) - 1e-9))
+        return np.maximum(1, np.ceil(self.share * (size + n) / 2 - 1e-9))
 
 
 def grams(words: Words, k: int, text: int) -> np.ndarray:
