@@ -11,7 +11,9 @@ bins filled from others); shorter ones, where bins would be empty, take one hash
 LONG / 0.8 do both, so that any two lines of similarity 0.8 have a kind in common.
 
 Blank lines are left alone. Null and empty texts have no lines and are unchanged. A document all of whose lines but
-blank ones go is dropped by ``dedup_lines``: its content stands elsewhere.
+blank ones go is dropped by ``dedup_lines``: its content stands elsewhere. Rows that share doc_id and text repeat
+each other's lines: the lines of one of them stay as far as those of other documents let them, and all lines of the
+others go. Null ids come last.
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import band_keys, similar_components
 from .neardup import multiplicities
-from .session import bounded_batches, cut, keyed
+from .session import bounded_batches, cut, document_key, free, keyed
 from .textkernel import Runs, chunks, code_points, spread, tables
 
 GRAM, THRESHOLD, LONG = 6, 0.8, 64
 BANDS, ROWS = 12, 5
 _SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+#: A character that isn't white space.
+_SOLID = "[^" + "".join(f"\\x{{{c:x}}}" for c in _SPACES.tolist()) + "]"
 
 
 class Lines:
@@ -112,6 +116,15 @@ def _of(h: np.ndarray, at: np.ndarray, many: np.ndarray, some: np.ndarray) -> tu
     return h[place], of
 
 
+def distinct_grams(h: np.ndarray, of: np.ndarray, sets: int) -> np.ndarray:
+    """The number of distinct grams of each set."""
+    key = (of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> np.uint64(40)).astype(np.int64), minlength=sets)
+
+
 def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Band keys of all lines one after another, and their number for each line."""
     h, at = lines.grams()
@@ -121,7 +134,7 @@ def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     distinct = many.copy()
     some = np.flatnonzero(many >= LONG)
     if len(some):
-        distinct[some] = np.bincount(multiplicities(*_of(h, at, many, some))[1], minlength=len(some))
+        distinct[some] = distinct_grams(*_of(h, at, many, some), len(some))
     short, long = distinct < LONG / THRESHOLD, distinct >= LONG
     keys, owner = [], []
     for kind, mask in ((0, short), (1, long)):
@@ -166,10 +179,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text of the lines named in ``wanted`` (doc_id, text_key, line_no, node)."""
-    lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
-    left = lists.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wanted")
-    rows = keyed(docs).join(left, F.expr("doc_id <=> _id and text_key = _key")).select("text", "wanted")
+    """node and text of the lines named in ``wanted`` (doc_id, text_key, line_no, node); repeated rows give them again."""
+    lists = wanted.groupBy(F.struct("doc_id", "text_key").alias("at")).agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
+    rows = docs.select(document_key().alias("of"), "text").join(lists, F.col("of") == F.col("at")).select("text", "wanted")
 
     def cutout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,42 +195,64 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(cutout, "node long, text string")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """The lines that go: doc_id, text_key, line_no, and the line that stays for each: kept_doc_id, kept_line_no."""
-    bounded_batches(docs.sparkSession)
-    lines = cut(line_table(docs))
-    least = F.min(F.struct("doc_id", "text_key", "line_no"))
+def _place() -> Column:
+    """Where a line stands, in the order in which lines stay."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line_no")
+
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        one = lines.join(nodes, "node").groupBy("node").agg(least.alias("at")).select("at.*", "node")
+def _decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of documents that go (doc_id, text_key, line_no, kept), and the lines that stay for others or for repeated rows (kept)."""
+    with bounded_batches(docs.sparkSession):
+        lines = cut(line_table(docs))
+    nodes = cut(lines.groupBy("node").agg(F.min(_place()).alias("least"), F.count(F.lit(1)).alias("n")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        one = nodes.join(wanted, "node").select("least.*", "node")
         return line_texts(docs, one).dropDuplicates(["node"])
 
     groups = similar_components(lines, texts, features, THRESHOLD)
-    rows = lines.drop("keys").join(groups, "node", "left").select("doc_id", "text_key", "line_no", F.coalesce("component", "node").alias("component"))
-    kept = rows.groupBy("component").agg(least.alias("kept"))
-    return (
-        rows.join(kept, "component")
-        .where("not (struct(doc_id, text_key, line_no) <=> kept)")
-        .select("doc_id", "text_key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
-    )
+    found = cut(nodes.join(groups, "node", "left").select("node", "least", "n", F.coalesce("component", "node").alias("component")))
+    kept = cut(found.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("kept"), F.sum("n").alias("lines")).where("lines > 1"))
+    # written out, so that the join stands right on its shuffles and Spark can split the rows of a frequent line
+    after = cut(found.join(kept, F.col("component") == F.col("of")).select(F.col("node").alias("of"), "kept"))
+    gone = lines.drop("keys").join(after, F.col("node") == F.col("of")).where(_place() != F.col("kept"))
+    return gone.select("doc_id", "text_key", "line_no", "kept"), kept.select("kept")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """The lines that go: doc_id, text_key, line_no, and the line that stays for each: kept_doc_id, kept_line_no.
+
+    Of a line that stays in one of several rows of the same doc_id and text, each further row gives one, gone for itself.
+    """
+    gone, kept = _decisions(docs)
+    rows = docs.groupBy(document_key().alias("at")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = kept.join(rows, F.struct("kept.doc_id", "kept.text_key") == F.col("at")).withColumn("nth", F.explode(F.sequence(F.lit(2).cast("long"), F.col("rows"))))
+    every = gone.union(again.select("kept.doc_id", "kept.text_key", "kept.line_no", "kept"))
+    return every.select("doc_id", "text_key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    out = []
+    for text, numbers in zip(texts, gone, strict=True):
+        if text is None or numbers is None:
+            out.append(text)
+            continue
+        drop = set(numbers)
+        left = [x for i, x in enumerate(text.split("\n")) if i not in drop]
+        out.append("\n".join(left) if any(x.strip() for x in left) else None)
+    return pd.Series(out, dtype=object)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated lines; documents that keep no line but blank ones are dropped."""
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-
-    @F.pandas_udf(T.StringType())
-    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for text, numbers in zip(texts, gone, strict=True):
-            if text is None or numbers is None:
-                out.append(text)
-                continue
-            drop = set(numbers)
-            left = [x for i, x in enumerate(text.split("\n")) if i not in drop]
-            out.append("\n".join(left) if any(x.strip() for x in left) else None)
-        return pd.Series(out, dtype=object)
-
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(gone, F.expr("doc_id <=> _id and _text_key = _key"), "left").withColumn("_left", without("text", "_gone"))
-    return rows.where("_gone is null or _left is not null").withColumn("text", F.col("_left")).select(*docs.columns)
+    """``docs`` without the repeated lines; documents that keep no line but blank ones are dropped.
+
+    Of rows that share doc_id and text and have a line, one stays, any of them.
+    """
+    key, of, lost, left = free(docs, "key", "of", "lost", "left")
+    lists = _decisions(docs)[0].groupBy(F.struct("doc_id", "text_key").alias(of)).agg(F.collect_set("line_no").alias(lost))
+    has_line = F.coalesce(F.col("text").rlike(_SOLID), F.lit(False))
+    rows = docs.where(has_line).withColumn(key, document_key()).dropDuplicates([key])
+    rows = rows.join(lists, F.col(key) == F.col(of), "left").withColumn(left, _without(F.col("text"), F.col(lost)))
+    rows = rows.where(F.col(lost).isNull() | F.col(left).isNotNull()).withColumn("text", F.col(left)).select(*docs.columns)
+    return rows.union(docs.where(~has_line))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import band_keys, similar_components
-from .session import bounded_batches, cut, keyed
+from .session import bounded_batches, cut, document_key, free, keyed
 from .textkernel import Runs, Words, chunks, mix, shingles
 
 WORDS, THRESHOLD = 5, 0.8
@@ -35,7 +35,9 @@ BANDS, ROWS = 16, 5
 
 def multiplicities(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, hash) with their numbers of occurrences."""
-    order = np.lexsort((hashes, text))
+    order = np.argsort(hashes)
+    # a stable sort of 16-bit numbers takes one pass for each byte
+    order = order[np.argsort(text[order].astype(np.uint16 if text.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
     h, t = hashes[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
@@ -137,30 +139,37 @@ def pair_similarities(hashes: np.ndarray, pair: np.ndarray, side: np.ndarray, pa
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key, and those of the document that stands for its group: class_id, class_key.
 
-    That is the least by doc_id, then text_key; null ids come last.
+    That is the least by doc_id, then text_key; null ids come last. Repeated rows are repeated.
     """
-    bounded_batches(docs.sparkSession)
-    held = cut(signatures(docs))
+    with bounded_batches(docs.sparkSession):
+        held = cut(signatures(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = cut(held.where("node is not null").groupBy("node").agg(first))
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        least = F.min(F.struct("doc_id", "text_key")).alias("at")
-        one = held.select("node", "doc_id", "text_key").join(nodes, "node").groupBy("node").agg(least)
-        one = one.select(F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"), "node")
-        return keyed(docs).join(one, F.expr("doc_id <=> _id and text_key = _key")).select("node", "text").dropDuplicates(["node"])
+    def texts(wanted: DataFrame) -> DataFrame:
+        one = nodes.join(wanted, "node").select("node", F.struct("first.doc_id", "first.text_key").alias("at"))
+        rows = docs.select(document_key().alias("of"), "text").join(one, F.col("of") == F.col("at"))
+        return rows.select("node", "text").dropDuplicates(["node"])
 
     groups = similar_components(held, texts, features, THRESHOLD)
-    rows = held.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
-    least = rows.where("component is not null").groupBy("component").agg(first).select("component", "first.doc_id", "first.text_key").toDF("component", "class_id", "class_key")
-    alone = F.col("component").isNull()
-    return rows.join(least, "component", "left").select(
+    found = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = cut(found.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("first")))
+    # written out, so that the joins stand right on their shuffles and Spark can split a frequent node or class
+    classes = cut(found.select("node", "component").join(least, F.col("component") == F.col("of")).select("node", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key")))
+    alone = F.col("node").isNull()
+    rows = held.drop("keys").join(classes, "node", "left")
+    return rows.select(
         "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("text_key")).otherwise(F.col("class_key")).alias("class_key")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the least (doc_id, text_key) of a group stays, null ids last."""
-    kept = near_duplicate_classes(docs).where("doc_id <=> class_id and text_key = class_key").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    found = rows.join(kept, F.expr("doc_id <=> _id and _text_key = _key"), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    """One document of each group, with all its columns: the least (doc_id, text_key) of a group stays, null ids last.
+
+    Of rows that share doc_id and text one stays.
+    """
+    of, key = free(docs, "of", "key")
+    stays = near_duplicate_classes(docs).where("doc_id <=> class_id and text_key = class_key")
+    kept = stays.select(F.struct("doc_id", "text_key").alias(of)).distinct()
+    rows = docs.withColumn(key, document_key()).dropDuplicates([key])
+    return rows.join(kept, F.col(key) == F.col(of), "left_semi").select(*docs.columns)

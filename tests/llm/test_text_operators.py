@@ -52,7 +52,7 @@ def test_bpe_long_text_by_blocks(encoding, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
     text = "Some words, thhahe and others' 123 times. " * 40
     assert np.frombuffer(v.encode_all([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500)
     assert np.frombuffer(v.encode_all([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
 
 
