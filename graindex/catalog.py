@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bills, texts, vectors
+from .plans import bills, browse, recipes, texts, vectors
 
-_PLANS = (bills.REGISTRY, vectors.REGISTRY, texts.REGISTRY)
+_PLANS = (bills.REGISTRY, browse.REGISTRY, vectors.REGISTRY, texts.REGISTRY, recipes.REGISTRY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

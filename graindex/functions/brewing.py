@@ -190,30 +190,47 @@ def oil_profile(first: Column, second: Column, third: Column) -> Column:
     ]
     inside = lambda r, f: (r["hi"] >= OIL_LIMITS[f][0]) & (r["hi"] <= OIL_LIMITS[f][1])
 
+    # lambda variables hold what is used more than once, so that it is read once
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
     def scored(i: int, record: Column, fields: list) -> Column:
-        named = dict(zip(OIL_LIMITS, [read(record, f) for f in fields], strict=True))
-        filled = sum((F.when(r.isNotNull(), 1).otherwise(0) for r in named.values()), F.lit(0))
-        broken = sum((F.when(r.isNotNull() & ~inside(r, f), 1).otherwise(0) for f, r in named.items()), F.lit(0))
-        broken = broken + F.when(named["myrcene"].isNull() & (filled >= 3), 1).otherwise(0)
-        oils = F.struct(*[r.alias(f) for f, r in named.items()])
-        return F.when(filled > 0, F.struct((broken * 100 - filled).alias("score"), F.lit(i).alias("way"), oils.alias("oils")))
+        def of(oils: Column) -> Column:
+            filled = sum((F.when(oils[f].isNotNull(), 1).otherwise(0) for f in OIL_LIMITS), F.lit(0))
+            broken = sum((F.when(oils[f].isNotNull() & ~inside(oils[f], f), 1).otherwise(0) for f in OIL_LIMITS), F.lit(0))
+            return F.struct(filled.alias("filled"), broken.alias("broken"), oils.alias("oils"))
+
+        def judged(o: Column) -> Column:
+            broken = o["broken"] + F.when(o["oils"]["myrcene"].isNull() & (o["filled"] >= 3), 1).otherwise(0)
+            return F.when(o["filled"] > 0, F.struct((broken * 100 - o["filled"]).alias("score"), F.lit(i).alias("way"), o["oils"].alias("oils")))
+
+        oils = F.struct(*[read(record, f).alias(name) for name, f in zip(OIL_LIMITS, fields, strict=True)])
+        return once(once(oils, of), judged)
 
     best = F.array_min(F.array_compact(F.array(*[scored(i, *w) for i, w in enumerate(ways)])))["oils"]
-    oils = text.number_range(third["oils"])
-    percent = lambda f: F.when(middle(oils) != 0, middle(text.number_range(third[f])) / middle(oils) * 100)
+    percent = lambda f, total: F.when(middle(total) != 0, middle(text.number_range(third[f])) / middle(total) * 100)
     about = lambda p: F.when(p.isNotNull(), F.struct(F.round(p * 0.85, 1).alias("lo"), F.round(p * 1.15, 1).alias("hi")))
-    last = {"humulene": about(percent("humulene")), "farnesene": about(percent("farnesene")), "linalool": text.number_range(third["linalool"])}
-
-    def field(f: str) -> Column:
-        options = [F.when(inside(best[f], f), best[f])]
-        if f in ("myrcene", "caryophyllene", "farnesene"):
-            r = text.number_range(second[f])
-            options.append(F.when(inside(r, f), r))
-        if f in last:
-            options.append(F.when(last[f]["hi"] <= OIL_LIMITS[f][1], last[f]))
-        return F.coalesce(*options)
-
-    return F.struct(*[field(f).alias(f) for f in OIL_LIMITS])
+    gaps = once(text.number_range(third["oils"]), lambda t: F.struct(*[once(percent(f, t), about).alias(f) for f in ("humulene", "farnesene")], text.number_range(third["linalool"]).alias("linalool")))
+
+    def filled_in(all_of: Column) -> Column:
+        found, last = all_of["best"], all_of["gaps"]
+
+        def field(f: str) -> Column:
+            options = [F.when(inside(found[f], f), found[f])]
+            if f in ("myrcene", "caryophyllene", "farnesene"):
+                options.append(once(text.number_range(second[f]), lambda r: F.when(inside(r, f), r)))
+            if f in ("humulene", "farnesene", "linalool"):
+                options.append(F.when(last[f]["hi"] <= OIL_LIMITS[f][1], last[f]))
+            return F.coalesce(*options)
+
+        return F.struct(*[field(f).alias(f) for f in OIL_LIMITS])
+
+    return once(F.struct(best.alias("best"), gaps.alias("gaps")), filled_in)
+
+
+def cohumulone(low: Column, high: Column, *texts: Column) -> Column:
+    """A hop's cohumulone range: the measured ends if either isn't 0, else the first text that holds a range."""
+    measured = F.when((F.coalesce(low, F.lit(0.0)) != 0) | (F.coalesce(high, F.lit(0.0)) != 0), F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi")))
+    return F.coalesce(measured, *[text.number_range(t) for t in texts])
 
 
 def import_json(exports: DataFrame, content: str, colour_unit: str = "auto") -> tuple[DataFrame, DataFrame]:

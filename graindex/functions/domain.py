@@ -75,6 +75,35 @@ HOP_ALIASES = {
     "styrian goldings celeia": "celeia",
 }
 
+#: Aliases of producers' spellings.
+PRODUCER_ALIASES = {
+    "columbus": "ctz",
+    "columbus tomahawk": "ctz",
+    "zeus": "ctz",
+    "east kent goldings": "east kent golding",
+    "tettnang tettnanger": "tettnanger",
+    "spalt spalter": "spalter",
+    "whitbread goldings variety": "whitbread golding",
+    "styrian savinjski golding": "styrian golding",
+    "savinjski golding": "styrian golding",
+    "hallertauer mittelfr h": "hallertauer mittelfruh",
+    "hallertau mittelfr h": "hallertauer mittelfruh",
+    "hallertau mittelfrueh": "hallertauer mittelfruh",
+    "strisselspalter": "strisselspalt",
+    "golding": "goldings",
+}
+
+FERMENTATION_TAGS = [("wild-fermented", "Wild & sour"), ("bottom-fermented", "Lager"), ("top-fermented", "Ale")]
+FERMENTATION_WORDS = [
+    ("Wild & sour", r"sour|lambic|gueuze|brett|wild"),
+    ("Lager", r"lager|pils|bock|helles|m[äa]rzen|schwarz|dunkel|kellerbier|zwickel"),
+    ("Ale", r"ale|ipa|stout|porter|bitter|saison|weiss|weizen|wit"),
+]
+ANY_FERMENTATION = "Any yeast / specialty"
+
+#: A yeast's product code.
+YEAST_CODE = r"\b(wlp ?\d{3,4}|wy ?\d{4}|[a-z]{1,2}-\d{2,3}|34/70|\d{4})\b"
+
 STOP_WORDS = ["style", "beer", "ale", "lager", "or", "and"]
 
 TOKEN_ALIASES = {
@@ -195,6 +224,26 @@ def hop_name(name: Column) -> Column:
     return F.when(known != n, known).otherwise(lookup(stripped, HOP_ALIASES))
 
 
+def producer_name(name: Column) -> Column:
+    """A producer's hop name: marks out, numbered breeding lines as one word, punctuation as blanks, then aliases."""
+    n = F.regexp_replace(F.lower(name), "[®™]", "")
+    n = F.regexp_replace(n, r"\b(hbc|yqh)\s*(\d+)\b", "$1$2")
+    return lookup(F.trim(F.regexp_replace(n, "[^a-z0-9]+", " ")), PRODUCER_ALIASES)
+
+
+def yeast_key(name: Column) -> Column:
+    """A yeast's product code without blanks, else its cleaned name; null for names without a letter or digit."""
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9/ -]+", " "), r"\s+", " "))
+    code = F.nullif(F.replace(F.regexp_extract(cleaned, YEAST_CODE, 1), F.lit(" "), F.lit("")), F.lit(""))
+    return F.when(cleaned.rlike("[a-z0-9]"), F.coalesce(code, cleaned))
+
+
+def fermentation(tags: Column, name: Column, category: Column) -> Column:
+    """Fermentation family of a style, by its tags in their order, else by words of its name and category."""
+    known = F.coalesce(*[F.when(F.array_contains(tags, t), f) for t, f in FERMENTATION_TAGS])
+    return F.coalesce(known, ordered_rules([F.concat_ws(" ", name, category)], FERMENTATION_WORDS, ANY_FERMENTATION))
+
+
 def style_name(name: Column) -> Column:
     """A guideline name for matching."""
     n = F.translate(F.lower(name), "äàáâöòóôüùúûéèêë", "aaaaoooouuuueeee")

@@ -99,3 +99,31 @@ def lexicon_strength(texts: Sequence[Column], terms: Mapping[str, str]) -> Colum
     """For each term (name, pattern) that occurs: struct<name, strength>, where strength counts the texts that hold it."""
     entries = [F.struct(F.lit(n).alias("name"), sum((F.coalesce(t.rlike("(?i)" + p), F.lit(False)).cast("int") for t in texts), F.lit(0)).alias("strength")) for n, p in terms.items()]
     return F.filter(F.array(*entries), lambda e: e["strength"] > 0)
+
+
+def file_name(text: Column) -> Column:
+    """A safe file name: letters, digits, blanks, _ and - stay; runs of blanks become one -; lower case."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, "(?i)[^a-z0-9 _-]", "")), r"\s+", "-"))
+
+
+def shortened(text: Column, most: int = 260) -> Column:
+    return F.substring(text, 1, most)
+
+
+def last_year(text: Column) -> Column:
+    """The year that a date like 09/2010 ends with; null where its last four characters are no number."""
+    return F.right(text, F.lit(4)).try_cast("int")
+
+
+def export_link(html: Column, key: Column, site: str, kind: str) -> Column:
+    """The address of a page's export of some kind: the first link that names it, made absolute, else the usual one for the key."""
+    found = F.nullif(F.regexp_extract(html, rf'(?i)href="([^"]*{kind}[^"]*)"', 1), F.lit(""))
+    whole = F.when(found.startswith("http"), found).otherwise(F.concat(F.lit(site), found))
+    usual = F.when(key.isNotNull() & (key != ""), F.concat(F.lit(f"{site}/homebrew/recipe/{kind}1.0/"), key))
+    return F.coalesce(whole, usual)
+
+
+def labelled_words(text: Column, label: str, ends: str) -> Column:
+    """The words after a label, up to two blanks or one of the words in ``ends`` (a pattern); null without."""
+    words = F.regexp_extract(text, rf"{label}:?\s+([\p{{L}}0-9 .'&/-]+?)(?:\s{{2,}}|\s(?:{ends})\b)", 1)
+    return blank_to_null(words)

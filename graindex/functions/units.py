@@ -78,3 +78,43 @@ def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     either = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
     return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def gravity_range(low: Column, high: Column) -> Column:
+    """A range of gravities, each in points if above 2 (1060 is 1.060); null unless both are there."""
+    scaled = lambda x: F.when(x > 2, x / 1000).otherwise(x)
+    return F.when(low.isNotNull() & high.isNotNull(), F.struct(scaled(low).alias("lo"), scaled(high).alias("hi")))
+
+
+def blended_colour(share: Column, first: tuple[int, int, int], second: tuple[int, int, int], power: float = 1.0) -> Column:
+    """A colour like #f2d98c between two, by a share that is clamped to 0 to 1 and raised to ``power``."""
+    t = F.pow(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(power))
+    part = lambda a, b: F.lpad(F.lower(F.hex(F.floor(F.lit(float(a)) + (b - a) * t + 0.5).cast("long"))), 2, "0")
+    return F.when(share.isNotNull(), F.concat(F.lit("#"), *[part(a, b) for a, b in zip(first, second, strict=True)]))
+
+
+#: Ends of the ramp of strength, and of the ramp of similarity with its power.
+STRENGTH_RAMP = ((0xF2, 0xD9, 0x8C), (0x8A, 0x2B, 0x06))
+SIMILARITY_RAMP = ((26, 26, 25), (57, 135, 229), 1.35)
+
+
+def strength_colour(abv: Column, low: Column, high: Column) -> Column:
+    return blended_colour((abv - low) / F.greatest(F.lit(1e-6), high - low), *STRENGTH_RAMP)
+
+
+def similarity_colour(score: Column) -> Column:
+    return blended_colour(score, *SIMILARITY_RAMP)
+
+
+def difference(a: Column, b: Column, digits: int = 1) -> Column:
+    """How the second differs from the first: '+1.2', '-0.3', '=' under 0.05, and '—' where either is unknown."""
+    d = b - a
+    sign = F.when(d > 0, "+").otherwise("-")
+    return F.when(d.isNull(), "—").when(F.abs(d) < 0.05, "=").otherwise(F.concat(sign, F.format_string(f"%.{digits}f", F.abs(d))))
+
+
+def range_text(box: Column, digits: int = 0, unit: str = "", short: bool = False) -> Column:
+    """'4–6', or '4' where both ends are equal, and '—' for none; ``short`` leaves out a last .0."""
+    one = lambda x: F.regexp_replace(F.format_string(f"%.{digits}f", x), r"\.0$" if short else r"$^", "")
+    both = F.when(box["lo"] == box["hi"], one(box["lo"])).otherwise(F.concat(one(box["lo"]), F.lit("–"), one(box["hi"])))
+    return F.when(box.isNull(), "—").otherwise(F.concat(both, F.lit(unit)))

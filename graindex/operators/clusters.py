@@ -10,48 +10,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def seeds(df: DataFrame, vector: str, k: int, sample: int = 2000, seed: int = 42) -> np.ndarray:
-    """k-means++ seeds from a bounded sample drawn by a hash of the vector."""
+def sampled(df: DataFrame, vector: str, n: int = 2000) -> np.ndarray:
+    """A bounded sample of the vectors, drawn by a hash of the vector."""
     rows = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    picked = rows.orderBy(F.xxhash64("v")).limit(sample).collect()
-    x = np.array([r["v"] for r in picked], np.float64)
+    return np.array([r["v"] for r in rows.orderBy(F.xxhash64("v")).limit(n).collect()], np.float64)
+
+
+def seeds(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """k-means++ seeds from a sample, each drawn by its squared distance to those before."""
     rng, k = np.random.default_rng(seed), min(k, len(x))
     centres = x[rng.integers(len(x))][None] if k else np.zeros((0, 0))
-    while len(centres) < k:
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-        pick = rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))
+    least = np.full(len(x), np.inf)
+    while 0 < len(centres) < k:
+        least = np.minimum(least, ((x - centres[-1]) ** 2).sum(1))
+        pick = rng.choice(len(x), p=least / least.sum()) if least.sum() > 0 else rng.integers(len(x))
         centres = np.vstack([centres, x[pick]])
     return centres
 
 
-def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 20, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """(key, cluster, distance) and the centres: Lloyd steps whose sums are made in the tasks and merged by cluster."""
+def kmeans(df: DataFrame, key: str, vector: str, k: int, starts: int = 8, rounds: int = 120, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(key, cluster, distance) and the centres of the best of several starts, by the sum of squared distances.
+
+    All starts take their Lloyd steps in the same pass over the rows, until none moves; sums are made in the tasks and
+    merged by start and cluster. An empty cluster moves to the row farthest from its centre. The steps of ``rounds``
+    passes at most are taken; what still moves then is kept as it is. Rows are read again each round, so cache or cut
+    a costly plan first.
+    """
     v = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    centres = seeds(df, vector, k, seed=seed)
-    for _ in range(rounds):
-        def sums(batches: Iterator[pa.RecordBatch], c: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(0).to_pylist(), np.float64)
-                at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-                total = np.zeros((len(c), x.shape[1] + 1))
-                np.add.at(total, at, np.hstack([x, np.ones((len(x), 1))]))
-                i, j = np.nonzero(np.ones_like(total))
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["c", "j", "s"])
-
-        if not len(centres):
-            break
-        got = v.select("v").mapInArrow(sums, "c int, j int, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).collect()
-        total = np.zeros((len(centres), centres.shape[1] + 1))
-        for r in got:
-            total[r["c"], r["j"]] = r["s"]
-        n = total[:, -1:]
-        moved = np.where(n > 0, total[:, :-1] / np.maximum(n, 1), centres)
-        if np.allclose(moved, centres, atol=1e-12):
+    x = sampled(df, vector)
+    every = [seeds(x, k, seed + 7919 * r) for r in range(starts)]
+    best, cost, live = every[0], float("inf"), list(range(starts)) if len(every[0]) else []
+    for step in range(rounds + 1):
+        if not live:
             break
-        centres = moved
-    return v.select(key, *assigned(centres)), centres
+
+        at = {r: every[r] for r in live}
+        total = _lloyd_sums(v, at)
+        for r in list(live):
+            n, inertia = total[r][:, -2:-1], float(total[r][:, -1].sum())
+            moved = np.where(n > 0, total[r][:, :-2] / np.maximum(n, 1), every[r])
+            if (n == 0).any():
+                moved = np.where(n > 0, moved, _farthest(v, every[r]))
+            if step == rounds or np.allclose(moved, every[r], rtol=0, atol=1e-12):
+                live.remove(r)
+                if inertia < cost:
+                    best, cost = every[r], inertia
+            else:
+                every[r] = moved
+    return v.select(key, *assigned(best)), best
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the centres for each row, and its squared distance."""
+    near = (-2 * x @ c.T + (c * c).sum(1)).argmin(1)
+    return near, ((x - c[near]) ** 2).sum(1)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            yield np.array(batch.column(0).slice(lo, 2048).to_pylist(), np.float64)
+
+
+def _lloyd_sums(v: DataFrame, at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each start and centre the sum of its rows, their number, and the sum of their squared distances."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in at.items()}
+        for x in _rows(batches):
+            for r, c in at.items():
+                near, least = _nearest(x, c)
+                np.add.at(total[r], near, np.hstack([x, np.ones((len(x), 1)), least[:, None]]))
+        for r, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r] * len(t)), pa.array(range(len(t)), pa.int64()), pa.array(t.tolist(), pa.list_(pa.float64()))], ["r", "c", "sums"])
+
+    width = next(iter(at.values())).shape[1] + 2
+    parts = v.select("v").mapInArrow(sums, "r long, c long, sums array<double>")
+    out = {r: np.zeros((len(c), width)) for r, c in at.items()}
+    for row in parts.groupBy("r", "c").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("s")).collect():  # starts * k rows
+        out[row["r"]][row["c"]] = row["s"]
+    return out
+
+
+def _farthest(v: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The row that is farthest from its centre."""
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _rows(batches):
+            least = _nearest(x, centres)[1]
+            i = int(least.argmax())
+            yield pa.RecordBatch.from_arrays([pa.array([float(least[i])]), pa.array([x[i].tolist()])], ["d", "x"])
+
+    return np.array(v.select("v").mapInArrow(far, "d double, x array<double>").agg(F.max(F.struct("d", "x")).alias("m")).first()["m"]["x"])
 
 
 def assigned(centres: np.ndarray, vector: str = "v") -> list:
@@ -86,6 +136,25 @@ def average_linkage(distances: np.ndarray) -> list[tuple[int, int, float, int]]:
     return out
 
 
+def linkage_of(points: DataFrame, key: str, vector: str, most: int = 200) -> list[tuple[int, int, float, int]]:
+    """The tree of at most ``most`` points, in order of key; more are an error, as the method takes cubic time on one machine."""
+    rows = points.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"average linkage is for {most} points at most")
+    x = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
+    return average_linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))) if len(rows) else []
+
+
+def layout(merges: list[tuple[int, int, float, int]], n: int) -> list[tuple[int, float, float]]:
+    """(node, x, height) of a dendrogram: leaves at their place from left to right, a merge between its two parts."""
+    x = {leaf: float(i) for i, leaf in enumerate(leaf_order(merges, n))}
+    out = [(leaf, at, 0.0) for leaf, at in x.items()]
+    for i, (left, right, height, _) in enumerate(merges):
+        x[n + i] = (x[left] + x[right]) / 2
+        out.append((n + i, x[n + i], height))
+    return out
+
+
 def leaf_order(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
     """Leaves from left to right."""
     if not merges:

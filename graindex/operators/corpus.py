@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import Scale, principal_components, style_numerics
+from ..functions import brewing, text, units
+from .features import Scale, fit_space, principal_components, style_numerics
+from .rollups import vocabulary
 
 
 def duplicate_ids(df: DataFrame, guide: str, key: str) -> DataFrame:
@@ -15,6 +17,14 @@ def duplicate_ids(df: DataFrame, guide: str, key: str) -> DataFrame:
     return df.groupBy(guide, key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def assert_unique(df: DataFrame, guide: str, key: str) -> DataFrame:
+    """``df``, or an error that names the least repeated id of a guide."""
+    first = duplicate_ids(df, guide, key).orderBy(guide, key).first()
+    if first is not None:
+        raise ValueError(f"{first[guide]} has {first[key]} {first['n']} times")
+    return df
+
+
 def fullest(df: DataFrame, key: str, profile: Column, position: str) -> DataFrame:
     """One record a key: one with a profile first, then the one with more fields filled, then the first in position."""
     filled = sum((F.col(c).isNotNull().cast("int") for c in df.columns), F.lit(0))
@@ -108,6 +118,60 @@ def drifted(matches: DataFrame, axes: Sequence[str], least: float = 0.05) -> Dat
     return matches.where(any_far)
 
 
+def edition_difference(a: DataFrame, b: DataFrame, key: str, axes: Sequence[str], least: float = 0.05) -> DataFrame:
+    """key and change of two editions: same or changed (see drifted) where both have it, removed or added where one has."""
+    left, right = (df.select(key, *[F.col(x).alias(f"{x}_{side}") for x in axes], F.lit(True).alias(f"in_{side}")) for df, side in ((a, "a"), (b, "b")))
+    both = left.join(right, key, "full")
+    moved = drifted(both.where("in_a and in_b"), axes, least).select(key, F.lit("changed").alias("change"))
+    kept = both.where("in_a and in_b").join(moved.select(key), key, "left_anti").select(key, F.lit("same").alias("change"))
+    return moved.unionByName(kept).unionByName(both.where("not (coalesce(in_a, false) and coalesce(in_b, false))").select(key, F.when(F.col("in_b").isNull(), "removed").otherwise("added").alias("change")))
+
+
+def shared_projection(first: DataFrame, second: DataFrame, guide: tuple[str, str], columns: Sequence[str], tags: str, weight: float = 0.3) -> DataFrame:
+    """Two guides in one space: guide, id and x, y, z on the first axes of their union, tags weighted by ``weight``.
+
+    Rows that lack a number take no part; the vocabulary is of tags that two rows or more carry.
+    """
+    both = first.select("id", *columns, tags, F.lit(guide[0]).alias("guide")).unionByName(second.select("id", *columns, tags, F.lit(guide[1]).alias("guide")))
+    both = both.dropna(subset=list(columns))
+    space = fit_space(both, columns, tags, weight, vocabulary(both, tags, 2))
+    rows = both.select("guide", "id", space.vector(tags).alias("v"))
+    found = principal_components(rows, "v", 3)
+    return rows.select("guide", "id", found.project(F.col("v")).alias("p")).select("guide", "id", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+
+
+def unit_cube(points: DataFrame, name: str, size: float = 1.15) -> DataFrame:
+    """Points (arrays) divided by their largest absolute coordinate and times ``size``."""
+    most = points.agg(F.max(F.array_max(F.transform(name, lambda x: F.abs(x)))).alias("_most"))  # one row
+    scale = F.when(F.col("_most") > 0, F.lit(size) / F.col("_most")).otherwise(1.0)
+    return points.join(F.broadcast(most)).withColumn(name, F.transform(name, lambda x: x * scale)).drop("_most")
+
+
+def slim(recipes: DataFrame) -> DataFrame:
+    """Recipes for a list: no prose, malts without weight, hops without times, and the hop dose and roast share made ready."""
+    pick = lambda fields: lambda x: F.struct(*[x[f].alias(f) for f in fields])
+    ready = recipes.withColumn("hop_dose", F.round(brewing.hop_dose(F.col("hops"), F.col("batchL")), 2)).withColumn("roast", F.round(brewing.grist_share(F.col("malts"), "roasted"), 2))
+    return ready.withColumn("malts", F.transform("malts", pick(["name", "pct", "class"]))).withColumn("hops", F.transform("hops", pick(["name", "key", "g", "stage"]))).drop("description")
+
+
+def scatter_points(recipes: DataFrame, mode: str) -> DataFrame:
+    """id, x, y of slim recipes: hop dose against bitterness, or else roast share against colour (80 at most)."""
+    if mode == "hops":
+        return recipes.where("hop_dose > 0 and vitals.ibu is not null").select("id", F.col("hop_dose").alias("x"), F.col("vitals.ibu").alias("y"))
+    return recipes.where("vitals.srm is not null").select("id", F.coalesce("roast", F.lit(0.0)).alias("x"), F.least(F.col("vitals.srm"), F.lit(80.0)).alias("y"))
+
+
+def manual_recipe(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of a form (name and five numbers as text) as recipes, with strength computed if blank, and the entries that lack a number."""
+    n = {c: text.leading_number(F.col(c)) for c in ("og", "fg", "abv", "ibu", "srm")}
+    abv = F.coalesce(n["abv"], units.alcohol(n["og"], n["fg"]))
+    good = n["og"].isNotNull() & n["fg"].isNotNull() & n["ibu"].isNotNull() & n["srm"].isNotNull()
+    vitals = F.struct(n["og"].alias("og"), n["fg"].alias("fg"), abv.alias("abv"), n["ibu"].alias("ibu"), n["srm"].alias("srm"))
+    tags = brewing.derived_tags(F.col("name"), n["og"], abv, n["ibu"], n["srm"])
+    name = F.coalesce(text.blank_to_null(F.col("name")), F.lit("My recipe"))
+    return entries.where(good).select(name.alias("name"), vitals.alias("vitals"), tags.alias("tags"), F.lit("manual").alias("source")), entries.where(~good)
+
+
 def nearest_blend(asked: float, blends: Sequence[float] = (0.5, 0.0, 1.0)) -> float:
     """The precomputed blend nearest to the one asked for; the first of equally near ones."""
     return min(blends, key=lambda b: abs(b - asked))

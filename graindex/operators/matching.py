@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain
 from ..functions.units import cosine, jaccard
+from .corpus import drifted
+from .steps import cut
 
 
 def candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs worth considering of two tables (id, name, pos): a_pos, b_pos, kind, score, a_id, b_id.
 
-    kind 1: a reading of one equals a reading of the other (score is minus the place of the reading); kind 2: token
+    kind 1: a reading of one equals a reading of the other, which names the first entry that has it (score is minus the
+    place of the reading); kind 2: token
     Jaccard above 0.65 of any readings; kind 3: the telling words of one lie in the other's. Pairs are found by
     joining readings and tokens, so names that share nothing never meet.
     """
@@ -21,7 +24,8 @@ def candidates(first: DataFrame, second: DataFrame) -> DataFrame:
         return rows.withColumn(f"{x}_tokens", domain.name_tokens(F.col("reading")))
 
     a, b = readings(first, "a"), readings(second, "b")
-    exact = a.join(b.select("b_id", "b_pos", "reading"), "reading").select("a_id", "b_id", "a_pos", "b_pos", F.lit(1).alias("kind"), (-F.col("a_place")).cast("double").alias("score"))
+    index = b.groupBy("reading").agg(F.min(F.struct("b_pos", "b_id")).alias("first")).select("reading", "first.b_pos", "first.b_id")
+    exact = a.join(index, "reading").select("a_id", "b_id", "a_pos", "b_pos", F.lit(1).alias("kind"), (-F.col("a_place")).cast("double").alias("score"))
     token = lambda df, x: df.select("*", F.explode(f"{x}_tokens").alias("token")).drop("reading")
     met = token(a, "a").join(token(b, "b"), "token").drop("token").distinct()
     has = lambda x, w: F.col(f"{x}_norm").rlike(rf"\b{w}\b")
@@ -36,37 +40,60 @@ def candidates(first: DataFrame, second: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy).unionByName(inside).groupBy("a_id", "b_id", "a_pos", "b_pos", "kind").agg(F.max("score").alias("score"))
 
 
+def one_to_one(found: DataFrame) -> DataFrame:
+    """a_id and b_id of the matches that a greedy pass makes: in order of a_pos each a takes the best of its b that is free.
+
+    ``found`` has a_id, a_pos, b_id, b_pos and score; better is a higher score, then a smaller b_pos. Instead of one
+    after another, all ask at once for their best, and of those that ask for the same b the first in order keeps it; the
+    others can't have it, and ask for their next in another round. What each gets is the same, as a b is only ever
+    taken over by one that comes earlier.
+    """
+    best = Window.partitionBy("a_id").orderBy(F.desc("score"), "b_pos")
+    first = Window.partitionBy("b_id").orderBy("a_pos")
+    left = cut(found)
+    while True:
+        asked = left.withColumn("_r", F.row_number().over(best)).where("_r = 1").withColumn("_k", F.row_number().over(first))
+        lost = asked.where("_k > 1").select("a_id", "b_id")
+        if lost.isEmpty():
+            return asked.select("a_id", "b_id")
+        left = cut(left.join(lost, ["a_id", "b_id"], "left_anti"))
+
+
 def match_names(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One-to-one matches (a_id, b_id, fuzzy) of two short lists of names, by three greedy passes in their order.
+    """One-to-one matches (a_id, b_id, fuzzy) of two lists of names (id, name, pos), by three greedy passes (see candidates).
 
-    The passes depend on order, so they run on the driver over the candidate pairs, whose number is that of the
-    names; guidelines have about a hundred.
+    Later passes see only what the earlier ones left. The last takes an a only if one to three b of the whole list hold
+    its words or lie in them.
     """
-    spark = first.sparkSession
-    rows = candidates(first, second).collect()
-    of: dict[int, dict[str, list]] = {1: {}, 2: {}, 3: {}}
-    for r in rows:
-        of[r["kind"]].setdefault(r["a_id"], []).append(r)
-    names = [r["id"] for r in first.select("id", "pos").orderBy("pos").collect()]
-    used, out = set(), []
+    every = cut(candidates(first, second))
+    out = None
     for kind in (1, 2, 3):
-        left = []
-        for a in names:
-            found = sorted(of[kind].get(a, []), key=lambda r: (-r["score"], r["b_pos"]))
-            if kind == 1:  # a reading names the first entry that has it
-                by_reading: dict[float, object] = {}
-                for r in found:
-                    by_reading.setdefault(r["score"], r)
-                found = list(by_reading.values())
-            hit = next((r for r in found if r["b_id"] not in used), None)
-            if hit is None or kind == 3 and len(found) > 3:
-                left.append(a)
-                continue
-            used.add(hit["b_id"])
-            out.append((a, hit["b_id"], kind > 1))
-        names = left
-    kind_of = dict(first.dtypes)["id"], dict(second.dtypes)["id"]
-    return spark.createDataFrame(out, f"a_id {kind_of[0]}, b_id {kind_of[1]}, fuzzy boolean")
+        found = every.where(F.col("kind") == kind)
+        if kind == 3:
+            few = found.groupBy("a_id").agg(F.countDistinct("b_id").alias("n")).where("n <= 3").select("a_id")
+            found = found.join(few, "a_id")
+        if out is not None:
+            found = found.join(out.select("a_id"), "a_id", "left_anti").join(out.select("b_id"), "b_id", "left_anti")
+        found = found.groupBy("a_id", "a_pos", "b_id", "b_pos").agg(F.max("score").alias("score"))
+        made = cut(one_to_one(found).withColumn("fuzzy", F.lit(kind > 1)))
+        out = made if out is None else cut(out.unionByName(made))
+    return out
+
+
+def guide_difference(first: DataFrame, second: DataFrame, axes: list[str], least: float = 0.05) -> DataFrame:
+    """a_id, b_id and change of two guides (id, name, pos and middles of ``axes``): same, changed, removed or added.
+
+    Names are matched one to one; changed are matches any of whose middles differ by ``least`` or more.
+    """
+    matches = match_names(first.select("id", "name", "pos"), second.select("id", "name", "pos")).select("a_id", "b_id")
+    left = first.select(F.col("id").alias("a_id"), *[F.col(x).alias(f"{x}_a") for x in axes])
+    right = second.select(F.col("id").alias("b_id"), *[F.col(x).alias(f"{x}_b") for x in axes])
+    both = matches.join(left, "a_id").join(right, "b_id")
+    changed = drifted(both, axes, least).select("a_id", "b_id", F.lit("changed").alias("change"))
+    same = both.join(changed, ["a_id", "b_id"], "left_anti").select("a_id", "b_id", F.lit("same").alias("change"))
+    gone = left.join(matches, "a_id", "left_anti").select("a_id", F.lit(None).cast(dict(right.dtypes)["b_id"]).alias("b_id"), F.lit("removed").alias("change"))
+    new = right.join(matches, "b_id", "left_anti").select(F.lit(None).cast(dict(left.dtypes)["a_id"]).alias("a_id"), "b_id", F.lit("added").alias("change"))
+    return changed.unionByName(same).unionByName(gone).unionByName(new)
 
 
 def pairing_score(target: Column, profile: Column, tradition: Column, alpha: Column, cohumulone: Column, ibu: Column) -> Column:

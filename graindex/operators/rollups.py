@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,21 +19,52 @@ def mode_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_m")).select(*keys, F.col("_m.v").alias(value))
 
 
-def upper_median(values: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def at_place(df: DataFrame, keys: Sequence[str], value: str, place: Callable[[Column], Column]) -> DataFrame:
+    """keys and ``value``: the value at a place (from 0, a function of their number) among the ordered values of each key.
 
-
-def leaderboard(df: DataFrame, family: str, group: str, item: str, amount: Column, dose: Column, all_name: str = "all") -> DataFrame:
-    """By family and over all: per item the distinct groups, the total amount, and the upper median of the doses of groups.
-
-    Two levels: a row for each group and item first, then grouping sets over families. The median is the exact
-    percentile at the discrete rank, which Spark merges from counts of values.
+    Nulls don't count. Values are counted in ranges first, some 4000 to each power of two, then only those of the range
+    that holds the place by value, so no group of values is ever ordered as a whole or held in one buffer.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 4096) + 1100 * 4096
+    ranges = F.when(v > 0, size).when(v < 0, -size).otherwise(0)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_range", ranges.cast("long"))
+    by = Window.partitionBy(*keys)
+    upto = lambda order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(upto("_range"))).withColumn("_place", place(F.sum("_n").over(by)))
+    target = counts.where("_place < _upto and _place >= _upto - _n").select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of"), (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place"))
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inside = rows.join(target, same).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_place"))
+    inside = inside.withColumn("_upto", F.sum("_n").over(upto(value)))
+    return inside.where("_place < _upto and _place >= _upto - _n").select(*keys, value)
+
+
+def by_family_and_all(df: DataFrame, family: str, keys: Sequence[str], *aggregates: Column, all_name: str = "all") -> DataFrame:
+    """Aggregates by (family, keys) and by keys over all families, in one pass of grouping sets; the whole is named ``all_name``."""
+    sets = [[F.col(family), *map(F.col, keys)], [F.col(k) for k in keys]]
+    got = df.groupingSets(sets, family, *keys).agg(*aggregates, F.grouping(family).alias("_whole"))
+    return got.withColumn(family, F.when(F.col("_whole") == 1, F.lit(all_name)).otherwise(F.col(family))).drop("_whole")
+
+
+def leaderboard(df: DataFrame, family: str, group: str, item: str, stage: str, stages: Sequence[str], amount: str, batch: str, n: int = 40, all_name: str = "all") -> DataFrame:
+    """By family and over all, the n items that most groups use (ties by item): rank, n_groups, total amount, the amount
+    in each stage (null without), and the upper median of the groups' doses.
+
+    The dose of a group is its amount over its batch, where that isn't null or 0. Rows without an item are left out. A
+    row for each group and item is made first; then grouping sets over families, and the value at floor(n / 2).
     """
-    each = df.where(F.col(item).isNotNull()).groupBy(family, group, item).agg(F.sum(amount).alias("amount"), F.sum(dose).alias("dose"))
-    both = each.withColumn(family, F.explode(F.array(F.col(family), F.lit(all_name))))
-    return both.groupBy(family, item).agg(F.countDistinct(group).alias("n_groups"), F.sum("amount").alias("total"), upper_median(F.col("dose")).alias("median_dose"))
+    in_stage = [F.sum(F.when(F.col(stage) == s, F.col(amount))).alias(f"_s{i}") for i, s in enumerate(stages)]
+    each = df.where(F.col(item).isNotNull()).groupBy(family, group, item).agg(F.sum(amount).alias("amount"), F.min(batch).alias("_batch"), *in_stage)
+    each = each.withColumn("dose", F.when(F.col("_batch") != 0, F.col("amount") / F.col("_batch")))
+    sums = [F.count(F.lit(1)).alias("n_groups"), F.sum("amount").alias("total"), *[F.sum(f"_s{i}").alias(s) for i, s in enumerate(stages)]]
+    board = top_by(by_family_and_all(each, family, [item], *sums, all_name=all_name), [family], [F.desc("n_groups"), F.col(item)], n)
+    whole = lambda name: each.withColumn(family, F.lit(name)) if name else each
+    medians = [at_place(whole(name), [family, item], "dose", lambda k: F.floor(k / 2)) for name in (None, all_name)]
+    return board.join(medians[0].union(medians[1]).withColumnRenamed("dose", "median_dose"), [family, item], "left")
 
 
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -48,6 +79,36 @@ def zero_filled_share(df: DataFrame, family: str, group: str, kind: str, share:
     return sums.join(totals, family).select(family, kind, "n_with", (F.col("s") / F.col("n_groups")).alias("mean_share"))
 
 
+def share_breakdown(df: DataFrame, family: str, group: str, kind: str, key: str, name: str, share: str, all_name: str = "all") -> DataFrame:
+    """By family and over all, inside each kind: per key its most frequent raw name, its mean share over all groups, and
+    the groups that have it: family, kind, key, name, mean_share, n_with."""
+    totals = by_family_and_all(df.select(family, group).distinct(), family, [], F.count(F.lit(1)).alias("n_groups"), all_name=all_name)
+    each = df.groupBy(family, group, kind, key).agg(F.sum(share).alias("s"))
+    got = by_family_and_all(each, family, [kind, key], F.sum("s").alias("s"), F.count(F.lit(1)).alias("n_with"), all_name=all_name)
+    spelt = by_family_and_all(df, family, [kind, key, name], F.count(F.lit(1)).alias("n"), all_name=all_name)
+    names = spelt.groupBy(family, kind, key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(name).alias("v"))).alias("m")).select(family, kind, key, F.col("m.v").alias(name))
+    return got.join(totals, family).join(names, [family, kind, key]).select(family, kind, key, name, (F.col("s") / F.col("n_groups")).alias("mean_share"), "n_with")
+
+
+def outcomes(df: DataFrame, family: str, values: Sequence[str], all_name: str = "all") -> DataFrame:
+    """By family and over all: n and the mean of each value over the rows that have it."""
+    return by_family_and_all(df, family, [], F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"avg_{v}") for v in values], all_name=all_name)
+
+
+def code_board(df: DataFrame, code: str, name: str, family: str, value: str, low: float, high: float, n: int) -> DataFrame:
+    """The n most frequent codes (ties by code): most frequent name and family, share of all rows, and the median of the
+    values strictly between ``low`` and ``high``."""
+    rows = df.where(F.col(code).isNotNull())
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    inside = F.when((F.col(value) > low) & (F.col(value) < high), F.col(value))
+    got = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.percentile(inside, F.lit(0.5)).alias("median"))
+    got = got.orderBy(F.desc("n"), code).limit(n)
+    for column in (name, family):
+        got = got.join(mode_by(rows, [code], column), code)
+    # one row by construction
+    return got.join(F.broadcast(total)).select(code, name, "n", (F.col("n") / F.col("total")).alias("share"), "median", family)
+
+
 def ratio_to_total(df: DataFrame, group: str, amount: str, name: str = "pct") -> DataFrame:
     """Each row's share of its group's total in percent, 0 where the total is 0."""
     total = F.sum(amount).over(Window.partitionBy(group))

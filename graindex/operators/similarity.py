@@ -1,14 +1,24 @@
-"""Similarity of vectors and sets. A search holds a stated set of queries against all rows, block by block."""
+"""Similarity of vectors and sets.
+
+A search holds a stated set of queries against all rows, block by block. A similarity join finds every pair above a
+threshold: equal rows are one class first, and blocks that can't hold a pair are left out exactly.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import cosine, euclidean, jaccard
+from .rollups import at_place, top_by
 
-#: Queries and rows that meet in one block of a search.
-BLOCK_QUERIES, BLOCK_ROWS = 500, 20_000
+#: Queries and rows that meet in one block of a search; rows of a block of a join, and its pivots.
+BLOCK_QUERIES, BLOCK_ROWS, BLOCK, PIVOTS = 500, 20_000, 4096, 32
 
 
 def held_against(queries: DataFrame, rows: DataFrame, q_key: str, key: str) -> DataFrame:
@@ -27,8 +37,14 @@ def held_against(queries: DataFrame, rows: DataFrame, q_key: str, key: str) -> D
 
 def top_k(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
     """The k highest scores of each query with their rank; ties to the smaller key."""
-    order = Window.partitionBy(query).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top_by(scored, [query], [F.desc(score), F.col(key)], k)
+
+
+def top_both_ways(scored: DataFrame, a: str, b: str, score: str, k_a: int, k_b: int) -> DataFrame:
+    """The k_a best b of each a, and the k_b best a of each b: direction, a, b, score, rank."""
+    one = top_k(scored, a, score, b, k_a).select(F.lit(f"{b} of {a}").alias("direction"), a, b, score, "rank")
+    two = top_k(scored, b, score, a, k_b).select(F.lit(f"{a} of {b}").alias("direction"), a, b, score, "rank")
+    return one.unionByName(two)
 
 
 def cosine_search(rows: DataFrame, is_query: Column, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
@@ -40,21 +56,91 @@ def cosine_search(rows: DataFrame, is_query: Column, key: str, vector: str, k: i
     return top_k(scored, "query_id", "score", "id", k)
 
 
+def nearest_boxes(items: DataFrame, key: str, vector: str, others: DataFrame, other_key: str, other_vector: str, k: int) -> DataFrame:
+    """The k nearest of a second table for each item (Euclidean), items against all of it in blocks: key, other_key, distance, rank."""
+    queries = items.select(key, F.col(vector).alias("qv"))
+    pairs = held_against(queries, others.select(other_key, F.col(other_vector).alias("v")), key, other_key)
+    scored = pairs.select(key, other_key, euclidean(F.col("qv"), F.col("v")).alias("distance"))
+    return top_by(scored, [key], [F.col("distance"), F.col(other_key)], k)
+
+
 def blend_search(rows: DataFrame, is_query: Column, key: str, vector: str, tags: str, alpha: float, k: int) -> DataFrame:
     """The k rows of highest alpha * Jaccard(tags) + (1 - alpha) * max(0, 1 - distance / scale) to each query.
 
     The scale of a query is its distances' value at place floor(0.95 n) in order, its own distance 0 among them; 1
-    where that is 0.
+    where that is 0. It is found from counts of ranges of distances, without an order of all rows of a query.
     """
     v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(tags).alias("t"))
     queries = v.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("t").alias("qt"))
     pairs = held_against(queries, v, "query_id", "id").select("query_id", "id", euclidean(F.col("qv"), F.col("v")).alias("d"), jaccard(F.col("qt"), F.col("t")).alias("j"))
-    by = Window.partitionBy("query_id")
-    placed = pairs.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_at", F.row_number().over(by.orderBy("d", "id")))
-    scale = F.max(F.when(F.col("_at") == F.floor(F.col("_n") * 0.95) + 1, F.col("d"))).over(by)
-    scored = placed.withColumn("_s", F.when(scale > 0, scale).otherwise(1.0)).where("query_id <> id")
-    score = alpha * F.col("j") + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("_s"))
-    return top_k(scored.select("query_id", "id", F.round(score, 9).alias("score")), "query_id", "score", "id", k)
+    scales = at_place(pairs, ["query_id"], "d", lambda n: F.floor(n * 0.95)).select("query_id", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("s"))
+    score = alpha * F.col("j") + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("s"))
+    scored = pairs.join(scales, "query_id").where("query_id <> id").select("query_id", "id", F.round(score, 9).alias("score"))
+    return top_k(scored, "query_id", "score", "id", k)
+
+
+def vector_classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Equal vectors as one class: rep (the least key), v and size; null vectors have no class."""
+    v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    return v.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+
+
+def cosine_join(classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b (a < b) and score of all pairs of ``classes`` (rep, v) whose cosine is ``threshold`` or more.
+
+    Rows go to the cell of their nearest pivot (a bounded sample), cells are cut into blocks by a hash. By the triangle
+    inequality of angles, two cells meet only if their pivots are no further apart than both cells are wide and the
+    threshold's angle together; each block then meets each block of such a cell in one task, which gives only pairs
+    that reach the threshold. Nothing that could reach it is left out. Vectors of norm 0 have cosine 0 to all.
+    """
+    spark = classes.sparkSession
+    rows = classes.select("rep", "v").where(F.exists("v", lambda x: x != 0))
+    drawn = rows.orderBy(F.xxhash64("v"), "rep").limit(PIVOTS).collect()
+    if not drawn:
+        return spark.createDataFrame([], f"a {dict(rows.dtypes)['rep']}, b {dict(rows.dtypes)['rep']}, score double")
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    pivots = unit(np.array([r["v"] for r in drawn], np.float64))
+    kind = dict(rows.dtypes)["rep"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(np.array(batch.column("v").to_pylist(), np.float64))
+                near = x @ pivots.T
+                cell = near.argmax(1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(angle)], ["rep", "x", "cell", "angle"])
+
+    cells = rows.mapInArrow(placed, f"rep {kind}, x binary, cell int, angle double")
+    known = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("wide")).collect()  # one row a pivot
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    parts = {r["cell"]: 1 + r["n"] // BLOCK for r in known}
+    meets = [(a["cell"], parts[a["cell"]], b["cell"], parts[b["cell"]]) for a in known for b in known if apart[a["cell"], b["cell"]] <= a["wide"] + b["wide"] + reach]
+    table = spark.createDataFrame(meets, "cell int, parts int, other int, other_parts int")
+    mine = F.struct(F.col("cell").alias("c"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("p"))
+    met = cells.join(F.broadcast(table), "cell").withColumn("mine", mine)  # at most PIVOTS ** 2 rows
+    met = met.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1))).withColumn("its", F.struct(F.col("other").alias("c"), "p"))
+    met = met.select(F.least("mine", "its").alias("i"), F.greatest("mine", "its").alias("j"), (F.col("mine") <= F.col("its")).alias("first"), "rep", "x")
+
+    def compared(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), -1), part["rep"].to_numpy()
+        same = tuple(keys[0].values()) == tuple(keys[1].values())
+        left = np.arange(len(part)) if same else np.flatnonzero(part["first"])
+        right = np.arange(len(part)) if same else np.flatnonzero(~part["first"])
+        out = []
+        for lo in range(0, len(left), 512):
+            rows = left[lo : lo + 512]
+            score = x[rows] @ x[right].T
+            i, j = np.nonzero(score >= threshold - 1e-9)
+            a, b = ids[rows[i]], ids[right[j]]
+            keep = (a < b) if same else (a != b)
+            exact = (x[rows[i]][keep] * x[right[j]][keep]).sum(1)
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": exact}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    pairs = met.groupBy("i", "j").applyInPandas(compared, f"a {kind}, b {kind}, score double")
+    return pairs.where(F.round("score", 9) >= threshold)
 
 
 def threshold_edges(pairs: DataFrame, a: str, b: str, score: str, threshold: float, listed: DataFrame | None = None) -> DataFrame:
@@ -65,29 +151,79 @@ def threshold_edges(pairs: DataFrame, a: str, b: str, score: str, threshold: flo
     return edges if listed is None else edges.join(listed.select(low, high).distinct(), ["a", "b"], "left_anti")
 
 
+def set_classes(sets: DataFrame, key: str, member: str) -> DataFrame:
+    """Keys with equal member sets as one class: k, and rep, the least key of the class. Null members count for nothing."""
+    rows = sets.select(F.col(key).alias("k"), F.col(member).alias("m")).where("m is not null")
+    bags = rows.groupBy("k").agg(F.array_sort(F.collect_set("m")).alias("s"))
+    reps = bags.groupBy("s").agg(F.min("k").alias("rep"))
+    return bags.join(reps, "s").select("k", "rep")
+
+
 def jaccard_pairs(sets: DataFrame, key: str, member: str, least: float) -> DataFrame:
-    """Pairs (a < b) of keys whose member sets have a Jaccard similarity of ``least`` (above 0) or more.
+    """Pairs (a < b) of classes of equal sets, by their least keys, with a Jaccard similarity of ``least`` (above 0) or more.
 
     A prefix filter by the rarest members: two sets that alike share one of their first n - ceil(least * n) + 1
-    members in order of frequency, so only those are joined, and candidates are verified by their whole sets.
+    members in order of frequency, so only those are joined. A pair is looked at only at its first common member, and
+    only if the places and sizes still allow the similarity; sets travel with their prefixes, so nothing is fetched
+    again. set_classes tells which key is in which class.
     """
     rows = sets.select(F.col(key).alias("k"), F.col(member).alias("m")).where("m is not null").distinct()
     often = rows.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
     bags = rows.join(often, "m").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("s"))
-    bags = bags.select("k", F.col("s.m").alias("s"), (F.size("s") - F.ceil(F.size("s") * F.lit(least) - 1e-9) + 1).cast("int").alias("p"))
-    heads = bags.select("k", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), F.col("p"))).alias("m"))
-    x, y = (heads.select(F.col("k").alias(i), F.col("n").alias(f"n{i}"), "m") for i in "ab")
-    near = x.join(y, "m").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    of = lambda i: bags.select(F.col("k").alias(i), F.col("s").alias(f"s{i}"))
-    score = jaccard(F.col("sa"), F.col("sb"))
-    return near.join(of("a"), "a").join(of("b"), "b").select("a", "b", score.alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def silhouette(rows: DataFrame, is_query: Column, key: str, vector: str, label: str) -> DataFrame:
-    """Silhouette (Euclidean distances) of each query row against all rows; none in a cluster of one or a lone cluster."""
+    bags = bags.select("k", F.col("s.m").alias("s")).groupBy("s").agg(F.min("k").alias("k"))
+    size = F.size("s")
+    heads = bags.select("k", "s", F.posexplode(F.slice("s", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))).alias("at", "m"))
+    x, y = (heads.select(F.col("k").alias(i), F.col("s").alias(f"s{i}"), F.col("at").alias(f"at{i}"), "m") for i in "ab")
+    na, nb = F.size("sa"), F.size("sb")
+    # what both still can share from here on, this member included
+    most = F.least(na - F.col("ata"), nb - F.col("atb"))
+    met = x.join(y, "m").where((F.col("a") < F.col("b")) & (most >= F.lit(least) / (1 + least) * (na + nb) - 1e-9))
+    before = F.size(F.array_intersect(F.slice("sa", F.lit(1), F.col("ata")), F.slice("sb", F.lit(1), F.col("atb"))))
+    both = F.size(F.array_intersect("sa", "sb"))
+    scored = met.where(before == 0).select("a", "b", (both / (na + nb - both)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least)
+
+
+def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Silhouette (Euclidean distances) of every row: key, silhouette; none in a cluster of one or a lone cluster.
+
+    Each block of rows meets each block of all rows in one task, which sums distances by label there; only those sums,
+    a row for each key and label, are shuffled on.
+    """
     v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    queries = v.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("own"))
-    pairs = held_against(queries, v, "query_id", "id").where("query_id <> id")
-    means = pairs.select("query_id", "own", "label", euclidean(F.col("qv"), F.col("v")).alias("d")).groupBy("query_id", "own", "label").agg(F.avg("d").alias("d"))
-    split = means.groupBy("query_id").agg(F.min(F.when(F.col("own") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("label"), F.col("d"))).alias("b"))
-    return split.where("a is not null and b is not null").withColumn("silhouette", (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    v = v.where("v is not null and label is not null")
+    parts = 1 + v.count() // BLOCK
+    mine = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("i")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    kind = {n: t for n, t in v.dtypes}
+    left, right = v.select(mine, every.alias("j"), "id", "v", "label"), v.select(mine.alias("j"), every.alias("i"), "v", "label")
+
+    def sums(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(ours) and len(theirs):
+            x, y = np.stack(ours["v"].to_numpy()), np.stack(theirs["v"].to_numpy())
+            labels, of = np.unique(theirs["label"].to_numpy(), return_inverse=True)
+            flags = np.eye(len(labels))[of]
+            for lo in range(0, len(x), 256):
+                some = ours.iloc[lo : lo + 256]
+                d = np.sqrt(np.maximum(((x[lo : lo + 256, None] - y[None]) ** 2).sum(2) if len(y) * x.shape[1] < 200_000 else _squared(x[lo : lo + 256], y), 0))
+                total, n = d @ flags, flags.sum(0)
+                for c, name in enumerate(labels):
+                    out.append(pd.DataFrame({"id": some["id"], "own": some["label"], "label": name, "s": total[:, c], "n": int(n[c])}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "own": [], "label": [], "s": [], "n": []})
+
+    schema = f"id {kind['id']}, own {kind['label']}, label {kind['label']}, s double, n long"
+    got = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, schema).groupBy("id", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("own") == F.col("label")
+    split = got.groupBy("id").agg(F.min(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    split = split.where("a is not null and b is not null")
+    return split.select(F.col("id").alias(key), F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0).alias("silhouette"))
+
+
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)
+
+
+def mean_silhouette(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """n (rows that count) and the mean silhouette; 0 where none counts."""
+    return silhouettes(rows, key, vector, label).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("mean_silhouette"))

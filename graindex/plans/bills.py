@@ -122,15 +122,18 @@ def detail_nested(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("o_orderkey", "o_orderpriority", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["p_brand"])), ",").alias("bill"))
 
 
-@query(f"""WITH {LINES}, e AS (SELECT o_orderpriority AS f, l_orderkey AS g, p_brand AS i, sum(l_quantity) AS amount, sum(l_extendedprice) / 1000 AS dose
-    FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-  b AS (SELECT * FROM e UNION ALL SELECT 'all', g, i, amount, dose FROM e)
-  SELECT f AS family, i AS item, count(DISTINCT g) AS n_groups, round(sum(amount), 6) AS total,
-    round(list_sort(list(dose))[(count(*) // 2 + 1)::INT], 6) AS median_dose FROM b GROUP BY 1, 2""")
+@query(f"""WITH {LINES}, e AS (SELECT o_orderpriority AS f, l_orderkey AS g, lower(trim(p_name)) AS i, l_orderkey % 7 AS batch, sum(l_quantity) AS amount, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS x,
+    sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS y, sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS z FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+  b AS (SELECT * FROM e UNION ALL SELECT 'all', g, i, batch, amount, x, y, z FROM e)
+  SELECT f AS family, i AS item, count(*) AS n_groups, round(sum(amount), 6) AS total, sum(x) AS in_a, sum(y) AS in_n, sum(z) AS in_r,
+    round((list_sort(list(amount / batch) FILTER (WHERE batch > 0)))[(count(*) FILTER (WHERE batch > 0) // 2 + 1)::INT], 6) AS median_dose
+  FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY f ORDER BY n_groups DESC, i) <= 40""")
 def leaderboard_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf).withColumnsRenamed({"o_orderpriority": "family", "p_brand": "item"})
-    board = U.leaderboard(rows, "family", "l_orderkey", "item", F.col("l_quantity"), F.col("l_extendedprice") / 1000)
-    return board.select("family", "item", "n_groups", F.round("total", 6).alias("total"), F.round("median_dose", 6).alias("median_dose"))
+    rows = with_orders(order_parts(spark, sf), spark, sf).withColumnRenamed("o_orderpriority", "family")
+    rows = rows.withColumn("item", F.lower(F.trim("p_name"))).withColumn("batch", F.col("l_orderkey") % 7)
+    board = U.leaderboard(rows, "family", "l_orderkey", "item", "l_returnflag", ["A", "N", "R"], "l_quantity", "batch")
+    stages = [F.col(s).alias(f"in_{s.lower()}") for s in "ANR"]
+    return board.select("family", "item", "n_groups", F.round("total", 6).alias("total"), *stages, F.round("median_dose", 6).alias("median_dose"))
 
 
 @query(f"""WITH {LINES}, r AS (SELECT o_orderpriority AS f, l_orderkey AS g, p_type AS c, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) * 100 AS pct
@@ -230,9 +233,9 @@ def ratio_to_total(spark: SparkSession, sf: str) -> DataFrame:
     return U.ratio_to_total(table(spark, sf, "lineitem"), "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", F.round("pct", 6).alias("pct"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_sets(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return R.only_in(table(spark, sf, "customer").select("c_custkey"), orders, ["c_custkey"])
 
 

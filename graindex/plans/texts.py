@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import domain, text
+from ..functions import text
 from ..operators import matching
+from ..operators.steps import shared_folder
 from ..streaming import incremental
 from .tables import Registry, table
 
@@ -73,23 +72,30 @@ def json_property(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-GUIDES = (
-    ["11B Best Bitter", "22A Double IPA", "4A Munich Helles", "Witbier", "International Pale Lager", "Special Bitter or Best Bitter", "Saison"],
-    ["Special Bitter or Best Bitter", "Imperial or Double India Pale Ale", "Münchner Helles", "Belgian-Style Witbier", "International-Style Pale Ale", "Ordinary Bitter", "Classic French & Belgian-Style Saison"],
-)
+def _guides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two lists of names made from parts: the first plain and numbered, the second partly in other words."""
+    parts = table(spark, sf, "part").where("p_size % 3 = 0")
+    kind = F.initcap("p_type")
+    first = F.concat(F.lit("7A "), F.initcap("p_name"), F.lit(" "), kind)
+    second = F.when(F.length("p_type") % 2 == 0, F.concat(kind, F.lit("-Style "), F.initcap("p_name"), F.lit(" Ale"))).otherwise(F.concat(F.initcap("p_name"), F.lit(" or "), kind, F.lit(" Beer")))
+    out = []
+    for name, part in ((first, 3), (second, 4)):
+        rows = parts.where(F.col("p_partkey") % part > 0).groupBy(name.alias("name")).agg(F.min("p_partkey").alias("pos"), F.avg("p_retailprice").alias("price"))
+        out.append(rows.select(F.col("name").alias("id"), "name", "pos", "price"))
+    return out[0], out[1]
 
 
 @query()
 def name_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Two short guidelines matched one to one."""
-    a, b = (spark.createDataFrame([(n, n, i) for i, n in enumerate(names)], "id string, name string, pos int") for names in GUIDES)
-    return matching.match_names(a, b)
+    """Two lists of names matched one to one."""
+    a, b = _guides(spark, sf)
+    return matching.match_names(a.select("id", "name", "pos"), b.select("id", "name", "pos"))
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)black|roast|chocolate|carafa|patent|midnight') THEN 'roasted' ELSE 'not roasted' END AS class FROM part""")
-def roasted(spark: SparkSession, sf: str) -> DataFrame:
-    kind = domain.malt_class(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", F.when(kind == "roasted", "roasted").otherwise("not roasted").alias("class"))
+@query()
+def matched_guides(spark: SparkSession, sf: str) -> DataFrame:
+    """The difference of two lists whose names are matched first."""
+    return matching.guide_difference(*_guides(spark, sf), ["price"], 5.0)
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
@@ -97,8 +103,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """The events appended by a stream that has seen every file twice."""
     events = table(spark, sf, "events")
     schema = ", ".join(f"{n} {t}" for n, t in events.dtypes)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    work = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}-{_next()}"
+    work = new_folder(spark)
     for part in ("one", "two"):
         events.write.parquet(f"{work}/in/{part}")
     rows = incremental.new_rows(spark, f"{work}/in/*", schema, "event_id")
@@ -109,12 +114,18 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 _count = iter(range(1 << 30))
 
 
-def _next() -> int:
-    return next(_count)
+def new_folder(spark: SparkSession) -> str:
+    """A new folder of a stream."""
+    return f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{next(_count)}"
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """An extension: counts by day, of the plan that also runs on a stream."""
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return incremental.windowed_counts(events, "ts", "1 day", "1 hour", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """An extension: counts by day, kept by a stream over the events."""
+    kinds = ", ".join(f"{n} {t}" for n, t in table(spark, sf, "events").dtypes)
+    work = new_folder(spark)
+    events = spark.readStream.schema(kinds).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = incremental.windowed_counts(events, "ts", "1 day", "1 hour", "event_type")
+    incremental.keep_whole(counts, f"{work}/out", f"{work}/log").awaitTermination()
+    schema = "start timestamp, event_type string, n long"
+    return spark.read.schema(schema).parquet(f"{work}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))

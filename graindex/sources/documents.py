@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import domain, text
+from ..functions import domain, text, units
 
 VITALS = "struct<og:double,fg:double,abv:double,ibu:double,srm:double>"
 INTERCHANGE = f"""url string, id string, name string, style string, method string, batchL double, vitals {VITALS},
@@ -18,8 +18,10 @@ RECIPE = f"""id bigint, name string, tagline string, year string, family string,
     hops array<struct<name:string,key:string,g:double,stage:string,timeMin:double>>, yeast string, description string"""
 
 
-def read_array(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Rows of an array in one large JSON object. Lines of JSON are better: they can be split."""
+def read_array(spark: SparkSession, path: str, field: str | None, schema: str) -> DataFrame:
+    """Rows of an array in one large JSON object, or of a file that is an array. Lines of JSON are better: they can be split."""
+    if field is None:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
     outer = f"{field} array<struct<{_inner(schema)}>>"
     return spark.read.schema(outer).option("multiLine", True).json(path).select(F.explode(field).alias("r")).select("r.*")
 
@@ -83,6 +85,17 @@ def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_json(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Replace the tables under a folder by lines of JSON, nulls included."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+
+
+def export_views(views: Mapping[str, tuple[DataFrame, Sequence[Column], int]], path: str) -> None:
+    """The first rows of each view (rows, order, number) as lines of JSON, in one file a view."""
+    write_json({name: df.orderBy(*order).limit(n).coalesce(1) for name, (df, order, n) in views.items()}, path)
+
+
 # Pages: an HTML recipe page as one record, by nested regular expressions in the JVM.
 
 
@@ -93,13 +106,16 @@ def html_tables(html: Column) -> Column:
 
 
 def json_ld(html: Column, kind: str, schema: str) -> Column:
-    """The first JSON-LD object of a page whose @type is, or holds, ``kind``; its fields by ``schema``."""
+    """The first JSON-LD object of a page whose @type is, or lists, ``kind``; its fields by ``schema``.
+
+    A block is an object or an array of objects, all of which are looked at; malformed blocks are passed over.
+    """
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    typed = lambda b: F.coalesce(F.get_json_object(b, "$.@type"), F.get_json_object(b, "$[0].@type"), F.lit(""))
-    whole = F.filter(blocks, lambda b: F.contains(typed(b), F.lit(kind)))
-    first = F.get(whole, F.lit(0))
-    one = F.when(F.trim(first).startswith("["), F.get_json_object(first, "$[0]")).otherwise(first)
-    return F.from_json(one, schema)
+    one = T.StructType([T.StructField("@type", T.StringType()), *T.StructType.fromDDL(schema).fields])
+    each = lambda b: F.when(F.trim(b).startswith("["), F.from_json(b, T.ArrayType(one))).otherwise(F.array(F.from_json(b, one)))
+    typed = lambda o: (o["@type"] == kind) | F.coalesce(F.array_contains(F.from_json(o["@type"], "array<string>"), kind), F.lit(False))
+    found = F.filter(F.flatten(F.transform(blocks, lambda b: F.coalesce(each(b), F.array()))), lambda o: o.isNotNull() & typed(o))
+    return F.get(found, F.lit(0))
 
 
 def listing_links(df: DataFrame, html: str, pattern: str) -> DataFrame:
@@ -139,6 +155,8 @@ def parse_recipe_page(pages: DataFrame, url: str, html: str) -> DataFrame:
         F.struct(number("Original Gravity", "OG").alias("og"), number("Final Gravity", "FG").alias("fg"), number("ABV").alias("abv"), number("IBU").alias("ibu"), number("SRM").alias("srm")).alias("vitals"),
         F.round(text.in_unit(F.regexp_extract("plain", r"(?i)Batch Size:?\s+([\d.]+\s*[a-z]+)", 1), text.LITRES, "l"), 1).alias("batchL"),
         F.nullif(F.regexp_extract("plain", r"(?i)\b(All Grain|BIAB|Partial Mash|Extract)\b", 1), F.lit("")).alias("method"),
+        F.coalesce("ld.recipeCategory", text.labelled_words(F.col("plain"), "Style", "Boil|Batch|Method|OG|Original")).alias("style"),
+        text.labelled_words(F.col("plain"), "Yeast", "Starter|Attenuation|Flocculation|Optimum|Fermentation").alias("yeast"),
         malts.alias("malts"),
         F.filter(hops, lambda h: (h["g"] > 0) & (h["name"] != "")).alias("hops"),
     )
@@ -183,6 +201,19 @@ def parse_recipe_xml(docs: DataFrame, xml: str) -> DataFrame:
     )
 
 
+def import_xml(docs: DataFrame, xml: str, colour_unit: str = "srm") -> tuple[DataFrame, DataFrame]:
+    """Recipes of user XML, and the files that lack a gravity, bitterness or colour; a missing strength is computed."""
+    rows = docs.withColumn("_xml", F.col(xml))
+    parsed = parse_recipe_xml(rows, xml)
+    v = lambda x: F.col(f"vitals.{x}")
+    good = F.col("vitals").isNotNull() & v("og").isNotNull() & v("fg").isNotNull() & v("ibu").isNotNull() & v("srm").isNotNull()
+    srm = units.srm_from_ebc(v("srm")) if colour_unit == "ebc" else v("srm")
+    vitals = F.struct(v("og").alias("og"), v("fg").alias("fg"), F.coalesce(v("abv"), units.alcohol(v("og"), v("fg"))).alias("abv"), v("ibu").alias("ibu"), srm.alias("srm"))
+    bad = parsed.where(~good).select(F.col("_xml").alias(xml), *[c for c in docs.columns if c != xml])
+    none = docs.where(~F.coalesce(F.col(xml).rlike("(?is)<RECIPE>"), F.lit(False)))
+    return parsed.where(good).withColumn("vitals", vitals).drop("_xml"), bad.unionByName(none.select(*bad.columns))
+
+
 def sniff(content: Column) -> Column:
     """xml or json, by the first character that isn't blank."""
     return F.when(F.ltrim(content).startswith("<"), "xml").otherwise("json")

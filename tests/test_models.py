@@ -46,8 +46,19 @@ def test_kmeans_finds_two_blobs(spark):
     again, _ = clusters.kmeans(df, "id", "v", 2)
     assert {r.id: r.cluster for r in again.collect()} == by
     labelled = df.join(got, "id")
-    s = similarity.silhouette(labelled, F.col("id") >= 0, "id", "v", "cluster")
-    assert s.agg(F.avg("silhouette")).first()[0] > 0.9
+    mean = similarity.mean_silhouette(labelled, "id", "v", "cluster").first()
+    assert mean.n == 80 and mean.mean_silhouette > 0.9
+    assert tuple(similarity.mean_silhouette(labelled.where("cluster = 0"), "id", "v", "cluster").first()) == (0, 0.0)
+
+
+def test_kmeans_takes_the_best_start_and_fills_empty_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.05, (12, 2)) for c in ((0, 0), (4, 0), (0, 4), (9, 9))])
+    got, centres = clusters.kmeans(vectors(spark, x), "id", "v", 4)
+    assert sorted(np.bincount([r.cluster for r in got.collect()]).tolist()) == [12] * 4
+    rows = got.collect()
+    for r in rows:
+        assert r.distance == pytest.approx(min(np.sqrt(((x[r.id] - c) ** 2).sum()) for c in centres))
 
 
 def test_kmeans_with_more_clusters_than_rows(spark):
@@ -64,9 +75,67 @@ def test_average_linkage():
 def test_jaccard_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     sets = {i: set(rng.choice(12, rng.integers(1, 7), replace=False).tolist()) for i in range(60)}
-    df = spark.createDataFrame([(i, int(m)) for i, s in sets.items() for m in s], "k int, m int")
-    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
-    assert {(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "m", 0.6).collect()} == want
+    df = spark.createDataFrame([(i, int(m)) for i, s in sets.items() for m in s] + [(99, None)], "k int, m int")
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {r.k: r.rep for r in similarity.set_classes(df, "k", "m").collect()} == rep and len(set(rep.values())) < len(rep)
+    for least in (0.6, 0.3, 1.0):
+        want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in set(rep.values()) for j in set(rep.values()) if i < j}
+        want = {k: v for k, v in want.items() if v >= least}
+        got = similarity.jaccard_pairs(df, "k", "m", least).collect()
+        assert {(r.a, r.b): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_cosine_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "PIVOTS", 7)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(12, 4)).repeat(6, 0) + 0.4 * rng.normal(size=(72, 4)), np.zeros((1, 4)), np.ones((3, 4))])
+    classes = similarity.vector_classes(vectors(spark, x), "id", "v")
+    assert {r.rep: r["size"] for r in classes.where("size > 1").collect()} == {73: 3}
+    unit = x[:74] / np.maximum(np.sqrt((x[:74] ** 2).sum(1)), 1e-12)[:, None]
+    for t in (0.95, 0.5, -0.2):
+        want = {(i, j) for i in range(74) for j in range(i + 1, 74) if unit[i].any() and unit[j].any() and unit[i] @ unit[j] >= t}
+        got = similarity.cosine_join(classes, t).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert similarity.cosine_join(classes.limit(0), 0.5).count() == 0
+
+
+def test_names_are_matched_as_a_greedy_pass_would(spark):
+    from graindex.operators import matching
+
+    rng = np.random.default_rng(9)
+    rows = [(a, a, b, b, float(rng.integers(0, 5))) for a in range(30) for b in range(25) if rng.random() < 0.2]
+    used, want = set(), set()
+    for a in range(30):
+        free = sorted((-s, b) for x, _, b, _, s in rows if x == a and b not in used)
+        if free:
+            used.add(free[0][1])
+            want.add((a, free[0][1]))
+    found = spark.createDataFrame(rows, "a_id int, a_pos int, b_id int, b_pos int, score double")
+    assert {(r.a_id, r.b_id) for r in matching.one_to_one(found).collect()} == want
+    names = (["11B Best Bitter", "22A Double IPA", "4A Munich Helles", "Witbier", "Rye Thing"], ["Special Bitter or Best Bitter", "Imperial or Double India Pale Ale", "Münchner Helles", "Belgian-Style Witbier", "Other"])
+    a, b = (spark.createDataFrame([(n, n, i, float(i)) for i, n in enumerate(x)], "id string, name string, pos int, abv double") for x in names)
+    got = {(r.a_id, r.b_id): r.change for r in matching.guide_difference(a, b, ["abv"]).collect()}
+    assert got == {(x, y): "same" for x, y in list(zip(*names, strict=True))[:4]} | {("Rye Thing", None): "removed", (None, "Other"): "added"}
+
+
+def test_values_at_a_place(spark):
+    from graindex.operators import rollups
+
+    rng = np.random.default_rng(10)
+    x = {k: np.round(rng.normal(0, 10 ** float(rng.integers(-3, 4)), rng.integers(1, 40)), 3) for k in range(12)} | {None: np.array([0.0, -0.0, 5.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs] + [(3, None)], "k int, v double")
+    got = {r.k: r.v for r in rollups.at_place(df, ["k"], "v", lambda n: F.floor(n / 2)).collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in x.items()}
+
+
+def test_a_dendrogram_is_laid_out(spark):
+    points = vectors(spark, [[0, 0], [0, 1], [5, 0], [5, 1]])
+    merges = clusters.linkage_of(points, "id", "v")
+    places = {node: (x, h) for node, x, h in clusters.layout(merges, 4)}
+    assert len(places) == 7 and places[6][0] == 1.5 and places[4] == (0.5, 1.0)
+    with pytest.raises(ValueError):
+        clusters.linkage_of(points, "id", "v", most=3)
 
 
 def test_threshold_edges_leave_out_listed_ones(spark):
@@ -94,5 +163,6 @@ def test_rejects_upserts_and_publishing(spark, tmp_path):
     old, new = (spark.createDataFrame(r, schema) for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     assert sorted(tuple(r) for r in incremental.upsert(old, new, "id").collect()) == [(1, "a"), (2, "c"), (3, "d")]
     for _ in range(3):
-        version = incremental.publish(lambda p: old.write.parquet(p), str(tmp_path / "pub"))
+        version = incremental.publish(spark, lambda p: old.write.parquet(p), str(tmp_path / "pub"))
     assert version == "v3" and (tmp_path / "pub/current").read_text() == "v3" and not (tmp_path / "pub/v1").exists()
+    assert spark.read.parquet(incremental.current(spark, str(tmp_path / "pub"))).count() == 2
