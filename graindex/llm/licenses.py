@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import scans
 from .license_texts import TEMPLATES
-from .textkernel import Runs, Words, mix, spread
+from .textkernel import Runs, Words, spread
 
 THRESHOLD, BANDS, ROWS, SHINGLE = 0.8, 32, 2, 5
 #: Lengths of the runs that are tried, in lengths of the template.
@@ -42,10 +42,11 @@ def hash_values(h: np.ndarray) -> np.ndarray:
 
 
 def keys_of(least: np.ndarray) -> np.ndarray:
-    """Band keys of the signatures in the columns of ``least``."""
-    odd = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-    pair = (least[0::2].astype(np.uint64) << np.uint64(32)) | least[1::2]
-    return mix((pair + np.arange(BANDS, dtype=np.uint64)[:, None]) * odd[:, None])
+    """32-bit band keys of the signatures in the columns of ``least``; what they let through by chance is verified anyway."""
+    key = least[0::2] * np.uint32(0x9E3779B1)
+    key ^= least[1::2] + np.arange(BANDS, dtype=np.uint32)[:, None] * np.uint32(0x85EBCA77)
+    key *= np.uint32(0xC2B2AE3D)
+    return key
 
 
 def text_shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ class Index:
             keys = np.concatenate([keys_of(hash_values(self.items.shingles[i]).min(1, keepdims=True)).ravel() for i in mine])
             order = np.argsort(keys, kind="stable")
             sieve = np.zeros(1 << _SIEVE, bool)
-            sieve[keys >> np.uint64(64 - _SIEVE)] = True
+            sieve[keys >> np.uint32(32 - _SIEVE)] = True
             self.by_block[k, b] = keys[order], np.repeat(mine, BANDS)[order], sieve
 
     def candidates(self, values: np.ndarray, many: np.ndarray, k: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ class Index:
             np.minimum(window[:, :-step], least[:, step:] | beyond, out=window[:, :-step])
         keys, listed, sieve = self.by_block[k, b]
         key = keys_of(window)
-        band, at = np.nonzero(sieve[key >> np.uint64(64 - _SIEVE)])
+        band, at = np.nonzero(sieve[key >> np.uint32(32 - _SIEVE)])
         lo = np.searchsorted(keys, key[band, at])
         entry, row = spread(lo, np.searchsorted(keys, key[band, at], side="right") - lo)
         pair = np.unique(np.stack([at[row], listed[entry]], 1), axis=0)
