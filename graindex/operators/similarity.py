@@ -196,13 +196,13 @@ def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame
     mine = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("i")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     kind = {n: t for n, t in v.dtypes}
-    left, right = v.select(mine, every.alias("j"), "id", "v", "label"), v.select(mine.alias("j"), every.alias("i"), "v", "label")
+    left, right = v.select(mine, every.alias("j"), "id", "v", "label"), v.select(mine.alias("j"), every.alias("i"), F.col("v").alias("w"), F.col("label").alias("of"))
 
     def sums(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(ours) and len(theirs):
-            x, y = np.stack(ours["v"].to_numpy()), np.stack(theirs["v"].to_numpy())
-            labels, of = np.unique(theirs["label"].to_numpy(), return_inverse=True)
+            x, y = np.stack(ours["v"].to_numpy()), np.stack(theirs["w"].to_numpy())
+            labels, of = np.unique(theirs["of"].to_numpy(), return_inverse=True)
             flags = np.eye(len(labels))[of]
             for lo in range(0, len(x), 256):
                 some = ours.iloc[lo : lo + 256]

@@ -42,7 +42,7 @@ def read_pages(spark: SparkSession, name: str, fetches: Sequence[Fetch], schema:
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema: object) -> DataSourceReader:
+        def reader(self, schema: object) -> DataSourceReader:
             return _Pages(fetches, size)
 
     spark.dataSource.register(Source)
