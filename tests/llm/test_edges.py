@@ -128,6 +128,7 @@ def test_groups_of_any_size_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(components, "BLOCK", block)
     monkeypatch.setattr(components, "BLOCK_CHARS", 2_000)
     monkeypatch.setattr(components, "FEW", 3)
+    monkeypatch.setattr(components, "REFINE", 1)
     rng = random.Random(7)
     texts = near_copies(rng, 40, 110, 4) + near_copies(rng, 10, 60, 1)
     shared = made_up(rng, 60)
