@@ -16,7 +16,13 @@ from .texts import new_folder
 REGISTRY = Registry()
 query = REGISTRY.add
 
-SIZE, KEY = F.col("p_size"), F.col("p_partkey")
+
+def _size() -> Column:
+    return F.col("p_size")
+
+
+def _key() -> Column:
+    return F.col("p_partkey")
 
 
 def _text(x: Column | int) -> Column:
@@ -41,7 +47,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
   SELECT p_partkey, round((CASE WHEN s <= 2 THEN s END)::DOUBLE, 9) AS gravity, round((CASE WHEN og > 1 THEN (og - fg) / (og - 1) * 100 END)::DOUBLE, 6) AS attenuation, round(((og - fg) * 131.25)::DOUBLE, 6) AS abv,
     round((raw / 1.97)::DOUBLE, 6) AS from_ebc, round((raw * 1.3546 - 0.76)::DOUBLE, 6) AS from_lovibond, round(((raw - 32) * 5 / 9)::DOUBLE, 6) AS celsius FROM g""")
 def gravity_units(spark: SparkSession, sf: str) -> DataFrame:
-    raw, og, fg = SIZE * 50.0, F.when(SIZE % 3 == 0, 1.0).otherwise(1 + SIZE / 500.0), 1 + SIZE / 2000.0
+    raw, og, fg = _size() * 50.0, F.when(_size() % 3 == 0, 1.0).otherwise(1 + _size() / 500.0), 1 + _size() / 2000.0
     return _parts(spark, sf).select(
         "p_partkey", F.round(units.gravity(raw), 9).alias("gravity"), F.round(units.attenuation(og, fg), 6).alias("attenuation"), F.round(units.alcohol(og, fg), 6).alias("abv"),
         F.round(units.srm_from_ebc(raw), 6).alias("from_ebc"), F.round(units.srm_from_lovibond(raw), 6).alias("from_lovibond"), F.round(units.celsius(raw), 6).alias("celsius"),
@@ -54,7 +60,7 @@ STAGES = ["dry", "bittering", "bittering", "late", "late", "bittering", "bitteri
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', STAGES)} AS stage FROM part")
 def hop_stages(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", domain.stage(_pick(KEY, ADDITIONS)).alias("stage"))
+    return _parts(spark, sf).select("p_partkey", domain.stage(_pick(_key(), ADDITIONS)).alias("stage"))
 
 
 HOPS = ["East Kent Goldings", "Columbus (US) Pellets", "German Tettnang", "Saaz 3.5% AA", "Citra® Cryo", "US Cascade", "H. Blanc", "Nelson"]
@@ -63,7 +69,7 @@ HOP_NAMES = ["east kent golding", "ctz", "tettnanger", "saaz", "citra", "cascade
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', HOP_NAMES)} AS hop FROM part")
 def hop_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", domain.hop_name(_pick(KEY, HOPS)).alias("hop"))
+    return _parts(spark, sf).select("p_partkey", domain.hop_name(_pick(_key(), HOPS)).alias("hop"))
 
 
 MALTS = ["Weyermann Pale Ale Malt", "Flaked Oats", "Malt Type 2-Row!", "Crystal  60L", "crisp Brown Malt"]
@@ -72,14 +78,14 @@ MALT_KEYS = ["pale ale", "flaked oat", "2 row", "crystal 60l", "brown"]
 
 @query(f"SELECT p_partkey, {_sql_pick('p_size', MALT_KEYS)} AS malt FROM part")
 def malt_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", brewing.malt_key(_pick(SIZE, MALTS)).alias("malt"))
+    return _parts(spark, sf).select("p_partkey", brewing.malt_key(_pick(_size(), MALTS)).alias("malt"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '|' || CASE lower(p_type) WHEN 'economy' THEN 'cheap' ELSE lower(p_type) END ELSE p_name END AS tags,
   CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END AS first FROM part""")
 def tag_lists(spark: SparkSession, sf: str) -> DataFrame:
-    listed = F.when(SIZE % 2 == 0, F.concat_ws(", ", "p_name", "p_type", F.lit(""), F.upper("p_name"))).otherwise(F.concat_ws(",", F.lit(" "), "p_name"))
-    first = text.first_text(F.when(SIZE % 3 == 1, F.concat(F.lit(" "), "p_brand")), F.when(SIZE % 3 == 0, F.lit("  ")), F.when(SIZE % 3 == 2, F.col("p_name")))
+    listed = F.when(_size() % 2 == 0, F.concat_ws(", ", "p_name", "p_type", F.lit(""), F.upper("p_name"))).otherwise(F.concat_ws(",", F.lit(" "), "p_name"))
+    first = text.first_text(F.when(_size() % 3 == 1, F.concat(F.lit(" "), "p_brand")), F.when(_size() % 3 == 0, F.lit("  ")), F.when(_size() % 3 == 2, F.col("p_name")))
     return _parts(spark, sf).select("p_partkey", F.array_join(text.clean_tags(listed, {"economy": "cheap"}), "|").alias("tags"), first.alias("first"))
 
 
@@ -94,9 +100,9 @@ VITALS_SQL = "v AS (SELECT p_partkey, p_name, 1 + p_size / 500.0 AS og, p_size /
     CASE WHEN p_size % 5 = 0 THEN 'stout-family' END) AS tags FROM v JOIN part USING (p_partkey))
   SELECT p_partkey, tags FROM t""")
 def style_tags(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(SIZE % 5 == 0, "Oat Stout").otherwise("Plain")
-    yeast = F.when(KEY % 3 == 0, "Lager").when(KEY % 3 == 1, "Ale").otherwise("Brett blend")
-    tags = brewing.derived_tags(name, 1 + SIZE / 500.0, SIZE / 4.0, KEY % 90, SIZE * 0.7, yeast)
+    name = F.when(_size() % 5 == 0, "Oat Stout").otherwise("Plain")
+    yeast = F.when(_key() % 3 == 0, "Lager").when(_key() % 3 == 1, "Ale").otherwise("Brett blend")
+    tags = brewing.derived_tags(name, 1 + _size() / 500.0, _size() / 4.0, _key() % 90, _size() * 0.7, yeast)
     return _parts(spark, sf).select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
@@ -106,10 +112,10 @@ def style_tags(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN abv THEN e END::DOUBLE AS abv_hi, CASE WHEN f < 95 THEN f END::DOUBLE AS ibu_hi FROM o""")
 def sanitised_ranges(spark: SparkSession, sf: str) -> DataFrame:
     box = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-    og = box(F.when(SIZE % 4 == 0, 1.0).otherwise(1.04), 1.05 + SIZE / 1000.0)
-    fg = box(F.when(SIZE % 5 == 0, 0.095).otherwise(1.008), F.lit(1.02))
-    abv = box(F.when(SIZE % 6 == 0, 0).otherwise(4), F.when(SIZE % 6 == 0, 25).otherwise(5))
-    ibu = box(F.lit(0), F.when(SIZE % 7 == 0, 100).otherwise(40))
+    og = box(F.when(_size() % 4 == 0, 1.0).otherwise(1.04), 1.05 + _size() / 1000.0)
+    fg = box(F.when(_size() % 5 == 0, 0.095).otherwise(1.008), F.lit(1.02))
+    abv = box(F.when(_size() % 6 == 0, 0).otherwise(4), F.when(_size() % 6 == 0, 25).otherwise(5))
+    ibu = box(F.lit(0), F.when(_size() % 7 == 0, 100).otherwise(40))
     got = brewing.sanitised(og, fg, abv, ibu, box(F.lit(2), F.lit(9)))
     return _parts(spark, sf).select("p_partkey", got["og"]["lo"].alias("og_lo"), F.round(got["fg"]["lo"], 3).alias("fg_lo"), got["abv"]["hi"].alias("abv_hi"), got["ibu"]["hi"].alias("ibu_hi"))
 
@@ -122,7 +128,7 @@ TOKENS = ["best|bitter", "american|ipa", "golden|blonde", "munich|helles", "barl
 
 @query(f"SELECT p_partkey, {_sql_pick('p_size', NORMS)} AS norm, {_sql_pick('p_size', READINGS)} AS readings, {_sql_pick('p_size', TOKENS)} AS tokens FROM part")
 def style_names(spark: SparkSession, sf: str) -> DataFrame:
-    name = _pick(SIZE, GUIDE_NAMES)
+    name = _pick(_size(), GUIDE_NAMES)
     norm = domain.style_name(name)
     return _parts(spark, sf).select("p_partkey", norm.alias("norm"), F.array_join(domain.alternative_names(name), "|").alias("readings"), F.array_join(domain.name_tokens(norm), "|").alias("tokens"))
 
@@ -142,7 +148,7 @@ def grist_bills(spark: SparkSession, sf: str) -> DataFrame:
 def _recipes(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as recipes: lines with even numbers are malts, the others hops, every third without a key."""
     line = F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == KEY)
+    rows = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == _key())
     malt = F.when(line % 2 == 0, F.struct(F.concat(F.lit(" "), F.initcap("p_name")).alias("name"), F.col("l_quantity").alias("kg"), F.lower("p_type").alias("class"), F.col("l_quantity").alias("pct")))
     hop = F.when(line % 2 == 1, F.struct(F.col("p_brand").alias("name"), F.when(F.col("l_partkey") % 3 > 0, F.lower("p_brand")).otherwise("").alias("key"), F.col("l_quantity").alias("g"), F.col("l_returnflag").alias("stage"), F.lit(None).cast("string").alias("timeMin")))
     bills = rows.groupBy("l_orderkey").agg(F.collect_list(malt).alias("malts"), F.collect_list(hop).alias("hops"))
@@ -194,20 +200,20 @@ def hop_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey, p_size, p_name FROM part) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN (1 + p_size / 500.0)::DOUBLE END AS og, (p_size / 4.0)::DOUBLE AS abv FROM p""")
 def labelled_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    told = F.concat(F.when(SIZE % 2 == 0, F.concat(F.lit("Original Gravity: about "), _text(1 + SIZE / 500.0))).otherwise("FOG 3"), F.lit(" and ABV = "), _text(SIZE / 4.0), F.lit("%"))
+    told = F.concat(F.when(_size() % 2 == 0, F.concat(F.lit("Original Gravity: about "), _text(1 + _size() / 500.0))).otherwise("FOG 3"), F.lit(" and ABV = "), _text(_size() / 4.0), F.lit("%"))
     return _parts(spark, sf).select("p_partkey", F.coalesce(text.labelled_number(told, "Original Gravity"), text.labelled_number(told, "OG")).alias("og"), text.labelled_number(told, "ABV").alias("abv"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|third one' ELSE '' END AS examples FROM part")
 def example_lists(spark: SparkSession, sf: str) -> DataFrame:
-    listed = F.concat(F.lit("Dark Versions – "), "p_name", F.lit(", "), "p_brand", F.lit("; X,"), F.when(SIZE % 2 == 0, "third one").otherwise(F.repeat(F.lit("z"), 60)))
+    listed = F.concat(F.lit("Dark Versions – "), "p_name", F.lit(", "), "p_brand", F.lit("; X,"), F.when(_size() % 2 == 0, "third one").otherwise(F.repeat(F.lit("z"), 60)))
     return _parts(spark, sf).select("p_partkey", F.array_join(brewing.examples(listed), "|").alias("examples"))
 
 
 @query("""SELECT p_name AS k, count(*) AS n, arg_min(p_partkey, (CASE WHEN p_size % 3 = 0 THEN -100 ELSE 0 END - CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END, p_partkey)) AS fullest, max(p_partkey) AS last FROM part GROUP BY 1""")
 def merged_records(spark: SparkSession, sf: str) -> DataFrame:
     """Of records with the same name the fullest and the last, joined as two sources."""
-    rows = _parts(spark, sf).select(F.col("p_name").alias("k"), KEY.alias("pos"), F.when(SIZE % 3 == 0, 1).alias("aroma"), F.when(SIZE % 2 == 0, 1).alias("more"))
+    rows = _parts(spark, sf).select(F.col("p_name").alias("k"), _key().alias("pos"), F.when(_size() % 3 == 0, 1).alias("aroma"), F.when(_size() % 2 == 0, 1).alias("more"))
     base = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     # a profile is also a field
     fullest = corpus.fullest(rows.withColumn("profile", F.col("aroma").isNotNull()).drop("aroma"), "k", F.col("profile"), "pos").drop("profile")
@@ -228,7 +234,7 @@ def substitute_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH k AS (SELECT l_orderkey, lower(p_name) AS name, CASE WHEN p_size > 10 THEN p_brand END AS key FROM lineitem JOIN part ON l_partkey = p_partkey)
   SELECT name, count(*) AS n, (SELECT round(avg((key IS NOT NULL)::INT), 9) FROM k) AS rate FROM k WHERE key IS NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 12""")
 def unmatched_names(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == KEY).withColumn("key", F.when(SIZE > 10, F.col("p_brand")))
+    rows = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == _key()).withColumn("key", F.when(_size() > 10, F.col("p_brand")))
     rate = corpus.match_rate(rows, "key").select(F.round("rate", 9).alias("rate"))
     return corpus.unmatched(rows, "p_name", "key").join(F.broadcast(rate))  # one row
 
@@ -241,8 +247,8 @@ def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 10 WHEN p_size % 3 = 1 THEN p_size ELSE NULL END AS a, p_size * 10 AS b FROM part")
 def overlaid_maps(spark: SparkSession, sf: str) -> DataFrame:
-    bundled = F.create_map(F.lit("a"), F.when(SIZE % 3 == 2, F.lit(None)).otherwise(SIZE), F.lit("b"), SIZE)
-    live = F.when(SIZE % 3 == 0, F.create_map(F.lit("a"), SIZE * 10, F.lit("b"), SIZE * 10)).otherwise(F.create_map(F.lit("b"), SIZE * 10))
+    bundled = F.create_map(F.lit("a"), F.when(_size() % 3 == 2, F.lit(None)).otherwise(_size()), F.lit("b"), _size())
+    live = F.when(_size() % 3 == 0, F.create_map(F.lit("a"), _size() * 10, F.lit("b"), _size() * 10)).otherwise(F.create_map(F.lit("b"), _size() * 10))
     got = corpus.overlaid(bundled, live)
     return _parts(spark, sf).select("p_partkey", got["a"].alias("a"), got["b"].alias("b"))
 
@@ -275,10 +281,10 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey AS id, p_name AS name, p_size % 4 AS n_malts FROM part WHERE p_size % 4 > 0 AND p_size % 5 > 0")
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of JSON written out and read with rejects: some are cut short, some lack malts."""
-    malts = F.transform(F.sequence(F.lit(0), SIZE % 4), lambda i: F.struct(_text(i).alias("name")))
-    whole = F.to_json(F.struct(KEY.alias("id"), F.col("p_name").alias("name"), F.when(SIZE % 4 > 0, F.slice(malts, F.lit(1), SIZE % 4)).otherwise(F.expr("array()")).alias("malts")))
+    malts = F.transform(F.sequence(F.lit(0), _size() % 4), lambda i: F.struct(_text(i).alias("name")))
+    whole = F.to_json(F.struct(_key().alias("id"), F.col("p_name").alias("name"), F.when(_size() % 4 > 0, F.slice(malts, F.lit(1), _size() % 4)).otherwise(F.expr("array()")).alias("malts")))
     path = f"{new_folder(spark)}/lines"
-    _parts(spark, sf).select(F.when(SIZE % 5 == 0, F.substring(whole, 1, 20)).otherwise(whole)).write.text(path)
+    _parts(spark, sf).select(F.when(_size() % 5 == 0, F.substring(whole, 1, 20)).otherwise(whole)).write.text(path)
     good, _ = documents.read_lines(spark, path, "id bigint, name string, malts array<struct<name:string>>", ["name", "malts"])
     return good.select("id", "name", F.size("malts").alias("n_malts"))
 
@@ -310,13 +316,13 @@ def parallel_arrays(spark: SparkSession, sf: str) -> DataFrame:
 def recipe_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages made of parts and parsed: JSON-LD, title, labels, and both tables."""
     c = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
-    size, name = _text(SIZE), F.col("p_name")
-    ld = F.when(SIZE % 2 == 0, c('<script type="application/ld+json">[{"@type":"Person","name":"x"},{"@type":["Thing","Recipe"],"name":"Ale ', name, '","recipeCategory":"Porter"}]</script>')).otherwise(c("<title>Ale ", name, " | Beer Recipe | Site</title>"))
+    size, name = _text(_size()), F.col("p_name")
+    ld = F.when(_size() % 2 == 0, c('<script type="application/ld+json">[{"@type":"Person","name":"x"},{"@type":["Thing","Recipe"],"name":"Ale ', name, '","recipeCategory":"Porter"}]</script>')).otherwise(c("<title>Ale ", name, " | Beer Recipe | Site</title>"))
     html = c(
-        ld, '<a href="/view/', _text(KEY), '/x">me</a> Method: All Grain Style: Plain  OG: ', F.format_string("%.3f", 1 + SIZE / 500.0), "<table><tr><th>Amount</th><th>Fermentable</th></tr><tr><td>", size, " lb</td><td>", name,
+        ld, '<a href="/view/', _text(_key()), '/x">me</a> Method: All Grain Style: Plain  OG: ', F.format_string("%.3f", 1 + _size() / 500.0), "<table><tr><th>Amount</th><th>Fermentable</th></tr><tr><td>", size, " lb</td><td>", name,
         " (note)</td></tr><tr><td>9 lb</td><td>Total</td></tr></table><table><tr><th>Amount</th><th>Variety</th><th>Use</th><th>Time</th></tr><tr><td>", size, " oz</td><td>Hop</td><td>Boil</td><td>", size, " min</td></tr></table>",
     )
-    got = documents.parse_recipe_page(_parts(spark, sf).select(KEY.alias("url"), html.alias("html")), "url", "html")
+    got = documents.parse_recipe_page(_parts(spark, sf).select(_key().alias("url"), html.alias("html")), "url", "html")
     return got.select("url", "id", "name", "vitals.og", F.col("malts")[0]["kg"].alias("kg"), F.col("hops")[0]["g"].alias("g"), F.col("hops")[0]["stage"].alias("stage"), "method", "style")
 
 
@@ -324,10 +330,10 @@ def recipe_pages(spark: SparkSession, sf: str) -> DataFrame:
 def recipe_xml(spark: SparkSession, sf: str) -> DataFrame:
     """XML made of parts, told apart from JSON, parsed, and rejected without a final gravity."""
     c = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
-    size = _text(SIZE)
+    size = _text(_size())
     xml = c(
-        " <RECIPES><RECIPE><NAME>", F.col("p_name"), "</NAME><OG>", F.format_string("%.3f", 1 + SIZE / 500.0), " SG</OG>", F.when(SIZE % 3 > 0, "<FG>1.010 SG</FG>").otherwise(""), "<IBU>30</IBU><COLOR>", _text(SIZE * 2),
-        "</COLOR><FERMENTABLES><FERMENTABLE><NAME>m</NAME><AMOUNT>", F.format_string("%.1f", SIZE / 10.0), "</AMOUNT></FERMENTABLE></FERMENTABLES><HOPS><HOP><NAME>h</NAME><AMOUNT>0.02</AMOUNT><USE>Boil</USE><TIME>", size, "</TIME></HOP></HOPS></RECIPE></RECIPES>",
+        " <RECIPES><RECIPE><NAME>", F.col("p_name"), "</NAME><OG>", F.format_string("%.3f", 1 + _size() / 500.0), " SG</OG>", F.when(_size() % 3 > 0, "<FG>1.010 SG</FG>").otherwise(""), "<IBU>30</IBU><COLOR>", _text(_size() * 2),
+        "</COLOR><FERMENTABLES><FERMENTABLE><NAME>m</NAME><AMOUNT>", F.format_string("%.1f", _size() / 10.0), "</AMOUNT></FERMENTABLE></FERMENTABLES><HOPS><HOP><NAME>h</NAME><AMOUNT>0.02</AMOUNT><USE>Boil</USE><TIME>", size, "</TIME></HOP></HOPS></RECIPE></RECIPES>",
     )
     docs = _parts(spark, sf).select("p_partkey", xml.alias("xml")).withColumn("kind", documents.sniff(F.col("xml")))
     got, _ = documents.import_xml(docs, "xml")
@@ -338,13 +344,13 @@ def recipe_xml(spark: SparkSession, sf: str) -> DataFrame:
   FROM part WHERE p_size % 7 > 0""")
 def recipe_json(spark: SparkSession, sf: str) -> DataFrame:
     """JSON exports made of parts: some nested, some with colours in EBC, some without a gravity."""
-    n = F.nullif(SIZE * 0 + 1, F.lit(0))
-    colour = F.when(SIZE % 5 == 0, F.create_map(F.lit("ebc"), _text(SIZE))).otherwise(F.create_map(F.lit("srm"), _text(SIZE)))
-    fields = F.map_concat(colour, F.create_map(F.lit("name"), F.when(SIZE % 2 == 0, F.col("p_name")).otherwise(" "), F.lit("og"), F.when(SIZE % 7 > 0, "1.050").otherwise(""), F.lit("estimatedFg"), F.lit("1.010"), F.lit("abv"), _text(SIZE / 8.0), F.lit("ibu"), _text(n * 20)))
+    n = F.nullif(_size() * 0 + 1, F.lit(0))
+    colour = F.when(_size() % 5 == 0, F.create_map(F.lit("ebc"), _text(_size()))).otherwise(F.create_map(F.lit("srm"), _text(_size())))
+    fields = F.map_concat(colour, F.create_map(F.lit("name"), F.when(_size() % 2 == 0, F.col("p_name")).otherwise(" "), F.lit("og"), F.when(_size() % 7 > 0, "1.050").otherwise(""), F.lit("estimatedFg"), F.lit("1.010"), F.lit("abv"), _text(_size() / 8.0), F.lit("ibu"), _text(n * 20)))
     flat = F.to_json(fields)
-    hops = F.concat(F.lit('"hops":[{"name":"h","amount":20,"use":"'), F.when(SIZE % 4 == 0, "Dry Hop").otherwise("Aroma"), F.lit('"}]}'))
+    hops = F.concat(F.lit('"hops":[{"name":"h","amount":20,"use":"'), F.when(_size() % 4 == 0, "Dry Hop").otherwise("Aroma"), F.lit('"}]}'))
     whole = F.concat(F.substring(flat, F.lit(1), F.length(flat) - 1), F.lit(","), hops)
-    docs = _parts(spark, sf).select("p_partkey", F.when(SIZE % 3 == 0, F.concat(F.lit('{"recipe":'), whole, F.lit("}"))).otherwise(whole).alias("content"))
+    docs = _parts(spark, sf).select("p_partkey", F.when(_size() % 3 == 0, F.concat(F.lit('{"recipe":'), whole, F.lit("}"))).otherwise(whole).alias("content"))
     got, _ = brewing.import_json(docs, "content")
     return got.select("p_partkey", "name", F.round("vitals.abv", 6).alias("abv"), F.round("vitals.srm", 6).alias("srm"), F.col("hop_schedule")[0]["stage"].alias("stage"))
 
@@ -352,7 +358,7 @@ def recipe_json(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 'p' || (p_partkey % 40) AS id, 's' || max(p_partkey) AS slug FROM part GROUP BY 1""")
 def listing_links(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct links of one listing page of all parts; the last slug of an id wins."""
-    link = F.concat(F.lit('<a href="/view/p'), _text(KEY % 40), F.lit("/s"), _text(KEY), F.lit('">x</a>'))
+    link = F.concat(F.lit('<a href="/view/p'), _text(_key() % 40), F.lit("/s"), _text(_key()), F.lit('">x</a>'))
     page = _parts(spark, sf).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("l")))), lambda x: x["l"]), " ").alias("html"))
     return documents.listing_links(page, "html", r"/view/(p[0-9]+)/(s[0-9]+)").select("id", "slug")
 
@@ -361,12 +367,12 @@ def listing_links(spark: SparkSession, sf: str) -> DataFrame:
   round((0.82 * (0.55 * 0.85 + 0.45 * 0.7))::DOUBLE, 9) AS score, CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.15 ELSE 0.5 END::DOUBLE AS tradition FROM v JOIN part USING (p_partkey)""")
 def hop_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Aroma of hops by profile and by notes, tradition, and a pairing score without aroma."""
-    profile = F.array(F.col("p_size").cast("double"), (KEY % 7).cast("double"), *[F.lit(0.0)] * 7)
-    notes = F.when(KEY % 2 == 0, F.array(F.lit("Berry"), F.lit("rose petals"))).otherwise(F.array(F.lit("lemon"), F.lit("pepper")))
+    profile = F.array(F.col("p_size").cast("double"), (_key() % 7).cast("double"), *[F.lit(0.0)] * 7)
+    notes = F.when(_key() % 2 == 0, F.array(F.lit("Berry"), F.lit("rose petals"))).otherwise(F.array(F.lit("lemon"), F.lit("pepper")))
     nothing = F.lit(None).cast("array<double>")
     score = matching.pairing_score(nothing, profile, F.lit(0.85), F.lit(None).cast("double"), F.lit(20.0), F.lit(30.0))
-    tags = F.when(SIZE % 3 == 2, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("british-isles")))
-    country = F.when(SIZE % 3 == 0, "united kingdom").otherwise("Germany")
+    tags = F.when(_size() % 3 == 2, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("british-isles")))
+    country = F.when(_size() % 3 == 0, "united kingdom").otherwise("Germany")
     return _parts(spark, sf).select(
         "p_partkey", F.round(brewing.hop_aroma(profile, notes)[0], 9).alias("citrus"), brewing.hop_aroma(nothing, notes)[6].alias("berry"), F.round(score, 9).alias("score"), brewing.tradition(tags, country).alias("tradition")
     )
@@ -377,7 +383,7 @@ def oil_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Oil shares within their limits; what is beyond is dropped, and the least sizes are read as shifted labels."""
     none = F.lit(None).cast("string")
     record = lambda **k: F.struct(*[k.get(f, none).alias(f) for f in ("myrcene", "humulene", "caryophyllene", "farnesene", "geraniol", "linalool", "oils")])
-    first = record(myrcene=F.concat(_text(SIZE), F.lit("%")), farnesene=F.when(SIZE < 25, _text(SIZE / 2)))
+    first = record(myrcene=F.concat(_text(_size()), F.lit("%")), farnesene=F.when(_size() < 25, _text(_size() / 2)))
     oils = brewing.oil_profile(first, record(), record())
     return _parts(spark, sf).select("p_partkey", oils["myrcene"]["hi"].alias("myrcene"), oils["farnesene"]["hi"].alias("farnesene"))
 
