@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, licenses, linededup, neardup, spandedup, token_counts
+from . import ann, bpe, chat, decontaminate, htmltext, langid, licenses, linededup, neardup, periodic, resample, spandedup, token_counts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -67,8 +67,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, langid.fit(docs)).drop("text")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract_text(pages, htmltext.fit(pages)).drop("html")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.find_runs(periodic.with_planted_runs(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_decontaminate, op2_token_counts, op3_chat_format, op4_license_scan, op5_nearest, op6_byte_bpe, op7_line_dedup, op8_span_dedup, op9_near_duplicates, op10_language_id]
+    found += [op11_resample, op12_main_text, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
@@ -91,5 +106,36 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 
+#: Each distinct word's bucket by a table-driven crc32 over its bytes; then counts, gains, scores and the order of the draw.
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT range::UBIGINT, 0, range::UBIGINT FROM range(256)
+  UNION ALL SELECT i, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END::UBIGINT) FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), words AS (
+  SELECT doc_id, unnest(w) AS word, false AS aimed FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  UNION ALL SELECT item_id, unnest(w), true FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+), counted AS (SELECT doc_id, aimed, word, count(*) AS n FROM words GROUP BY ALL
+), hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(0, (length(h) // 2)::BIGINT), lambda j: ('0x' || substr(h, (2 * j + 1)::BIGINT, 2))::UBIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)), crc
+), b AS (
+  SELECT bucket, sum(n) FILTER (WHERE NOT aimed) AS s, sum(n) FILTER (WHERE aimed) AS t FROM counted JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM b
+), d AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM counted JOIN hashed USING (word) JOIN gain USING (bucket) WHERE NOT aimed GROUP BY doc_id
+), scored AS (
+  SELECT o.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || o.doc_id), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents o LEFT JOIN d USING (doc_id)
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS many FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * many // 100 THEN r END AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL}
+    return {"op3_chat_format": OP3_SQL, "op11_resample": OP11_SQL}
