@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from .session import cut
 
 PER_LIST, MAX_LISTS, PER_CENTROID, BOUNDING = 100, 4096, 16, 5000
-REPLICAS, BOUNDARY, TARGET_RECALL = 2, 1.01, 0.85
+REPLICAS, BOUNDARY, TARGET_RECALL = 2, 1.01, 0.97
 #: Links of a centroid to its nearest, places a walk starts from, and centroids it opens at least.
 LINKS, STARTS, OPENED = 16, 64, 64
+#: Rows whose distances to all centroids are held at once.
+ROWS = 2048
 #: Entries of a bin, and queries that meet it in one task.
 BIN = QUERIES = 8192
 
@@ -73,11 +75,14 @@ class Lists:
 
     def assign(self, x: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         """(row, place) of every entry in the table (second) of near lists: the nearest, and the next at nearly its distance."""
-        d = self.distances(self.lifted(x))
-        r = min(REPLICAS, d.shape[1])
-        near = np.argpartition(d, r - 1, axis=1)[:, :r]
-        dn = np.take_along_axis(d, near, 1)
-        return np.nonzero(dn <= BOUNDARY * dn.min(1, keepdims=True)), near
+        r, lists, taken = min(REPLICAS, len(self.centroids)), [], []
+        for lo in range(0, max(1, len(x)), ROWS):
+            d = self.distances(self.lifted(x[lo : lo + ROWS]))
+            near = np.argpartition(d, r - 1, axis=1)[:, :r]
+            dn = np.take_along_axis(d, near, 1)
+            lists.append(near)
+            taken.append(dn <= BOUNDARY * dn.min(1, keepdims=True))
+        return np.nonzero(np.concatenate(taken)), np.concatenate(lists)
 
     def search(self, query: np.ndarray, k: int) -> list[int]:
         """Lists of a query (lifted): best-first over the graph, until the next is beyond the ratio and k rows are held."""
@@ -116,7 +121,8 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -
     c = x[rng.choice(len(x), k, replace=False)]
     price, scale = np.zeros(k), x.var(0).sum()
     for _ in range(rounds):
-        at = ((c * c).sum(1) - 2 * x @ c.T + price).argmin(1)
+        cost = (c * c).sum(1) + price
+        at = np.concatenate([(cost - 2 * x[lo : lo + ROWS] @ c.T).argmin(1) for lo in range(0, len(x), ROWS)])
         n = np.bincount(at, minlength=k)
         price += 0.05 * scale * (n / (len(x) / k) - 1)
         sums = np.zeros_like(c)
@@ -127,9 +133,12 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -
 
 def centroid_graph(c: np.ndarray) -> list[list[int]]:
     """For each centroid its nearest others, those it is nearest to, and the next by number, so that all connect."""
-    d = (c * c).sum(1) - 2 * c @ c.T + (c * c).sum(1)[:, None]
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, 1, kind="stable")[:, : min(LINKS, len(c) - 1)]
+    near, some = [], min(LINKS, len(c) - 1)
+    for lo in range(0, len(c), ROWS):
+        d = (c * c).sum(1) - 2 * c[lo : lo + ROWS] @ c.T
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        near.append(np.argsort(d, 1, kind="stable")[:, :some])
+    near = np.concatenate(near)
     links = [{(i + 1) % len(c), *near[i].tolist()} for i in range(len(c))]
     for i, row in enumerate(near.tolist()):
         for j in row:

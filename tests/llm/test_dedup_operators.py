@@ -260,13 +260,17 @@ def test_neighbours_of_few(spark):
 
 
 def test_large_lists_are_split(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "BIN", 50)
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    split, bins = [], ann.bins_of
+    monkeypatch.setattr(ann, "bins_of", lambda counts: split.append(bins(counts)) or split[-1])
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)]
     got = defaultdict(set)
     for r in ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), F.col("vec_id") % 20 == 0).collect():
         got[r.query_id].add(r.vec_id)
     want = brute(rows, 20)
+    assert (split[0][1] > 1).any()  # lists over several bins
     assert np.mean([len(got[q] & {i for _, i in want[q]}) / 20 for q in want]) > 0.9
 
 
@@ -287,3 +291,20 @@ def test_pipeline(spark, monkeypatch):
     assert at.where("n_chars <> length(text)").count() == 0
     final = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in at.select("doc_id").collect()}
+
+
+def test_links_are_made_by_many_tasks(spark, monkeypatch):
+    """The few tasks that join links don't read what the links are made from."""
+    from pyspark import TaskContext
+
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        n.add(1)
+        assert TaskContext.get() is not None
+        yield from batches
+
+    links = spark.range(0, 400, 1, 8).selectExpr("id as a", "id + 1 as b").mapInArrow(counted, "a long, b long")
+    found = components.connected_components(links)
+    assert n.value == 8  # each partition of links is computed once, by a task of its own
+    assert {r.component for r in found.collect()} == {0}
