@@ -22,15 +22,14 @@ def like(df: DataFrame, column: str, query: str | None) -> DataFrame:
 
 
 def id_order(key: str) -> list[Column]:
-    """Order of ids like 9A, 10B, 10C, T1: by the number they begin with (none last), then without case, then as they are."""
+    """Order of ids like 9A, 10B, 10C, T1: by the number they begin with (none last), then as names, then as they are."""
     lead = F.nullif(F.regexp_extract(key, r"^([0-9]+)", 1), F.lit("")).try_cast("long")
-    return [lead.asc_nulls_last(), F.lower(F.regexp_replace(key, r"^[0-9]+", "")), F.col(key)]
+    return [lead.asc_nulls_last(), F.collate(F.regexp_replace(key, r"^[0-9]+", ""), "UNICODE"), F.col(key)]
 
 
 def name_order(name: str) -> list[Column]:
-    """Alphabetical order: accents and case count only between names that are otherwise alike."""
-    plain = F.translate(F.lower(name), "äàáâöòóôüùúûéèêëíìîïñç", "aaaaoooouuuueeeeiiiinc")
-    return [plain, F.lower(name), F.col(name)]
+    """Alphabetical order by the root collation of Unicode: letters first, then accents, then case (small before large)."""
+    return [F.collate(F.col(name), "UNICODE"), F.col(name)]
 
 
 def top_tags(df: DataFrame, tags: str, n: int = 24) -> DataFrame:

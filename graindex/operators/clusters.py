@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rng import Mulberry
+from .steps import cut
+
 
 def sampled(df: DataFrame, vector: str, n: int = 2000) -> np.ndarray:
     """A bounded sample of the vectors, drawn by a hash of the vector."""
@@ -17,13 +20,14 @@ def sampled(df: DataFrame, vector: str, n: int = 2000) -> np.ndarray:
 
 
 def seeds(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """k-means++ seeds from a sample, each drawn by its squared distance to those before."""
-    rng, k = np.random.default_rng(seed), min(k, len(x))
-    centres = x[rng.integers(len(x))][None] if k else np.zeros((0, 0))
+    """k-means++ seeds from a sample, each drawn by its squared distance to those before, with numbers of mulberry32."""
+    draw, k = Mulberry(seed), min(k, len(x))
+    centres = x[int(draw() * len(x))][None] if k else np.zeros((0, 0))
     least = np.full(len(x), np.inf)
     while 0 < len(centres) < k:
         least = np.minimum(least, ((x - centres[-1]) ** 2).sum(1))
-        pick = rng.choice(len(x), p=least / least.sum()) if least.sum() > 0 else rng.integers(len(x))
+        upto = np.cumsum(least)
+        pick = min(int(np.searchsorted(upto, draw() * upto[-1], side="right")), len(x) - 1) if upto[-1] > 0 else int(draw() * len(x))
         centres = np.vstack([centres, x[pick]])
     return centres
 
@@ -33,11 +37,10 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, starts: int = 8, rounds
 
     All starts take their Lloyd steps in the same pass over the rows, until none moves; sums are made in the tasks and
     merged by start and cluster. An empty cluster moves to the row farthest from its centre. The steps of ``rounds``
-    passes at most are taken; what still moves then is kept as it is. Rows are read again each round, so cache or cut
-    a costly plan first.
+    passes at most are taken; what still moves then is kept as it is. Vectors are written out once; each round reads those.
     """
-    v = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    x = sampled(df, vector)
+    v = cut(df.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where("v is not null"))
+    x = sampled(v, "v")
     every = [seeds(x, k, seed + 7919 * r) for r in range(starts)]
     best, cost, live = every[0], float("inf"), list(range(starts)) if len(every[0]) else []
     for step in range(rounds + 1):
@@ -69,7 +72,8 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
-            yield np.array(batch.column(0).slice(lo, 2048).to_pylist(), np.float64)
+            part = batch.column(0).slice(lo, 2048)
+            yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
 
 
 def _lloyd_sums(v: DataFrame, at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:

@@ -82,14 +82,20 @@ def blended(rows: DataFrame, blend: float, numerics: int = 7) -> DataFrame:
 
 def projections(rows: DataFrame, blends: Sequence[float] = (0.0, 0.5, 1.0)) -> DataFrame:
     """id, method, blend, x, y, z: the three first components of each blend, rescaled so that the bulk fits in [-1, 1]."""
-    out = None
+    return projections_and_variance(rows, blends)[0]
+
+
+def projections_and_variance(rows: DataFrame, blends: Sequence[float] = (0.0, 0.5, 1.0)) -> tuple[DataFrame, DataFrame]:
+    """The points of ``projections``, and method, blend, axis and share: the share of variance of each axis, to four places."""
+    out, shares = None, []
     for blend in blends:
         space = blended(rows, blend)
         found = principal_components(space, "vector", 3)
+        shares += [("pca", float(blend), i, round(float(s), 4)) for i, s in enumerate(found.shares)]
         points = space.select("id", found.project(F.col("vector")).alias("p"))
         part = rescaled(points, "p").select("id", F.lit("pca").alias("method"), F.lit(float(blend)).alias("blend"), *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, rows.sparkSession.createDataFrame(shares, "method string, blend double, axis int, share double")
 
 
 def rescaled(points: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boxes import best_fit_many
+
+#: Range boxes that are held as one array in each task.
+FEW_BOXES = 256
+
 
 def number(value: object) -> float | None:
     """A query parameter as a number; None where it is unset or not a number."""
@@ -40,6 +45,50 @@ def page(df: DataFrame, sort: str, descending: bool, key: str, limit: object = N
     return df.orderBy(column, F.col(key).asc_nulls_last()).offset(offset).limit(clamp_int(limit, 100, most))
 
 
+#: Rows before an offset that an order may hold, and parts into which a range of values is counted.
+HELD, CELLS = 100_000, 4096
+
+
+def deep_page(df: DataFrame, sort: str, descending: bool, key: str, limit: object = None, offset: int = 0, most: int = 60_000) -> DataFrame:
+    """The same as ``page`` for numbers or times far down: only rows around the offset are ordered.
+
+    While the offset is beyond ``HELD`` rows, values are counted in ``CELLS`` equal parts of their range (nulls are the last), and only
+    rows of the parts that hold the page stay. Where so many rows share one value, the keys among them are counted the
+    same way. ``key`` is a number too, and tells rows apart.
+    """
+    n = clamp_int(limit, 100, most)
+    for column, down in ((sort, descending), (key, False)):
+        df, offset = _around(df, column, down, offset, n)
+    return page(df, sort, descending, key, n, offset, most)
+
+
+def _around(df: DataFrame, column: str, descending: bool, offset: int, n: int) -> tuple[DataFrame, int]:
+    """Rows by whose values places offset to offset + n are found, and where among them the page begins."""
+    kind = dict(df.dtypes)[column]
+    v = F.unix_micros(F.col(column).cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
+    while offset > HELD:
+        low, high, rows = df.agg(F.min(v), F.max(v), F.count(F.lit(1))).first()
+        width = (high - low) / CELLS if low is not None else 0.0
+        at = F.least(F.floor((v - low) / width), F.lit(CELLS - 1)) if width > 0 else F.lit(0)
+        cell = F.when(v.isNull(), CELLS).otherwise(CELLS - 1 - at if descending else at).cast("int")
+        before, kept = 0, []
+        for r in sorted(df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most CELLS + 1 rows
+            if not kept and before + r["n"] <= offset:
+                before += r["n"]
+            elif not kept or sum(k["n"] for k in kept) + before < offset + n:
+                kept.append(r)
+        if not kept or sum(k["n"] for k in kept) == rows:
+            break
+        first, last = kept[0]["cell"], kept[-1]["cell"]
+        df = df.where(cell.between(first, last))
+        if last < CELLS and width > 0:
+            # the same in plain values, a little wider, for the scan to leave out row groups
+            ends = (CELLS - 1 - last, CELLS - first) if descending else (first, last + 1)
+            df = df.where(v.between(low + (ends[0] - 1) * width, low + (ends[1] + 1) * width))
+        offset -= before
+    return df, offset
+
+
 def stable_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows first in order of a hash of ``key``: the same ones in any run and any engine."""
     digest = F.md5(F.col(key).cast("string").cast("binary"))
@@ -90,10 +139,12 @@ def pair_lift(members: DataFrame, group: str, member: str, least: int) -> DataFr
 def best_fit(items: DataFrame, key: str, ranges: DataFrame, axes: Sequence[str], name: str) -> DataFrame:
     """The range box that fits each item best: most axes inside; then least mean deviation in half-widths; then name.
 
-    ``ranges`` (name, {axis}_lo, {axis}_hi) is a short list of boxes and must stay so: it goes to every task as one
-    array, so that items are neither joined nor shuffled. An axis missing on either side is passed over; a box
-    without any common axis doesn't fit; an item that fits none has a null name.
+    ``ranges`` has name, {axis}_lo and {axis}_hi. Up to ``FEW_BOXES`` of them go to every task as one array, so that items
+    are neither joined nor shuffled; more are met in chunks (``boxes.best_fit_many``), with the same result. An axis
+    missing on either side is passed over; a box without any common axis doesn't fit; an item that fits none has a null name.
     """
+    if ranges.limit(FEW_BOXES + 1).count() > FEW_BOXES:
+        return best_fit_many(items, key, ranges, axes, name)
     boxes = ranges.agg(F.array_sort(F.collect_list(F.struct(name, *[c for a in axes for c in (f"{a}_lo", f"{a}_hi")]))).alias("_boxes"))
 
     def scored(box: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 
 def usage(df: DataFrame, item: str, group: str, **more: Column) -> DataFrame:
     """Per item: distinct groups that use it, and further aggregates."""
@@ -19,10 +21,10 @@ def mode_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_m")).select(*keys, F.col("_m.v").alias(value))
 
 
-def at_place(df: DataFrame, keys: Sequence[str], value: str, place: Callable[[Column], Column]) -> DataFrame:
+def at_place(df: DataFrame, keys: Sequence[str], value: str, place: Callable[[Column], Column], times: str | None = None) -> DataFrame:
     """keys and ``value``: the value at a place (from 0, a function of their number) among the ordered values of each key.
 
-    Nulls don't count. Values are counted in ranges first, some 4000 to each power of two, then only those of the range
+    Nulls don't count; with ``times`` a value counts as often as that column says. Values are counted in ranges first, some 4000 to each power of two, then only those of the range
     that holds the place by value, so no group of values is ever ordered as a whole or held in one buffer.
     """
     keys = list(keys)
@@ -32,13 +34,14 @@ def at_place(df: DataFrame, keys: Sequence[str], value: str, place: Callable[[Co
     rows = df.where(F.col(value).isNotNull()).withColumn("_range", ranges.cast("long"))
     by = Window.partitionBy(*keys)
     upto = lambda order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.sum(times) if times else F.count(F.lit(1))
+    counts = rows.groupBy(*keys, "_range").agg(many.alias("_n"))
     counts = counts.withColumn("_upto", F.sum("_n").over(upto("_range"))).withColumn("_place", place(F.sum("_n").over(by)))
     target = counts.where("_place < _upto and _place >= _upto - _n").select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of"), (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place"))
     same = F.col("_range") == F.col("_of")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    inside = rows.join(target, same).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_place"))
+    inside = rows.join(target, same).groupBy(*keys, value).agg(many.alias("_n"), F.min("_place").alias("_place"))
     inside = inside.withColumn("_upto", F.sum("_n").over(upto(value)))
     return inside.where("_place < _upto and _place >= _upto - _n").select(*keys, value)
 
@@ -59,12 +62,13 @@ def leaderboard(df: DataFrame, family: str, group: str, item: str, stage: str, s
     """
     in_stage = [F.sum(F.when(F.col(stage) == s, F.col(amount))).alias(f"_s{i}") for i, s in enumerate(stages)]
     each = df.where(F.col(item).isNotNull()).groupBy(family, group, item).agg(F.sum(amount).alias("amount"), F.min(batch).alias("_batch"), *in_stage)
-    each = each.withColumn("dose", F.when(F.col("_batch") != 0, F.col("amount") / F.col("_batch")))
+    # written out: it is read by the sums, and twice by the medians
+    each = cut(each.withColumn("dose", F.when(F.col("_batch") != 0, F.col("amount") / F.col("_batch"))))
     sums = [F.count(F.lit(1)).alias("n_groups"), F.sum("amount").alias("total"), *[F.sum(f"_s{i}").alias(s) for i, s in enumerate(stages)]]
     board = top_by(by_family_and_all(each, family, [item], *sums, all_name=all_name), [family], [F.desc("n_groups"), F.col(item)], n)
-    whole = lambda name: each.withColumn(family, F.lit(name)) if name else each
-    medians = [at_place(whole(name), [family, item], "dose", lambda k: F.floor(k / 2)) for name in (None, all_name)]
-    return board.join(medians[0].union(medians[1]).withColumnRenamed("dose", "median_dose"), [family, item], "left")
+    doses = by_family_and_all(each.where("dose is not null"), family, [item, "dose"], F.count(F.lit(1)).alias("times"), all_name=all_name)
+    medians = at_place(cut(doses), [family, item], "dose", lambda k: F.floor(k / 2), "times")
+    return board.join(medians.withColumnRenamed("dose", "median_dose"), [family, item], "left")
 
 
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
