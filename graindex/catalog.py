@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bills, browse, recipes, standing, texts, vectors
+from .plans import bills, browse, recipes, records, spelt, standing, texts, vectors
 
-_PLANS = (bills.REGISTRY, browse.REGISTRY, vectors.REGISTRY, texts.REGISTRY, recipes.REGISTRY, standing.REGISTRY)
+_PLANS = (bills.REGISTRY, browse.REGISTRY, vectors.REGISTRY, texts.REGISTRY, recipes.REGISTRY, standing.REGISTRY, spelt.REGISTRY, records.REGISTRY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,8 +141,11 @@ def examples(listed: Column) -> Column:
 
 
 def unit_sum(vector: Column) -> Column:
-    total = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(vector, lambda x: x / total))
+    # a lambda variable holds what is used more than once, so that it is worked out once
+    def shared(v: Column) -> Column:
+        return F.element_at(F.transform(F.array(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), lambda total: F.when(total > 0, F.transform(v, lambda x: x / total))), 1)
+
+    return F.element_at(F.transform(F.array(vector), shared), 1)
 
 
 def hop_aroma(profile: Column, notes: Column) -> Column:
@@ -157,11 +160,11 @@ def hop_aroma(profile: Column, notes: Column) -> Column:
 
 def style_aroma(found: Column) -> Column:
     """What a style's descriptors (domain.descriptors) ask of its hops, on the nine axes, summing to 1."""
-    def on(axis: str) -> Column:
+    def on(found: Column, axis: str) -> Column:
         names = [d for d, a in DESCRIPTOR_AXES.items() if a == axis]
         return F.aggregate(F.filter(found, lambda d: d["name"].isin(*names)), F.lit(0.0), lambda s, d: s + d["strength"]) if names else F.lit(0.0)
 
-    return unit_sum(F.array(*[on(a) for a in AROMA_AXES]))
+    return unit_sum(F.element_at(F.transform(F.array(found), lambda f: F.array(*[on(f, a) for a in AROMA_AXES])), 1))
 
 
 def tradition(tags: Column, country: Column) -> Column:

@@ -108,5 +108,6 @@ def pairing_score(target: Column, profile: Column, tradition: Column, alpha: Col
     smooth = F.when((ibu < 30) & (cohumulone <= 25), 0.15).when((ibu < 30) & (cohumulone >= 35), -0.15).otherwise(0.0)
     role = F.greatest(F.lit(0.0), 1 - F.abs(alpha - ideal) / 14) + smooth
     role = F.when(alpha.isNotNull() & ibu.isNotNull(), F.least(F.greatest(role, F.lit(0.0)), F.lit(1.0))).otherwise(0.7)
-    aroma = F.when(target.isNotNull() & profile.isNotNull(), cosine(target, profile))
-    return F.when(aroma.isNotNull(), 0.55 * aroma + 0.25 * tradition + 0.2 * role).otherwise(0.82 * (0.55 * tradition + 0.45 * role))
+    both = lambda x: F.when(x["t"].isNotNull() & x["p"].isNotNull(), cosine(x["t"], x["p"]))
+    aroma = F.element_at(F.transform(F.array(F.struct(target.alias("t"), profile.alias("p"))), both), 1)
+    return F.coalesce(0.55 * aroma + 0.25 * tradition + 0.2 * role, 0.82 * (0.55 * tradition + 0.45 * role))
