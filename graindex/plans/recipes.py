@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brewing, domain, text, units
@@ -225,7 +225,7 @@ def merged_records(spark: SparkSession, sf: str) -> DataFrame:
   SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM e""")
 def substitute_edges(spark: SparkSession, sf: str) -> DataFrame:
     names = _parts(spark, sf).groupBy(F.concat("p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("id"))
-    i = names.withColumn("i", F.row_number().over(Window.orderBy("id")))  # distinct names of a small made-up list
+    i = features.numbered(names, "id", "place").select("id", "name", (F.col("place") + 1).alias("i"))
     third, next_one = (i.select((F.col("i") - d).alias("i"), F.upper("name").alias(f"n{d}")) for d in (3, 1))
     listed = i.join(third, "i", "left").join(next_one, "i", "left").select("id", "name", F.array_compact(F.array(F.concat(F.lit(" "), "n3"), F.when(F.col("i") % 5 == 0, F.col("n1")), F.lit("nobody"))).alias("substitutes"))
     return corpus.substitute_edges(listed, "id", "name", "substitutes")
@@ -291,14 +291,15 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS v, c_nationkey::BIGINT AS n FROM customer")
 def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON object with an array, one with an object of objects: both read, and joined by key."""
+    """Files of one JSON object with an array each, and objects of objects: both read, and joined by key."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"), F.col("c_nationkey").cast("bigint").alias("n"))
     path = f"{new_folder(spark)}/array"
-    # made small on purpose: one file is what this source reads
-    rows.select("id", "name").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name")).alias("recipes")))).coalesce(1).write.text(path)
+    # a file for each five hundred
+    shelf = F.expr("id div 500").alias("shelf")
+    rows.groupBy(shelf).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name")).alias("recipes"))).alias("value")).write.partitionBy("shelf").text(path)
     listed = documents.read_array(spark, path, "recipes", "id bigint, name string")
     entries = F.map_from_entries(F.collect_list(F.struct(_text(F.col("id")).alias("k"), F.struct("v", "n").alias("x"))))
-    keyed = documents.object_values(rows.agg(F.to_json(entries).alias("j")), "j", "v double, n bigint")
+    keyed = documents.object_values(rows.groupBy(shelf).agg(F.to_json(entries).alias("j")), "j", "v double, n bigint")
     return listed.join(keyed.select(F.col("key").cast("bigint").alias("id"), "v", "n"), "id")
 
 
@@ -306,7 +307,7 @@ def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
 def parallel_arrays(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     point = lambda f: F.collect_list(F.struct("c_custkey", F.array(F.col("c_acctbal") * f, F.col("c_nationkey").cast("double"), F.lit(0.0)).alias("p")))
-    one = c.agg(point(1).alias("a"), point(2).alias("b"), point(3).alias("c")).select(F.col("a.c_custkey").alias("ids"), F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("c.p").alias("c"))
+    one = c.groupBy(F.expr("c_custkey div 500")).agg(point(1).alias("a"), point(2).alias("b"), point(3).alias("c")).select(F.col("a.c_custkey").alias("ids"), F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("c.p").alias("c"))
     got = documents.unpivot_arrays(one, "ids", {("pca", 0.0): "a", ("pca", 0.5): "b", ("umap", 0.5): "c"})
     return got.withColumn("x", F.round("x", 6))
 
@@ -357,10 +358,10 @@ def recipe_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT 'p' || (p_partkey % 40) AS id, 's' || max(p_partkey) AS slug FROM part GROUP BY 1""")
 def listing_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct links of one listing page of all parts; the last slug of an id wins."""
+    """Distinct links of the pages of a listing of all parts, a page for each thousand; the last slug of an id wins."""
     link = F.concat(F.lit('<a href="/view/p'), _text(_key() % 40), F.lit("/s"), _text(_key()), F.lit('">x</a>'))
-    page = _parts(spark, sf).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("l")))), lambda x: x["l"]), " ").alias("html"))
-    return documents.listing_links(page, "html", r"/view/(p[0-9]+)/(s[0-9]+)").select("id", "slug")
+    pages = _parts(spark, sf).groupBy(F.expr("p_partkey div 1000").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("l")))), lambda x: x["l"]), " ").alias("html"))
+    return documents.listing_links(pages, "html", r"/view/(p[0-9]+)/(s[0-9]+)", "page").select("id", "slug")
 
 
 @query("""WITH v AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b FROM part) SELECT p_partkey, CASE WHEN a + b > 0 THEN round(a / (a + b), 9) END AS citrus, CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS berry,
@@ -396,10 +397,10 @@ def transformed_points(spark: SparkSession, sf: str) -> DataFrame:
     return parts.where("p_size > 25").select("p_partkey", space.vector("tags").alias("v")).select("p_partkey", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("flag"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, md5(l_orderkey || l_linenumber::VARCHAR || l_partkey) AS digest FROM lineitem WHERE l_quantity > 25""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, md5(l_orderkey || l_linenumber::VARCHAR || l_partkey) AS digest FROM lineitem""")
 def written_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rows written as a table and as lines of JSON, published as a version, and read back from both."""
-    rows = table(spark, sf, "lineitem").where("l_quantity > 25").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     work = new_folder(spark)
 
     def build(path: str) -> None:

@@ -118,11 +118,15 @@ def json_ld(html: Column, kind: str, schema: str) -> Column:
     return F.get(found, F.lit(0))
 
 
-def listing_links(df: DataFrame, html: str, pattern: str) -> DataFrame:
-    """Distinct links of listing pages: id and slug by the two groups of ``pattern``, in order of first place; the last slug wins."""
+def listing_links(df: DataFrame, html: str, pattern: str, page: str | None = None) -> DataFrame:
+    """Distinct links of listing pages: id and slug by the two groups of ``pattern``, in order of first place; the last slug wins.
+
+    ``page`` numbers pages of one listing; links of later pages come after those of earlier ones.
+    """
     found = F.posexplode(F.regexp_extract_all(html, F.lit(f"(?i)({pattern})"), 1)).alias("pos", "link")
-    rows = df.select(found).withColumn("id", F.regexp_extract("link", f"(?i){pattern}", 1)).withColumn("slug", F.regexp_extract("link", f"(?i){pattern}", 2))
-    return rows.groupBy("id").agg(F.min("pos").alias("pos"), F.max_by("slug", "pos").alias("slug"))
+    rows = df.select((F.col(page) if page else F.lit(0)).alias("page"), found).withColumn("id", F.regexp_extract("link", f"(?i){pattern}", 1)).withColumn("slug", F.regexp_extract("link", f"(?i){pattern}", 2))
+    place = F.struct("page", "pos")
+    return rows.groupBy("id").agg(F.min(place).alias("first"), F.max_by("slug", place).alias("slug")).select("id", F.col("first.pos").alias("pos"), "slug", F.col("first.page").alias("page"))
 
 
 def parse_recipe_page(pages: DataFrame, url: str, html: str) -> DataFrame:
