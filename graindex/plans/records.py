@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brewing, text
-from ..operators import browse as B
 from ..operators import corpus
 from ..operators import relational as R
 from ..operators import views
 from ..sources import documents, paged
 from .recipes import _pick, _sql_pick
-from .tables import Registry, order_parts, table
+from .tables import Registry, table
 from .texts import new_folder
 
 REGISTRY = Registry()
@@ -215,3 +214,10 @@ def nearest_blends(spark: SparkSession, sf: str) -> DataFrame:
     asked = {0: 0.26, 1: 0.2, 2: 0.8}
     blends = F.create_map(*[F.lit(x) for k, v in asked.items() for x in (k, float(corpus.nearest_blend(v)))])
     return table(spark, sf, "customer").select("c_custkey", blends[(F.col("c_custkey") % 3).cast("int")].alias("blend"))
+
+
+@query("""WITH p AS (SELECT c_custkey, c_acctbal / 100 - 40 AS x, (c_nationkey - 12)::DOUBLE AS y FROM customer), m AS (SELECT max(greatest(abs(x), abs(y))) AS m FROM p) SELECT c_custkey, round(x * (1.15 / m), 9) AS x, round(y * (1.15 / m), 9) AS y FROM p, m""")
+def unit_cubes(spark: SparkSession, sf: str) -> DataFrame:
+    """Points scaled by their largest coordinate."""
+    points = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 100 - 40, (F.col("c_nationkey") - 12).cast("double")).alias("p"))
+    return corpus.unit_cube(points, "p").select("c_custkey", F.round(F.col("p")[0], 9).alias("x"), F.round(F.col("p")[1], 9).alias("y"))

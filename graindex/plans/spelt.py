@@ -177,3 +177,63 @@ def aroma_pairings(spark: SparkSession, sf: str) -> DataFrame:
     alpha, ibu = F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 3.0), F.when(F.col("p_partkey") % 9 > 0, (F.col("p_partkey") % 90).cast("double"))
     score = matching.pairing_score(target, profile, F.lit(0.5), alpha, (15 + F.col("p_partkey") % 30).cast("double"), ibu)
     return table(spark, sf, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+#: Records of three producers by number: field, SQL value (null where it is unknown).
+OILS = {
+    "a_m": "CASE WHEN p_partkey % 3 = 0 THEN p_size % 5 * 1.0 WHEN p_partkey % 13 > 0 THEN p_size * 2.0 END",
+    "a_h": "CASE WHEN p_partkey % 4 > 0 THEN p_size * 0.7 END",
+    "a_c": "CASE WHEN p_partkey % 3 = 0 THEN p_size + 30.0 WHEN p_partkey % 5 > 0 THEN p_size * 0.5 END",
+    "a_f": "CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 30 * 1.0 END",
+    "a_g": "CASE WHEN p_partkey % 6 > 1 THEN p_partkey % 9 * 1.0 END",
+    "b_m": "CASE WHEN p_partkey % 8 > 2 THEN p_size + 9.0 END",
+    "b_c": "CASE WHEN p_partkey % 8 > 3 THEN p_size * 0.6 END",
+    "b_f": "CASE WHEN p_partkey % 8 > 4 THEN p_size * 0.4 END",
+    "c_oils": "CASE WHEN p_partkey % 10 > 1 THEN 1.0 + p_size % 3 END",
+    "c_h": "CASE WHEN p_partkey % 10 > 2 THEN p_size / 40.0 END",
+    "c_f": "CASE WHEN p_partkey % 10 > 3 THEN p_size / 90.0 END",
+    "c_l": "CASE WHEN p_partkey % 10 > 4 THEN p_size / 10.0 END",
+}
+LIMITS = list(brewing.OIL_LIMITS.items())
+WAYS = (["a_m", "a_h", "a_c", "a_f", "a_g", None], ["a_c", None, "a_h", "a_g", "a_f", "a_m"], ["b_m", None, "b_c", "b_f", None, None])
+
+
+def _inside(x: str, i: int) -> str:
+    low, high = LIMITS[i][1]
+    return f"({x} >= {low} AND {x} <= {high})"
+
+
+def _way(i: int, fields: Sequence[str | None]) -> str:
+    filled = " + ".join(f"({f} IS NOT NULL)::INT" for f in fields if f)
+    broken = " + ".join(f"coalesce((NOT {_inside(f, j)})::INT, 0)" for j, f in enumerate(fields) if f)
+    lost = f"(({fields[0]} IS NULL) AND ({filled}) >= 3)::INT"
+    values = ", ".join(f or "NULL::DOUBLE" for f in fields)
+    return f"CASE WHEN ({filled}) > 0 THEN {{'score': ({broken} + {lost}) * 100 - ({filled}), 'way': {i}, 'v': [{values}]}} END"
+
+
+def _gap(field: str, i: int) -> str:
+    high = f"round(({field} / c_oils * 100 * 1.15)::DOUBLE, 1)" if field != "c_l" else "c_l"
+    return f"CASE WHEN {high} <= {LIMITS[i][1][1]} THEN {high} END"
+
+
+FOUND = [
+    f"CASE WHEN {_inside('b.v[1]', 0)} THEN b.v[1] WHEN {_inside('b_m', 0)} THEN b_m END",
+    f"CASE WHEN {_inside('b.v[2]', 1)} THEN b.v[2] ELSE {_gap('c_h', 1)} END",
+    f"CASE WHEN {_inside('b.v[3]', 2)} THEN b.v[3] WHEN {_inside('b_c', 2)} THEN b_c END",
+    f"CASE WHEN {_inside('b.v[4]', 3)} THEN b.v[4] WHEN {_inside('b_f', 3)} THEN b_f ELSE {_gap('c_f', 3)} END",
+    f"CASE WHEN {_inside('b.v[5]', 4)} THEN b.v[5] END",
+    f"CASE WHEN {_inside('b.v[6]', 5)} THEN b.v[6] ELSE {_gap('c_l', 5)} END",
+]
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {", ".join(f"({x})::DOUBLE AS {k}" for k, x in OILS.items())} FROM part), w AS (SELECT *, list_filter([{", ".join(_way(i, f) for i, f in enumerate(WAYS))}], lambda x: x IS NOT NULL) AS ways FROM t),
+  b AS (SELECT *, list_min(ways) AS b FROM w) SELECT p_partkey, {", ".join(f"round({x}, 6) AS {n}" for x, (n, _) in zip(FOUND, LIMITS, strict=True))} FROM b""")
+def producer_oils(spark: SparkSession, sf: str) -> DataFrame:
+    """Oil shares from three producers' records: shifted labels, limits, and gaps filled from the others."""
+    value = {k: F.expr(x).cast("double") for k, x in OILS.items()}
+    told = lambda k: F.concat(value[k].cast("string"), F.lit("%")) if k else F.lit(None).cast("string")
+    names = ("myrcene", "humulene", "caryophyllene", "farnesene", "geraniol", "linalool", "oils")
+    record = lambda *keys: F.struct(*[told(k).alias(n) for n, k in zip(names, keys, strict=True)])
+    rows = table(spark, sf, "part").select("p_partkey", record("a_m", "a_h", "a_c", "a_f", "a_g", None, None).alias("a"), record("b_m", None, "b_c", "b_f", None, None, None).alias("b"), record(None, "c_h", None, "c_f", None, "c_l", "c_oils").alias("c"))
+    oils = rows.select("p_partkey", brewing.oil_profile(F.col("a"), F.col("b"), F.col("c")).alias("o"))
+    return oils.select("p_partkey", *[F.round(F.col(f"o.{n}.hi"), 6).alias(n) for n, _ in LIMITS])
