@@ -19,13 +19,13 @@ from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import Runs, chunks, mix
+from .textkernel import Runs, chunks, mix, text_chunks
 
 #: Characters taken at a time, the bytes that a worker's cache holds at most beside the block at hand, and the rank of no token.
 BLOCK_CHARS, CACHE_BYTES, NONE = 200_000, 32_000_000, 1 << 40
@@ -198,11 +198,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """``docs`` with a binary column of token ids (little-endian unsigned 32-bit); a column of that name is replaced."""
     held = _Held(docs.sparkSession, path, pattern)
 
-    @F.pandas_udf(T.BinaryType())
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.BinaryType())
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = held.get()
         for texts in batches:
-            yield pd.Series(v.encode_all(texts), dtype=object)
+            yield pa.concat_arrays([pa.array([], pa.binary()), *(pa.array(v.encode_all(part), pa.binary()) for _, part in text_chunks(texts))])
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
@@ -211,11 +211,11 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text", length
     """``docs`` with the number of tokens of each text; no ids leave the workers."""
     held = _Held(docs.sparkSession, path, pattern)
 
-    @F.pandas_udf(T.LongType())
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.LongType())
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = held.get()
         for texts in batches:
-            yield pd.Series([len(b) // 4 for b in v.encode_all(texts)], dtype="int64")
+            yield pa.array([len(b) // 4 for _, part in text_chunks(texts) for b in v.encode_all(part)], pa.int64())
 
     return docs.withColumn(length, counted(F.col(text)))
 
@@ -224,11 +224,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
     """``encoded`` with the bytes that its ids stand for; null ids decode to null."""
     held = _Held(encoded.sparkSession, path, pattern)
 
-    @F.pandas_udf(T.BinaryType())
-    def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.BinaryType())
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = held.get()
         for rows in batches:
-            yield pd.Series([None if r is None else v.decode(r) for r in rows], dtype=object)
+            read = ([None if r is None else v.decode(r) for r in part] for _, part in text_chunks(rows, None))
+            yield pa.concat_arrays([pa.array([], pa.binary()), *(pa.array(x, pa.binary()) for x in read)])
 
     return encoded.withColumn(decoded, bytes_of(F.col(ids)))
 

@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .neardup import pair_similarities
 from .session import cut, document_key, free, keyed
-from .textkernel import Words, chunks, mix, spread
+from .textkernel import Words, mix, spread, text_chunks
 from .windows import Items
 
 THRESHOLD, RADIUS, BLOCKS = 0.8, 31, 16
@@ -139,7 +138,7 @@ def scan(docs: DataFrame, index: Broadcast, id_type: T.DataType, item: str, scor
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in chunks(batch.column("text").to_pylist()):
+            for at, part in text_chunks(batch.column("text")):
                 text, which, value, begin, end = index.value.matches(part)
                 if len(text):
                     ids = pa.array([index.value.items.ids[i] for i in which.tolist()], item_arrow)
@@ -167,13 +166,13 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     if parts == 1:
         index = next(each)
 
-        @F.pandas_udf(T.BooleanType())
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.BooleanType())
+        def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
                 out = np.ones(len(texts), bool)
-                for at, part in chunks(texts):
+                for at, part in text_chunks(texts):
                     out[at + index.value.matches(part)[0]] = False
-                yield pd.Series(out)
+                yield pa.array(out)
 
         return docs.where(clean(F.col("text")))
     of, key = free(docs, "of", "key")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .page_labels import MARK, labelled_pages
 from .session import free
-from .textkernel import chunks
+from .textkernel import text_chunks
 
 #: Places of hashed features.
 FEATURES = 1 << 14
@@ -192,7 +192,7 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((3, 2, FEATURES))
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
+            for _, part in text_chunks(batch.column(0)):
                 for page in map(Page, part):
                     if label := article_labels(page):
                         learn(page, label, counts)
@@ -286,7 +286,7 @@ def extract_text(pages: DataFrame, w: np.ndarray, html: str = "html") -> DataFra
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
-            for at, part in chunks(batch.column(last).to_pylist()):
+            for at, part in text_chunks(batch.column(last)):
                 texts = [main_text(x, learnt) for x in part]
                 own = [*(batch.column(i).slice(at, len(part)) for i in range(last)), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(own, names=[*batch.schema.names[:-1], "text", "n_chars"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches
-from .textkernel import chunks, code_points, mix, spread, tables
+from .textkernel import code_points, mix, spread, tables, text_chunks
 
 BUCKETS_LOG2, ORDERS, DIM = 16, 4, 16
 SAMPLE, ROWS, PIECES, PIECE = 400, 20_000, 4, 200
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for _, part in chunks(batch.column("text").to_pylist()):
+            for _, part in text_chunks(batch.column("text")):
                 a, b, c = sent.value.predict(part)
                 langs, scores, rejected = langs + a, scores + b.tolist(), rejected + c.tolist()
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .components import band_keys, similar_components
 from .neardup import multiplicities
 from .session import bounded_batches, cut, document_key, free, keyed
-from .textkernel import Runs, chunks, code_points, spread, tables
+from .textkernel import Runs, code_points, spread, tables, text_chunks
 
 GRAM, THRESHOLD, LONG = 6, 0.8, 64
 BANDS, ROWS = 12, 5
@@ -116,6 +116,13 @@ def _of(h: np.ndarray, at: np.ndarray, many: np.ndarray, some: np.ndarray) -> tu
     return h[place], of
 
 
+def _filled(h: np.ndarray, of: np.ndarray, sets: int, bits: int = 9) -> np.ndarray:
+    """At least how many distinct grams each set has: the places that they fill of a table of 2**bits."""
+    full = np.zeros((sets, 1 << bits), bool)
+    full[of, (h >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return full.sum(1)
+
+
 def distinct_grams(h: np.ndarray, of: np.ndarray, sets: int) -> np.ndarray:
     """The number of distinct grams of each set."""
     key = (of.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
@@ -134,6 +141,9 @@ def line_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     distinct = many.copy()
     some = np.flatnonzero(many >= LONG)
     if len(some):
+        distinct[some] = _filled(*_of(h, at, many, some), len(some))
+        # most lines fill enough places to be long beyond doubt; only the others are counted
+        some = some[distinct[some] < LONG / THRESHOLD]
         distinct[some] = distinct_grams(*_of(h, at, many, some), len(some))
     short, long = distinct < LONG / THRESHOLD, distinct >= LONG
     keys, owner = [], []
@@ -158,7 +168,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in chunks(batch.column("text").to_pylist()):
+            for at, part in text_chunks(batch.column("text")):
                 lines = Lines(part)
                 keys, many = line_keys(lines)
                 row = pa.array(lines.text + at)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import band_keys, similar_components
 from .session import bounded_batches, cut, document_key, free, keyed
-from .textkernel import Runs, Words, chunks, mix, shingles
+from .textkernel import Runs, Words, mix, shingles, text_chunks
 
 WORDS, THRESHOLD = 5, 0.8
 #: 16 bands of 5: a pair of similarity 0.8 meets with probability 0.998.
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)]
-            for _, part in chunks(batch.column("text").to_pylist()):
+            for _, part in text_chunks(batch.column("text")):
                 words = Words(part)
                 h, text, weight = multiplicities(*shingles(words, WORDS)[:2])
                 nodes.append(content_hashes(words))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import free
-from .textkernel import Runs, chunks, mix
+from .textkernel import Runs, mix, text_chunks
 
 #: A run has at least so many words and so many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -173,7 +173,7 @@ def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in chunks(batch.column(batch.num_columns - 1).to_pylist()):
+            for at, part in text_chunks(batch.column(batch.num_columns - 1)):
                 n, runs, collapsed = zip(*_answers(part), strict=True)
                 own = [batch.column(i).slice(at, len(part)) for i in range(batch.num_columns - 1)]
                 own += [pa.array(n, pa.int64()), pa.array(runs, kind), pa.array(collapsed, pa.string())]

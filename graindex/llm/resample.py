@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import cut, free, release
-from .textkernel import chunks
+from .textkernel import text_chunks
 
 #: Rows of a slice, which one task merges, and sampled rows a slice from which bounds are taken.
 SLICE, PER_SLICE = 200_000, 64
@@ -57,7 +57,7 @@ def bucket_counts(texts: DataFrame, buckets: int = 10_000, ngram: int = 1, text:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
+            for _, part in text_chunks(batch.column(0)):
                 hashed = np.fromiter((crc32(f) for t in part for f in features(t, ngram)[0]), np.int64)
                 n += np.bincount(hashed % buckets, minlength=buckets)
         some = np.flatnonzero(n)
@@ -95,7 +95,7 @@ def score_documents(docs: DataFrame, gain: np.ndarray, ngram: int, min_words: in
         row_key = TaskContext.get().partitionId() << 33
         for batch in batches:
             last = batch.num_columns - 1
-            for at, part in chunks(batch.column(last).to_pylist()):
+            for at, part in text_chunks(batch.column(last)):
                 told = [features(t, ngram) for t in part]
                 n = [len(f) for f, _ in told]
                 weight = [int(gain[np.fromiter(map(crc32, f), np.int64, len(f)) % len(gain)].sum()) // len(f) if f else 0 for f, _ in told]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches, cut, document_key, free, keyed
-from .textkernel import Runs, Words, chunks
+from .textkernel import Runs, Words, text_chunks
 
 #: With sentences of at most 25 words, a passage of more than 50 words that begins or ends with a sentence holds a span;
 #: so does one of 49 words inside a longer sentence.
@@ -94,7 +94,7 @@ def span_table(docs: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in chunks(batch.column("text").to_pylist()):
+            for at, part in text_chunks(batch.column("text")):
                 s = Spans(part)
                 row = pa.array(s.text[s.first] + at)
                 place = (s.begin[s.first].astype(np.int64) << 32) + s.end[s.last]

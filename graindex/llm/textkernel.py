@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: An odd multiplier with p % 8 == 5, which has the longest period modulo 2**64, and its inverse.
@@ -135,6 +137,16 @@ def chunks(texts: Iterable[str | None], size: int = CHUNK_CHARS) -> Iterator[tup
         yield at, part
 
 
+def text_chunks(column: pa.Array, null: str | None = "") -> Iterator[tuple[int, list]]:
+    """As ``chunks`` of an Arrow column of texts (or bytes), of which only a chunk is made into Python values at a time."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    part = (np.cumsum(size) - size) // CHUNK_CHARS
+    ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
+    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+        if hi > lo:
+            yield lo, [null if t is None else t for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places in all runs [start, start + size) one after another, and the run of each."""
     run = np.repeat(np.arange(len(starts)), sizes)
