@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import Runs, chunks, mix, text_chunks
+from .textkernel import Runs, chunks, give_back, mix, text_chunks
 
 #: Characters taken at a time, the bytes that a worker's cache holds at most beside the block at hand, and the rank of no token.
 BLOCK_CHARS, CACHE_BYTES, NONE = 200_000, 32_000_000, 1 << 40
@@ -203,6 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         v = held.get()
         for texts in batches:
             yield pa.concat_arrays([pa.array([], pa.binary()), *(pa.array(v.encode_all(part), pa.binary()) for _, part in text_chunks(texts))])
+        give_back()
 
     return docs.withColumn(ids, encoded(F.col(text)))
 

@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches
-from .textkernel import code_points, mix, spread, tables, text_chunks
+from .textkernel import code_points, give_back, mix, spread, tables, text_chunks
 
 BUCKETS_LOG2, ORDERS, DIM = 16, 4, 16
 SAMPLE, ROWS, PIECES, PIECE = 400, 20_000, 4, 200
@@ -208,6 +208,19 @@ def fit(docs: DataFrame) -> Model:
     return train(sample) if sample.languages else Model([], np.zeros((0, 1 << BUCKETS_LOG2), np.float32), np.zeros(0))
 
 
+def recognised(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Is the language of a text recognised, that is, its prediction not rejected? Only texts go to the workers, and flags come back."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.BooleanType())
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(~sent.value.predict(part)[2] for _, part in text_chunks(texts))]))
+        give_back()
+
+    return kept(text)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; columns of those names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from .components import band_keys, similar_components
 from .neardup import multiplicities
 from .session import bounded_batches, cut, document_key, free, keyed
-from .textkernel import Runs, code_points, spread, tables, text_chunks
+from .textkernel import Runs, code_points, give_back, spread, tables, text_chunks
 
 GRAM, THRESHOLD, LONG = 6, 0.8, 64
 BANDS, ROWS = 12, 5
@@ -177,6 +176,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(lines.number.astype(np.int32)), pa.array(lines.node), lists],
                     ["doc_id", "text_key", "line_no", "node", "keys"],
                 )
+        give_back()
 
     return keyed(docs).mapInArrow(found, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, line_no int, node long, keys array<long>")
 
@@ -201,6 +201,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 nodes += [w["node"] for w in wanted]
                 texts += [lines[w["line_no"]] for w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
+        give_back()
 
     return rows.mapInArrow(cutout, "node long, text string")
 
@@ -241,17 +242,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return every.select("doc_id", "text_key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    out = []
-    for text, numbers in zip(texts, gone, strict=True):
-        if text is None or numbers is None:
-            out.append(text)
-            continue
-        drop = set(numbers)
-        left = [x for i, x in enumerate(text.split("\n")) if i not in drop]
-        out.append("\n".join(left) if any(x.strip() for x in left) else None)
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(T.StringType())
+def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts without the lines of these numbers; null where no line but blank ones is left."""
+    for texts, gone in batches:
+        parts = [pa.array([], pa.string())]
+        for at, part in text_chunks(texts, None):
+            out = []
+            for text, numbers in zip(part, gone.slice(at, len(part)).to_pylist(), strict=True):
+                if text is None or numbers is None:
+                    out.append(text)
+                    continue
+                drop = set(numbers)
+                left = [x for i, x in enumerate(text.split("\n")) if i not in drop]
+                out.append("\n".join(left) if any(x.strip() for x in left) else None)
+            parts.append(pa.array(out, pa.string()))
+        yield pa.concat_arrays(parts)
+    give_back()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

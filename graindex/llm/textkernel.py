@@ -7,6 +7,7 @@ sum, so that any window of a text costs a subtraction and a multiplication.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,6 +20,7 @@ import regex
 #: An odd multiplier with p % 8 == 5, which has the longest period modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15 | 5
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+_LIBC = ctypes.CDLL(None)
 #: Characters handled at a time; a longer text is handled alone.
 CHUNK_CHARS = 400_000
 
@@ -147,6 +149,13 @@ def text_chunks(column: pa.Array, null: str | None = "") -> Iterator[tuple[int,
             yield lo, [null if t is None else t for t in column.slice(lo, hi - lo).to_pylist()]
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers are kept for later tasks, and the executor's memory holds all of them."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places in all runs [start, start + size) one after another, and the run of each."""
     run = np.repeat(np.arange(len(starts)), sizes)
