@@ -21,7 +21,7 @@ from graindex.llm.session import cut
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return docs.where(langid.recognised(F.col("text"), model, spark))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
