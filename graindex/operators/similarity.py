@@ -6,19 +6,23 @@ threshold: equal rows are one class first, and blocks that can't hold a pair are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from ..functions.units import cosine, euclidean, jaccard
-from .rollups import at_place, top_by
+from ..functions.units import euclidean
+from .rollups import top_by
+from .steps import cut
 
 #: Queries and rows that meet in one block of a search; rows of a block of a join, and its pivots.
 BLOCK_QUERIES, BLOCK_ROWS, BLOCK, PIVOTS = 500, 20_000, 4096, 32
+#: Queries and rows of a block of a vector search, and of what a task holds of it at a time; ranges of distances to a power of two.
+SEARCH_QUERIES, SEARCH_ROWS, TILE, RANGES = 1024, 20_000, (64, 2048), 512
 
 
 def held_against(queries: DataFrame, rows: DataFrame, q_key: str, key: str) -> DataFrame:
@@ -47,13 +51,106 @@ def top_both_ways(scored: DataFrame, a: str, b: str, score: str, k_a: int, k_b:
     return one.unionByName(two)
 
 
+def _in_blocks(rows: DataFrame, is_query: Column, columns: Sequence[str], known: DataFrame | None = None) -> tuple[GroupedData, GroupedData]:
+    """Queries and rows dealt to blocks: each block of queries meets each block of rows once, in one task.
+
+    ``known`` (query_id and what a task must know of a query) is joined to the queries.
+    """
+    queries = rows.where(is_query)
+    ni, nj = 1 + queries.count() // SEARCH_QUERIES, 1 + rows.count() // SEARCH_ROWS
+    if known is not None:
+        queries = queries.join(known.withColumnRenamed("query_id", "id"), "id")
+        columns_of_queries = [*columns, *[c for c in known.columns if c != "query_id"]]
+    else:
+        columns_of_queries = columns
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(part(ni).alias("i"), every(nj).alias("j"), *columns_of_queries)
+    right = rows.select(every(ni).alias("i"), part(nj).alias("j"), *columns)
+    left = left.toDF(*left.columns)  # both sides may come from the same table
+    return tuple(x.repartition(ni * nj, "i", "j").groupBy("i", "j") for x in (left, right))
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in double precision, filled up with zeros to one width, and their lengths: -1, all zeros, where one is null or holds a null."""
+    listed = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = listed.flatten()
+    of = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    x = np.zeros((len(size), int(size.max(initial=0))))
+    x[of, at] = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+    size[of[values.is_null().to_numpy(zero_copy_only=False)]] = -1
+    size[listed.is_null().to_numpy(zero_copy_only=False)] = -1
+    x[size < 0] = 0
+    return x, size
+
+
+def _matrices(ours: pa.Table, theirs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of queries and rows, and which pairs can be compared."""
+    (x, n), (y, m) = _matrix(ours["v"]), _matrix(theirs["v"])
+    wide = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(z, ((0, 0), (0, wide - z.shape[1]))) for z in (x, y))
+    return x, y, (n[:, None] == m[None, :]) & (n[:, None] >= 0)
+
+
+def _tiles(n: int, m: int) -> Iterator[tuple[slice, slice]]:
+    """Parts of n queries by m rows, of which a task holds one at a time."""
+    for lo in range(0, n, TILE[0]):
+        for at in range(0, m, TILE[1]):
+            yield slice(lo, min(n, lo + TILE[0])), slice(at, min(m, at + TILE[1]))
+
+
+class _Best:
+    """The k best rows of each query of a block: highest score, a NaN above all, of equal ones the first row."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.score = np.full((queries, k), -np.inf)
+        self.row = np.full((queries, k), -1)
+
+    def add(self, of: slice, rows: slice, score: np.ndarray, allowed: np.ndarray) -> None:
+        score = np.where(np.isnan(score), np.inf, score)
+        score[~allowed] = -np.inf
+        for q in np.flatnonzero((score > self.score[of, -1:]).any(1)):
+            new = np.flatnonzero(score[q] > self.score[of.start + q, -1])
+            scores, places = np.append(self.score[of.start + q], score[q, new]), np.append(self.row[of.start + q], new + rows.start)
+            best = np.lexsort((places, -scores))[: self.score.shape[1]]
+            self.score[of.start + q], self.row[of.start + q] = scores[best], places[best]
+
+    def found(self, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, c = np.nonzero(self.row >= 0)
+        score = self.score[q, c]
+        columns = [t["id"].take(pa.array(at)) for t, at in ((queries, q), (rows, self.row[q, c]))]
+        return pa.table([*columns, pa.array(np.where(np.isinf(score), np.nan, score))], names=["query_id", "id", "score"])
+
+
+def _others(ours: pa.Table, theirs: pa.Table) -> np.ndarray:
+    return ours["id"].to_numpy()[:, None] != theirs["id"].to_numpy()[None, :]
+
+
 def cosine_search(rows: DataFrame, is_query: Column, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
-    """The k rows of highest cosine to each query row, but itself."""
-    v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    queries = v.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = held_against(queries, v, "query_id", "id").where("query_id <> id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), digits).alias("score"))
-    return top_k(scored, "query_id", "score", "id", k)
+    """The k rows of highest cosine to each query row, but itself; 0 where a norm is 0 or two vectors can't be compared.
+
+    A block of queries meets a block of rows as matrices in one task, from which only the k best of each query go on.
+    """
+    v = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    kind = dict(v.dtypes)["id"]
+
+    def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("id")
+        x, y, both = _matrices(ours, theirs)
+        norm_x, norm_y = (np.sqrt((z * z).sum(1)) for z in (x, y))
+        others, held = _others(ours, theirs), _Best(len(x), k)
+        for q, r in _tiles(len(x), len(y)):
+            norm = norm_x[q, None] * norm_y[None, r]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.where(both[q, r] & ~(norm <= 0), x[q] @ y[r].T / norm, 0.0)
+            held.add(q, r, np.round(score, digits), others[q, r])
+        return held.found(ours, theirs)
+
+    left, right = _in_blocks(v, is_query, ["id", "v"])
+    near = left.cogroup(right).applyInArrow(best, f"query_id {kind}, id {kind}, score double")
+    return top_k(near.withColumn("score", F.round("score", digits)), "query_id", "score", "id", k)
 
 
 def nearest_boxes(items: DataFrame, key: str, vector: str, others: DataFrame, other_key: str, other_vector: str, k: int) -> DataFrame:
@@ -64,19 +161,109 @@ def nearest_boxes(items: DataFrame, key: str, vector: str, others: DataFrame, ot
     return top_by(scored, [key], [F.col("distance"), F.col(other_key)], k)
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances, summed in order of the axes, so that a pair has the same one in every pass."""
+    total, axes = np.zeros((len(x), len(y))), np.ascontiguousarray(y.T)
+    for i in range(x.shape[1]):
+        apart = x[:, i, None] - axes[i]
+        apart *= apart
+        total += apart
+    return np.sqrt(total)
+
+
+def _ranges(d: np.ndarray) -> np.ndarray:
+    """Numbers of ranges of distances in order, ``RANGES`` to each power of two; 0 first, NaN last."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        size = np.floor(np.log2(d) * RANGES)
+    return np.nan_to_num(np.where(np.isnan(d), np.inf, size), posinf=1 << 30, neginf=-(1 << 30)).astype(np.int32)
+
+
+def _jaccards(ours: pa.Table, theirs: pa.Table) -> tuple[np.ndarray, np.ndarray, Callable[[slice], np.ndarray]]:
+    """Numbers of the tag sets of queries and rows, and the similarities of all sets of queries with a part of those of rows."""
+    kinds, numbers = [], []
+    for t in (ours, theirs):
+        place: dict[frozenset, int] = {}
+        numbers.append(np.array([place.setdefault(frozenset(tags or ()), len(place)) for tags in t["t"].to_pylist()], np.int64))
+        kinds.append(list(place))
+    names = {tag: i for i, tag in enumerate(set().union(*kinds[0]) & set().union(*kinds[1]))}
+
+    def flags(sets: list[frozenset]) -> np.ndarray:
+        out = np.zeros((len(sets), len(names)), np.float32)
+        for i, tags in enumerate(sets):
+            out[i, [names[tag] for tag in tags if tag in names]] = 1
+        return out
+
+    mine, size = flags(kinds[0]), np.array([len(s) for s in kinds[0]], np.float64)
+
+    def with_rows(part: np.ndarray) -> np.ndarray:
+        sets = [kinds[1][i] for i in part]
+        both = (mine @ flags(sets).T).astype(np.float64)
+        either = size[:, None] + np.array([len(s) for s in sets], np.float64)[None, :] - both
+        return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+
+    return numbers[0], numbers[1], with_rows
+
+
 def blend_search(rows: DataFrame, is_query: Column, key: str, vector: str, tags: str, alpha: float, k: int) -> DataFrame:
     """The k rows of highest alpha * Jaccard(tags) + (1 - alpha) * max(0, 1 - distance / scale) to each query.
 
     The scale of a query is its distances' value at place floor(0.95 n) in order, its own distance 0 among them; 1
-    where that is 0. It is found from counts of ranges of distances, without an order of all rows of a query.
+    where that is 0. Blocks of queries meet blocks of rows three times: to count the distances of each query in ranges, to
+    find the value at its place in the one range that holds it, and for the scores. Distances never leave their task but
+    those of that range.
     """
-    v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(tags).alias("t"))
-    queries = v.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("t").alias("qt"))
-    pairs = held_against(queries, v, "query_id", "id").select("query_id", "id", euclidean(F.col("qv"), F.col("v")).alias("d"), jaccard(F.col("qt"), F.col("t")).alias("j"))
-    scales = at_place(pairs, ["query_id"], "d", lambda n: F.floor(n * 0.95)).select("query_id", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("s"))
-    score = alpha * F.col("j") + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("s"))
-    scored = pairs.join(scales, "query_id").where("query_id <> id").select("query_id", "id", F.round(score, 9).alias("score"))
-    return top_k(scored, "query_id", "score", "id", k)
+    v = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(tags).alias("t"))
+    kind = dict(v.dtypes)["id"]
+
+    def listed(ours: pa.Table, found: list[tuple[int, np.ndarray, np.ndarray]], value: pa.DataType) -> pa.Table:
+        sizes = np.array([len(x) for _, x, _ in found], np.int64)
+        ids = ours["id"].take(pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), sizes)))
+        at, n = (np.concatenate([np.zeros(0, t), *[f[i] for f in found]]) for i, t in ((1, np.float64), (2, np.int64)))
+        return pa.table([ids, pa.array(at).cast(value), pa.array(n.astype(np.int64))], names=["query_id", "at", "n"])
+
+    def counted(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, y, both = _matrices(ours, theirs)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(x), TILE[0]):
+            q = slice(lo, min(len(x), lo + TILE[0]))
+            of = _ranges(np.concatenate([_distances(x[q], y[r]) for _, r in _tiles(1, len(y))], 1))
+            found += [(lo + i, *np.unique(of[i][both[lo + i]], return_counts=True)) for i in range(len(of))]
+        return listed(ours, found, pa.int32())
+
+    def inside(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, y, both = _matrices(ours, theirs)
+        wanted = ours["at"].to_numpy()
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q, r in _tiles(len(x), len(y)):
+            d = _distances(x[q], y[r])
+            here = (_ranges(d) == wanted[q, None]) & both[q, r]
+            found += [(q.start + i, *np.unique(d[i][here[i]], return_counts=True)) for i in np.flatnonzero(here.any(1))]
+        return listed(ours, found, pa.float64())
+
+    def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("id")
+        x, y, both = _matrices(ours, theirs)
+        scale, held, others = ours["s"].to_numpy(), _Best(len(x), k), _others(ours, theirs)
+        our_sets, their_sets, jaccards = _jaccards(ours, theirs)
+        for q, r in _tiles(len(x), len(y)):
+            sets, of = np.unique(their_sets[r], return_inverse=True)
+            near = np.where(both[q, r], 1 - _distances(x[q], y[r]) / scale[q, None], 0)
+            score = alpha * jaccards(sets)[our_sets[q]][:, of] + (1 - alpha) * np.maximum(near, 0)
+            held.add(q, r, np.round(score, 9), others[q, r])
+        return held.found(ours, theirs)
+
+    upto = Window.partitionBy("query_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda df: df.groupBy("query_id", "at").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    left, right = _in_blocks(v, is_query, ["id", "v"])
+    counts = total(left.cogroup(right).applyInArrow(counted, f"query_id {kind}, at int, n long"))
+    counts = counts.withColumn("place", F.floor(F.sum("n").over(Window.partitionBy("query_id")) * 0.95))
+    target = cut(counts.where("place < upto and place >= upto - n").select("query_id", "at", (F.col("place") - F.col("upto") + F.col("n")).alias("place")))
+    left, right = _in_blocks(v, is_query, ["id", "v"], target.drop("place"))
+    values = total(left.cogroup(right).applyInArrow(inside, f"query_id {kind}, at double, n long")).join(target.select("query_id", "place"), "query_id")
+    scales = cut(values.where("place < upto and place >= upto - n").select("query_id", F.when(F.col("at") > 0, F.col("at")).otherwise(1.0).alias("s")))
+    left, right = _in_blocks(v, is_query, ["id", "v", "t"], scales)
+    scored = left.cogroup(right).applyInArrow(best, f"query_id {kind}, id {kind}, score double")
+    return top_k(scored.withColumn("score", F.round("score", 9)), "query_id", "score", "id", k)
 
 
 def vector_classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
