@@ -27,9 +27,9 @@ def id_order(key: str) -> list[Column]:
     return [lead.asc_nulls_last(), F.collate(F.regexp_replace(key, r"^[0-9]+", ""), "UNICODE"), F.col(key)]
 
 
-def name_order(name: str) -> list[Column]:
-    """Alphabetical order by the root collation of Unicode: letters first, then accents, then case (small before large)."""
-    return [F.collate(F.col(name), "UNICODE"), F.col(name)]
+def name_order(name: str, capitals_first: bool = False) -> list[Column]:
+    """Alphabetical order by the root collation of Unicode: letters first, then accents, then case (small before large, or large before small)."""
+    return [F.collate(F.col(name), "UNICODE_CI" if capitals_first else "UNICODE"), F.col(name)]
 
 
 def top_tags(df: DataFrame, tags: str, n: int = 24) -> DataFrame:

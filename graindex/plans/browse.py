@@ -142,7 +142,7 @@ def numeric_ids(spark: SparkSession, sf: str) -> DataFrame:
 def alphabetical(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     name = F.when(k == 0, F.upper("p_name")).when(k == 1, F.replace("p_name", F.lit("e"), F.lit("é"))).otherwise(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", name.alias("name")).orderBy(*B.name_order("name"), "p_partkey").limit(250)
+    return table(spark, sf, "part").select("p_partkey", name.alias("name")).orderBy(*B.name_order("name", capitals_first=True), "p_partkey").limit(250)
 
 
 @query(f"""WITH {LINES}, t AS (SELECT DISTINCT l_orderkey, p_name AS tag FROM lines) SELECT tag, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, tag LIMIT 24""")
