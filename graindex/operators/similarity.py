@@ -21,6 +21,8 @@ from .steps import cut
 
 #: Queries and rows that meet in one block of a search; rows of a block of a join, and its pivots.
 BLOCK_QUERIES, BLOCK_ROWS, BLOCK, PIVOTS = 500, 20_000, 4096, 32
+#: Blocks of each side of a silhouette at most.
+SIDES = 16
 #: Queries and rows of a block of a vector search, and of what a task holds of it at a time; ranges of distances to a power of two.
 SEARCH_QUERIES, SEARCH_ROWS, TILE, RANGES = 1024, 20_000, (64, 2048), 512
 
@@ -94,11 +96,12 @@ def _matrices(ours: pa.Table, theirs: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return x, y, (n[:, None] == m[None, :]) & (n[:, None] >= 0)
 
 
-def _tiles(n: int, m: int) -> Iterator[tuple[slice, slice]]:
+def _tiles(n: int, m: int, tile: tuple[int, int] | None = None) -> Iterator[tuple[slice, slice]]:
     """Parts of n queries by m rows, of which a task holds one at a time."""
-    for lo in range(0, n, TILE[0]):
-        for at in range(0, m, TILE[1]):
-            yield slice(lo, min(n, lo + TILE[0])), slice(at, min(m, at + TILE[1]))
+    tile = tile or TILE
+    for lo in range(0, n, tile[0]):
+        for at in range(0, m, tile[1]):
+            yield slice(lo, min(n, lo + tile[0])), slice(at, min(m, at + tile[1]))
 
 
 class _Best:
@@ -375,32 +378,36 @@ def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame
     """Silhouette (Euclidean distances) of every row: key, silhouette; none in a cluster of one or a lone cluster.
 
     Each block of rows meets each block of all rows in one task, which sums distances by label there; only those sums,
-    a row for each key and label, are shuffled on.
+    a row for each key and label, are shuffled on. There are at most ``SIDES`` blocks, so that a row crosses the shuffle
+    a bounded number of times, whatever their number; blocks of many rows are compared a part at a time.
     """
-    v = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    v = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     v = v.where("v is not null and label is not null")
-    parts = 1 + v.count() // BLOCK
+    parts = min(SIDES, 1 + v.count() // BLOCK)
     mine = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("i")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     kind = {n: t for n, t in v.dtypes}
     left, right = v.select(mine, every.alias("j"), "id", "v", "label"), v.select(mine.alias("j"), every.alias("i"), F.col("v").alias("w"), F.col("label").alias("of"))
 
-    def sums(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(ours) and len(theirs):
-            x, y = np.stack(ours["v"].to_numpy()), np.stack(theirs["w"].to_numpy())
-            labels, of = np.unique(theirs["of"].to_numpy(), return_inverse=True)
-            flags = np.eye(len(labels))[of]
-            for lo in range(0, len(x), 256):
-                some = ours.iloc[lo : lo + 256]
-                d = np.sqrt(np.maximum(((x[lo : lo + 256, None] - y[None]) ** 2).sum(2) if len(y) * x.shape[1] < 200_000 else _squared(x[lo : lo + 256], y), 0))
-                total, n = d @ flags, flags.sum(0)
-                for c, name in enumerate(labels):
-                    out.append(pd.DataFrame({"id": some["id"], "own": some["label"], "label": name, "s": total[:, c], "n": int(n[c])}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "own": [], "label": [], "s": [], "n": []})
+    def sums(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        (x, _), (y, _) = _matrix(ours["v"]), _matrix(theirs["w"])
+        labels = pc.unique(theirs["of"])
+        of = pc.index_in(theirs["of"], labels).to_numpy()
+        n = np.bincount(of, minlength=len(labels))
+        total = np.zeros((len(x), len(labels)))
+        if len(x) and len(y):
+            for q, r in _tiles(len(x), len(y), (256, BLOCK)):
+                d = np.sqrt(np.maximum(((x[q, None] - y[None, r]) ** 2).sum(2) if len(y[r]) * x.shape[1] < 200_000 else _squared(x[q], y[r]), 0))
+                flags = np.zeros((len(d[0]), len(labels)))
+                flags[np.arange(len(flags)), of[r]] = 1
+                total[q] += d @ flags
+        at, place = np.repeat(np.arange(len(x)), len(labels)), np.tile(np.arange(len(labels)), len(x))
+        columns = [ours["id"].take(pa.array(at)), ours["label"].take(pa.array(at)), labels.take(pa.array(place))]
+        return pa.table([*columns, pa.array(total.ravel()), pa.array(n[place])], names=["id", "own", "label", "s", "n"])
 
     schema = f"id {kind['id']}, own {kind['label']}, label {kind['label']}, s double, n long"
-    got = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, schema).groupBy("id", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    left, right = (x.repartition(parts * parts, "i", "j").groupBy("i", "j") for x in (left, right))
+    got = left.cogroup(right).applyInArrow(sums, schema).groupBy("id", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("own") == F.col("label")
     split = got.groupBy("id").agg(F.min(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     split = split.where("a is not null and b is not null")
