@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.steps import dealt, worked_out
 from . import domain, text, units
 
 # Results depend on these names, patterns and limits.
@@ -242,7 +243,7 @@ def import_json(exports: DataFrame, content: str, colour_unit: str = "auto") ->
     A missing strength is computed. ``colour_unit`` (auto, srm, ebc) overrides the unit that the fields tell.
     """
     inner = F.coalesce(F.get_json_object(content, "$.recipe"), F.col(content))
-    rows = exports.withColumn("r", F.from_json(inner, RECIPE_JSON))
+    rows = worked_out(dealt(exports), r=F.from_json(inner, RECIPE_JSON))
     number = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"r.{n}")), F.lit("")).try_cast("double") for n in names])
     colour = number("srm", "estimatedSrm", "color", "estimatedColor", "ebc")
     is_ebc = F.lit(colour_unit == "ebc") | (F.lit(colour_unit == "auto") & number("srm", "estimatedSrm").isNull() & number("ebc").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import brewing, domain, text, units
 from ..operators import corpus, features, matching
 from ..operators import relational as R
+from ..operators.steps import dealt
 from ..sources import documents
 from ..streaming import incremental
 from .tables import Registry, table
@@ -43,12 +44,16 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part")
 
 
+def _dealt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(_parts(spark, sf))
+
+
 @query("""WITH v AS (SELECT p_partkey, p_size * 50.0 AS raw, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 1 + p_size / 500.0 END AS og, 1 + p_size / 2000.0 AS fg FROM part), g AS (SELECT *, CASE WHEN raw > 100 THEN raw / 1000 ELSE raw END AS s FROM v)
   SELECT p_partkey, round((CASE WHEN s <= 2 THEN s END)::DOUBLE, 9) AS gravity, round((CASE WHEN og > 1 THEN (og - fg) / (og - 1) * 100 END)::DOUBLE, 6) AS attenuation, round(((og - fg) * 131.25)::DOUBLE, 6) AS abv,
     round((raw / 1.97)::DOUBLE, 6) AS from_ebc, round((raw * 1.3546 - 0.76)::DOUBLE, 6) AS from_lovibond, round(((raw - 32) * 5 / 9)::DOUBLE, 6) AS celsius FROM g""")
 def gravity_units(spark: SparkSession, sf: str) -> DataFrame:
     raw, og, fg = _size() * 50.0, F.when(_size() % 3 == 0, 1.0).otherwise(1 + _size() / 500.0), 1 + _size() / 2000.0
-    return _parts(spark, sf).select(
+    return _dealt_parts(spark, sf).select(
         "p_partkey", F.round(units.gravity(raw), 9).alias("gravity"), F.round(units.attenuation(og, fg), 6).alias("attenuation"), F.round(units.alcohol(og, fg), 6).alias("abv"),
         F.round(units.srm_from_ebc(raw), 6).alias("from_ebc"), F.round(units.srm_from_lovibond(raw), 6).alias("from_lovibond"), F.round(units.celsius(raw), 6).alias("celsius"),
     )
@@ -60,7 +65,7 @@ STAGES = ["dry", "bittering", "bittering", "late", "late", "bittering", "bitteri
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', STAGES)} AS stage FROM part")
 def hop_stages(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", domain.stage(_pick(_key(), ADDITIONS)).alias("stage"))
+    return _dealt_parts(spark, sf).select("p_partkey", domain.stage(_pick(_key(), ADDITIONS)).alias("stage"))
 
 
 HOPS = ["East Kent Goldings", "Columbus (US) Pellets", "German Tettnang", "Saaz 3.5% AA", "Citra® Cryo", "US Cascade", "H. Blanc", "Nelson"]
@@ -69,7 +74,7 @@ HOP_NAMES = ["east kent golding", "ctz", "tettnanger", "saaz", "citra", "cascade
 
 @query(f"SELECT p_partkey, {_sql_pick('p_partkey', HOP_NAMES)} AS hop FROM part")
 def hop_names(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", domain.hop_name(_pick(_key(), HOPS)).alias("hop"))
+    return _dealt_parts(spark, sf).select("p_partkey", domain.hop_name(_pick(_key(), HOPS)).alias("hop"))
 
 
 MALTS = ["Weyermann Pale Ale Malt", "Flaked Oats", "Malt Type 2-Row!", "Crystal  60L", "crisp Brown Malt"]
@@ -78,7 +83,7 @@ MALT_KEYS = ["pale ale", "flaked oat", "2 row", "crystal 60l", "brown"]
 
 @query(f"SELECT p_partkey, {_sql_pick('p_size', MALT_KEYS)} AS malt FROM part")
 def malt_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", brewing.malt_key(_pick(_size(), MALTS)).alias("malt"))
+    return _dealt_parts(spark, sf).select("p_partkey", brewing.malt_key(_pick(_size(), MALTS)).alias("malt"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '|' || CASE lower(p_type) WHEN 'economy' THEN 'cheap' ELSE lower(p_type) END ELSE p_name END AS tags,
@@ -86,7 +91,7 @@ def malt_keys(spark: SparkSession, sf: str) -> DataFrame:
 def tag_lists(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.when(_size() % 2 == 0, F.concat_ws(", ", "p_name", "p_type", F.lit(""), F.upper("p_name"))).otherwise(F.concat_ws(",", F.lit(" "), "p_name"))
     first = text.first_text(F.when(_size() % 3 == 1, F.concat(F.lit(" "), "p_brand")), F.when(_size() % 3 == 0, F.lit("  ")), F.when(_size() % 3 == 2, F.col("p_name")))
-    return _parts(spark, sf).select("p_partkey", F.array_join(text.clean_tags(listed, {"economy": "cheap"}), "|").alias("tags"), first.alias("first"))
+    return _dealt_parts(spark, sf).select("p_partkey", F.array_join(text.clean_tags(listed, {"economy": "cheap"}), "|").alias("tags"), first.alias("first"))
 
 
 VITALS_SQL = "v AS (SELECT p_partkey, p_name, 1 + p_size / 500.0 AS og, p_size / 4.0 AS abv, p_partkey % 90 AS ibu, p_size * 0.7 AS srm, CASE p_partkey % 3 WHEN 0 THEN 'Lager' WHEN 1 THEN 'Ale' ELSE 'Brett blend' END AS yeast FROM part)"
@@ -103,7 +108,7 @@ def style_tags(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(_size() % 5 == 0, "Oat Stout").otherwise("Plain")
     yeast = F.when(_key() % 3 == 0, "Lager").when(_key() % 3 == 1, "Ale").otherwise("Brett blend")
     tags = brewing.derived_tags(name, 1 + _size() / 500.0, _size() / 4.0, _key() % 90, _size() * 0.7, yeast)
-    return _parts(spark, sf).select("p_partkey", F.array_join(tags, ",").alias("tags"))
+    return _dealt_parts(spark, sf).select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE 1.04 END AS a, 1.05 + p_size / 1000.0 AS b, CASE WHEN p_size % 5 = 0 THEN 0.095 ELSE 1.008 END AS c, CASE WHEN p_size % 6 = 0 THEN 0 ELSE 4 END AS d, CASE WHEN p_size % 6 = 0 THEN 25 ELSE 5 END AS e, CASE WHEN p_size % 7 = 0 THEN 100 ELSE 40 END AS f FROM part),
@@ -117,7 +122,7 @@ def sanitised_ranges(spark: SparkSession, sf: str) -> DataFrame:
     abv = box(F.when(_size() % 6 == 0, 0).otherwise(4), F.when(_size() % 6 == 0, 25).otherwise(5))
     ibu = box(F.lit(0), F.when(_size() % 7 == 0, 100).otherwise(40))
     got = brewing.sanitised(og, fg, abv, ibu, box(F.lit(2), F.lit(9)))
-    return _parts(spark, sf).select("p_partkey", got["og"]["lo"].alias("og_lo"), F.round(got["fg"]["lo"], 3).alias("fg_lo"), got["abv"]["hi"].alias("abv_hi"), got["ibu"]["hi"].alias("ibu_hi"))
+    return _dealt_parts(spark, sf).select("p_partkey", got["og"]["lo"].alias("og_lo"), F.round(got["fg"]["lo"], 3).alias("fg_lo"), got["abv"]["hi"].alias("abv_hi"), got["ibu"]["hi"].alias("ibu_hi"))
 
 
 GUIDE_NAMES = ["11B Best Bitter", "American-Style India Pale Ale", "Golden or Blonde Ale", "Münchner Helles", "Barley Wine & Wheatwine", "Gose"]
@@ -130,7 +135,7 @@ TOKENS = ["best|bitter", "american|ipa", "golden|blonde", "munich|helles", "barl
 def style_names(spark: SparkSession, sf: str) -> DataFrame:
     name = _pick(_size(), GUIDE_NAMES)
     norm = domain.style_name(name)
-    return _parts(spark, sf).select("p_partkey", norm.alias("norm"), F.array_join(domain.alternative_names(name), "|").alias("readings"), F.array_join(domain.name_tokens(norm), "|").alias("tokens"))
+    return _dealt_parts(spark, sf).select("p_partkey", norm.alias("norm"), F.array_join(domain.alternative_names(name), "|").alias("readings"), F.array_join(domain.name_tokens(norm), "|").alias("tokens"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, sum(l_quantity) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, count(*) AS n, round(sum(round(l_quantity / t * 100, 1)), 1) AS pct,
@@ -201,13 +206,13 @@ def hop_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT p_partkey, p_size, p_name FROM part) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN (1 + p_size / 500.0)::DOUBLE END AS og, (p_size / 4.0)::DOUBLE AS abv FROM p""")
 def labelled_numbers(spark: SparkSession, sf: str) -> DataFrame:
     told = F.concat(F.when(_size() % 2 == 0, F.concat(F.lit("Original Gravity: about "), _text(1 + _size() / 500.0))).otherwise("FOG 3"), F.lit(" and ABV = "), _text(_size() / 4.0), F.lit("%"))
-    return _parts(spark, sf).select("p_partkey", F.coalesce(text.labelled_number(told, "Original Gravity"), text.labelled_number(told, "OG")).alias("og"), text.labelled_number(told, "ABV").alias("abv"))
+    return _dealt_parts(spark, sf).select("p_partkey", F.coalesce(text.labelled_number(told, "Original Gravity"), text.labelled_number(told, "OG")).alias("og"), text.labelled_number(told, "ABV").alias("abv"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|third one' ELSE '' END AS examples FROM part")
 def example_lists(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.concat(F.lit("Dark Versions – "), "p_name", F.lit(", "), "p_brand", F.lit("; X,"), F.when(_size() % 2 == 0, "third one").otherwise(F.repeat(F.lit("z"), 60)))
-    return _parts(spark, sf).select("p_partkey", F.array_join(brewing.examples(listed), "|").alias("examples"))
+    return _dealt_parts(spark, sf).select("p_partkey", F.array_join(brewing.examples(listed), "|").alias("examples"))
 
 
 @query("""SELECT p_name AS k, count(*) AS n, arg_min(p_partkey, (CASE WHEN p_size % 3 = 0 THEN -100 ELSE 0 END - CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END, p_partkey)) AS fullest, max(p_partkey) AS last FROM part GROUP BY 1""")
@@ -250,7 +255,7 @@ def overlaid_maps(spark: SparkSession, sf: str) -> DataFrame:
     bundled = F.create_map(F.lit("a"), F.when(_size() % 3 == 2, F.lit(None)).otherwise(_size()), F.lit("b"), _size())
     live = F.when(_size() % 3 == 0, F.create_map(F.lit("a"), _size() * 10, F.lit("b"), _size() * 10)).otherwise(F.create_map(F.lit("b"), _size() * 10))
     got = corpus.overlaid(bundled, live)
-    return _parts(spark, sf).select("p_partkey", got["a"].alias("a"), got["b"].alias("b"))
+    return _dealt_parts(spark, sf).select("p_partkey", got["a"].alias("a"), got["b"].alias("b"))
 
 
 @query("""WITH c AS (SELECT avg(p_retailprice) AS x, avg(p_size) AS y FROM part), d AS (SELECT p_partkey, p_retailprice - x AS dx, p_size - y AS dy FROM part, c), q AS (SELECT list_sort(list(greatest(abs(dx), abs(dy))))[least(count(*) - 1, floor(count(*) * 0.975))::INT + 1] AS q FROM d)
@@ -374,7 +379,7 @@ def hop_profiles(spark: SparkSession, sf: str) -> DataFrame:
     score = matching.pairing_score(nothing, profile, F.lit(0.85), F.lit(None).cast("double"), F.lit(20.0), F.lit(30.0))
     tags = F.when(_size() % 3 == 2, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("british-isles")))
     country = F.when(_size() % 3 == 0, "united kingdom").otherwise("Germany")
-    return _parts(spark, sf).select(
+    return _dealt_parts(spark, sf).select(
         "p_partkey", F.round(brewing.hop_aroma(profile, notes)[0], 9).alias("citrus"), brewing.hop_aroma(nothing, notes)[6].alias("berry"), F.round(score, 9).alias("score"), brewing.tradition(tags, country).alias("tradition")
     )
 
@@ -386,7 +391,7 @@ def oil_profiles(spark: SparkSession, sf: str) -> DataFrame:
     record = lambda **k: F.struct(*[k.get(f, none).alias(f) for f in ("myrcene", "humulene", "caryophyllene", "farnesene", "geraniol", "linalool", "oils")])
     first = record(myrcene=F.concat(_text(_size()), F.lit("%")), farnesene=F.when(_size() < 25, _text(_size() / 2)))
     oils = brewing.oil_profile(first, record(), record())
-    return _parts(spark, sf).select("p_partkey", oils["myrcene"]["hi"].alias("myrcene"), oils["farnesene"]["hi"].alias("farnesene"))
+    return _dealt_parts(spark, sf).select("p_partkey", oils["myrcene"]["hi"].alias("myrcene"), oils["farnesene"]["hi"].alias("farnesene"))
 
 
 @query("""WITH s AS (SELECT avg(p_retailprice) AS a, stddev_pop(p_retailprice) AS b FROM part WHERE p_size <= 25) SELECT p_partkey, round((p_retailprice - a) / b * sqrt(1.4), 6) AS x, round(CASE WHEN p_type = 'PROMO' THEN sqrt(0.6) * sqrt(1 / 2.0) ELSE 0 END, 6) AS flag FROM part, s WHERE p_size > 25""")

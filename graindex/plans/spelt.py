@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import brewing, domain
 from ..operators import matching
+from ..operators.steps import dealt
 from .recipes import _pick, _sql_pick
 from .tables import Registry, table
 
@@ -54,7 +55,7 @@ ADDED = _made(("p_partkey", BEFORE), ("p_size", ["60", "45", "44.5", "10", "0",
   SELECT p_partkey, {sql_first("t", domain.STAGES, "CASE WHEN minutes >= 45 THEN 'bittering' WHEN minutes IS NOT NULL THEN 'late' WHEN contains(t, 'boil') THEN 'bittering' ELSE 'late' END")} AS stage FROM n""")
 def spelt_stages(spark: SparkSession, sf: str) -> DataFrame:
     """The stage of hop additions in many wordings."""
-    return table(spark, sf, "part").select("p_partkey", domain.stage(ADDED[1]()).alias("stage"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", domain.stage(ADDED[1]()).alias("stage"))
 
 
 HOP = _made(
@@ -76,7 +77,7 @@ ORIGIN = r"^(domestic|german|czech|french|us|u s|uk|au|nz|american|slovenian)\s+
   SELECT p_partkey, CASE WHEN known <> n THEN known ELSE {sql_alias("bare", domain.HOP_ALIASES)} END AS hop FROM k""")
 def spelt_hops(spark: SparkSession, sf: str) -> DataFrame:
     """Plain names of hops with origins, packaging and amounts."""
-    return table(spark, sf, "part").select("p_partkey", domain.hop_name(HOP[1]()).alias("hop"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", domain.hop_name(HOP[1]()).alias("hop"))
 
 
 GROWN = _made(
@@ -89,7 +90,7 @@ GROWN = _made(
 @query(rf"""WITH n AS (SELECT p_partkey, trim({sql_chain(f"lower({GROWN[0]})", [("[®™]", ""), (r"\b(hbc|yqh)\s*(\d+)\b", r"\1\2"), ("[^a-z0-9]+", " ")])}) AS n FROM part) SELECT p_partkey, {sql_alias("n", domain.PRODUCER_ALIASES)} AS hop FROM n""")
 def spelt_producers(spark: SparkSession, sf: str) -> DataFrame:
     """Producers' names of hops: breeding numbers, marks and aliases."""
-    return table(spark, sf, "part").select("p_partkey", domain.producer_name(GROWN[1]()).alias("hop"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", domain.producer_name(GROWN[1]()).alias("hop"))
 
 
 MALT = _made(
@@ -103,7 +104,7 @@ BRANDS = [(r"weyernmann|weyermann|simpsons|thomas fawcett|crisp\b", ""), (r"\bma
 @query(rf"""WITH m AS (SELECT p_partkey, {MALT[0]} AS m FROM part) SELECT p_partkey, trim({sql_chain("lower(m)", BRANDS)}) AS malt, {sql_first("m", domain.MALT_CLASSES, "'other'")} AS class FROM m""")
 def spelt_malts(spark: SparkSession, sf: str) -> DataFrame:
     """One key for the spellings of malts, and their classes."""
-    return table(spark, sf, "part").select("p_partkey", brewing.malt_key(MALT[1]()).alias("malt"), domain.malt_class(MALT[1]()).alias("class"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", brewing.malt_key(MALT[1]()).alias("malt"), domain.malt_class(MALT[1]()).alias("class"))
 
 
 GUIDE = _made(
@@ -137,7 +138,7 @@ STOPS = ", ".join(map(quoted, domain.STOP_WORDS))
     coalesce((SELECT string_agg(token, '|' ORDER BY i) FROM t WHERE t.p_partkey = p.p_partkey), '') AS tokens FROM p""")
 def spelt_guides(spark: SparkSession, sf: str) -> DataFrame:
     """Guideline names for matching: normal form, alternative readings and telling words."""
-    norm, rows = domain.style_name(F.col("g")), table(spark, sf, "part").select("p_partkey", GUIDE[1]().alias("g"))
+    norm, rows = domain.style_name(F.col("g")), dealt(table(spark, sf, "part")).select("p_partkey", GUIDE[1]().alias("g"))
     return rows.select("p_partkey", norm.alias("norm"), F.array_join(domain.alternative_names(F.col("g")), "|").alias("readings"), F.array_join(domain.name_tokens(norm), "|").alias("tokens"))
 
 
@@ -154,7 +155,7 @@ def spelt_aromas(spark: SparkSession, sf: str) -> DataFrame:
     profile = F.when(F.col("p_size") % 3 == 0, F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (F.col("p_partkey") * (i + 1) % 5).cast("double")))
     notes = F.when(F.col("p_size") % 7 > 0, F.array(*[x[1]() for x in NOTE])).otherwise(F.expr("cast(array() as array<string>)"))
     aroma = brewing.hop_aroma(profile, notes)
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(aroma, lambda x: F.format_string("%.6f", x)), ",").alias("aroma"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", F.array_join(F.transform(aroma, lambda x: F.format_string("%.6f", x)), ",").alias("aroma"))
 
 
 PROSE = ["Grapefruit and pine.", "Citrus, mango", "earthy; floral hops", "peach, apricot, berries", "plain malt", "dank resin with a spicy hop note", "melon & tropical fruit", "honey"]
@@ -176,7 +177,7 @@ def aroma_pairings(spark: SparkSession, sf: str) -> DataFrame:
     profile = brewing.unit_sum(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (F.col("p_partkey") * (i + 1) % 5).cast("double")))
     alpha, ibu = F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 3.0), F.when(F.col("p_partkey") % 9 > 0, (F.col("p_partkey") % 90).cast("double"))
     score = matching.pairing_score(target, profile, F.lit(0.5), alpha, (15 + F.col("p_partkey") % 30).cast("double"), ibu)
-    return table(spark, sf, "part").select("p_partkey", F.round(score, 6).alias("score"))
+    return dealt(table(spark, sf, "part")).select("p_partkey", F.round(score, 6).alias("score"))
 
 
 #: Records of three producers by number: field, SQL value (null where it is unknown).
@@ -234,6 +235,6 @@ def producer_oils(spark: SparkSession, sf: str) -> DataFrame:
     told = lambda k: F.concat(value[k].cast("string"), F.lit("%")) if k else F.lit(None).cast("string")
     names = ("myrcene", "humulene", "caryophyllene", "farnesene", "geraniol", "linalool", "oils")
     record = lambda *keys: F.struct(*[told(k).alias(n) for n, k in zip(names, keys, strict=True)])
-    rows = table(spark, sf, "part").select("p_partkey", record("a_m", "a_h", "a_c", "a_f", "a_g", None, None).alias("a"), record("b_m", None, "b_c", "b_f", None, None, None).alias("b"), record(None, "c_h", None, "c_f", None, "c_l", "c_oils").alias("c"))
+    rows = dealt(table(spark, sf, "part")).select("p_partkey", record("a_m", "a_h", "a_c", "a_f", "a_g", None, None).alias("a"), record("b_m", None, "b_c", "b_f", None, None, None).alias("b"), record(None, "c_h", None, "c_f", None, "c_l", "c_oils").alias("c"))
     oils = rows.select("p_partkey", brewing.oil_profile(F.col("a"), F.col("b"), F.col("c")).alias("o"))
     return oils.select("p_partkey", *[F.round(F.col(f"o.{n}.hi"), 6).alias(n) for n, _ in LIMITS])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import domain, text, units
+from ..operators.steps import dealt, worked_out
 
 VITALS = "struct<og:double,fg:double,abv:double,ibu:double,srm:double>"
 INTERCHANGE = f"""url string, id string, name string, style string, method string, batchL double, vitals {VITALS},
@@ -131,9 +132,9 @@ def listing_links(df: DataFrame, html: str, pattern: str, page: str | None = Non
 
 def parse_recipe_page(pages: DataFrame, url: str, html: str) -> DataFrame:
     """One interchange record a page: id, name, vitals, batchL, method, malts (kg) and hops (g, stage)."""
-    plain = text.strip_tags(F.col(html))
     number = lambda *labels: F.coalesce(*[text.labelled_number(F.col("plain"), w) for w in labels])
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), plain.alias("plain"), html_tables(F.col(html)).alias("tables"), json_ld(F.col(html), "Recipe", "name string, recipeCategory string").alias("ld"))
+    rows = dealt(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
+    rows = worked_out(rows, plain=text.strip_tags(F.col("html")), tables=html_tables(F.col("html")), ld=json_ld(F.col("html"), "Recipe", "name string, recipeCategory string"))
     head = lambda t: F.lower(F.array_join(F.element_at(t, 1), " "))
     long = F.filter("tables", lambda t: F.size(t) > 1)
     body = lambda t: F.slice(t, F.lit(2), F.size(t))
@@ -169,14 +170,31 @@ def parse_recipe_page(pages: DataFrame, url: str, html: str) -> DataFrame:
 # Brewing XML: one record from the first RECIPE element, by XPath in the JVM.
 
 
-def _number(xml: Column, *paths: str) -> Column:
-    return F.coalesce(*[text.leading_number(F.xpath_string(xml, F.lit(p))) for p in paths])
+#: The texts of a recipe, and the lists of its bills, by their paths.
+XML_TEXTS = ["NAME", "STYLE/NAME", "TYPE", "BATCH_SIZE", "EST_OG", "OG", "EST_FG", "FG", "EST_ABV", "ABV", "IBU", "EST_COLOR", "COLOR", "YEASTS/YEAST[1]/NAME"]
+XML_LISTS = ["FERMENTABLES/FERMENTABLE/NAME", "FERMENTABLES/FERMENTABLE/AMOUNT", "HOPS/HOP/NAME", "HOPS/HOP/AMOUNT", "HOPS/HOP/USE", "HOPS/HOP/TIME"]
+#: No XML holds this character, so it parts texts that one path finds together.
+XML_NEVER = "\ufffe"
 
 
-def parse_recipe_xml(docs: DataFrame, xml: str) -> DataFrame:
-    """The interchange record of an XML recipe: amounts are kilograms, batch sizes litres; a missing TIME counts as 0."""
-    x, at = F.col(xml), "//RECIPE[1]"
-    many = lambda path: F.xpath(x, F.lit(f"{at}/{path}/text()"))
+def _read_xml(docs: DataFrame, xml: str) -> DataFrame:
+    """The documents that hold a recipe, with _texts and _lists: all its texts by one path, since each path reads the whole document."""
+    at = "//RECIPE[1]"
+    texts = F.split(F.xpath_string(xml, F.lit("concat(" + f", '{XML_NEVER}', ".join(f"{at}/{p}" for p in XML_TEXTS) + ")")), XML_NEVER, -1)
+    lists = F.struct(*[F.xpath(xml, F.lit(f"{at}/{p}/text()")).alias(f"l{i}") for i, p in enumerate(XML_LISTS)])
+    return worked_out(docs.where(F.col(xml).rlike("(?is)<RECIPE>")), _texts=texts).withColumn("_lists", lists)
+
+
+def _xml_number(*paths: str) -> Column:
+    return F.coalesce(*[text.leading_number(_xml_text(p)) for p in paths])
+
+
+def _xml_text(path: str) -> Column:
+    return F.get(F.col("_texts"), F.lit(XML_TEXTS.index(path)))
+
+
+def _xml_record(read: DataFrame, xml: str) -> DataFrame:
+    many = lambda path: F.col(f"_lists.l{XML_LISTS.index(path)}")
     malts = F.arrays_zip(many("FERMENTABLES/FERMENTABLE/NAME").alias("name"), F.transform(many("FERMENTABLES/FERMENTABLE/AMOUNT"), text.leading_number).alias("kg"))
     hops = F.arrays_zip(many("HOPS/HOP/NAME").alias("name"), many("HOPS/HOP/AMOUNT").alias("kg"), many("HOPS/HOP/USE").alias("use"), many("HOPS/HOP/TIME").alias("time"))
 
@@ -186,36 +204,43 @@ def parse_recipe_xml(docs: DataFrame, xml: str) -> DataFrame:
         stage = F.when(use.rlike("(?i)dry"), "dry").when(use.rlike("(?i)aroma|whirlpool"), "late").when(use.rlike("(?i)first wort|mash"), "bittering").when(minutes >= 45, "bittering").otherwise("late")
         return F.struct(F.coalesce(h["name"], F.lit("Hop")).alias("name"), F.round(F.coalesce(text.leading_number(h["kg"]), F.lit(0.0)) * 1000, 1).alias("g"), use.alias("use"), stage.alias("stage"))
 
-    return docs.where(x.rlike("(?is)<RECIPE>")).select(
-        *[c for c in docs.columns if c != xml],
-        F.xpath_string(x, F.lit(f"{at}/NAME")).alias("name"),
-        F.xpath_string(x, F.lit(f"{at}/STYLE/NAME")).alias("style"),
-        F.xpath_string(x, F.lit(f"{at}/TYPE")).alias("method"),
-        _number(x, f"{at}/BATCH_SIZE").alias("batchL"),
+    return read.select(
+        *[c for c in read.columns if c not in (xml, "_texts", "_lists")],
+        _xml_text("NAME").alias("name"),
+        _xml_text("STYLE/NAME").alias("style"),
+        _xml_text("TYPE").alias("method"),
+        _xml_number("BATCH_SIZE").alias("batchL"),
         F.struct(
-            _number(x, f"{at}/EST_OG", f"{at}/OG").alias("og"),
-            _number(x, f"{at}/EST_FG", f"{at}/FG").alias("fg"),
-            _number(x, f"{at}/EST_ABV", f"{at}/ABV").alias("abv"),
-            _number(x, f"{at}/IBU").alias("ibu"),
-            _number(x, f"{at}/EST_COLOR", f"{at}/COLOR").alias("srm"),
+            _xml_number("EST_OG", "OG").alias("og"),
+            _xml_number("EST_FG", "FG").alias("fg"),
+            _xml_number("EST_ABV", "ABV").alias("abv"),
+            _xml_number("IBU").alias("ibu"),
+            _xml_number("EST_COLOR", "COLOR").alias("srm"),
         ).alias("vitals"),
         F.filter(F.transform(malts, lambda m: F.struct(m["name"].alias("name"), F.round(m["kg"], 3).alias("kg"))), lambda m: m["kg"] > 0).alias("malts"),
         F.transform(hops, hop).alias("hops"),
-        F.xpath_string(x, F.lit(f"{at}/YEASTS/YEAST[1]/NAME")).alias("yeast"),
+        _xml_text("YEASTS/YEAST[1]/NAME").alias("yeast"),
     )
 
 
+def parse_recipe_xml(docs: DataFrame, xml: str) -> DataFrame:
+    """The interchange record of an XML recipe: amounts are kilograms, batch sizes litres; a missing TIME counts as 0."""
+    return _xml_record(_read_xml(dealt(docs), xml), xml)
+
+
 def import_xml(docs: DataFrame, xml: str, colour_unit: str = "srm") -> tuple[DataFrame, DataFrame]:
     """Recipes of user XML, and the files that lack a gravity, bitterness or colour; a missing strength is computed."""
-    rows = docs.withColumn("_xml", F.col(xml))
-    parsed = parse_recipe_xml(rows, xml)
+    docs = dealt(docs)
+    read = _read_xml(docs, xml)
+    good = F.lit(True)
+    for paths in (("EST_OG", "OG"), ("EST_FG", "FG"), ("IBU",), ("EST_COLOR", "COLOR")):
+        good = good & _xml_number(*paths).isNotNull()
     v = lambda x: F.col(f"vitals.{x}")
-    good = F.col("vitals").isNotNull() & v("og").isNotNull() & v("fg").isNotNull() & v("ibu").isNotNull() & v("srm").isNotNull()
     srm = units.srm_from_ebc(v("srm")) if colour_unit == "ebc" else v("srm")
     vitals = F.struct(v("og").alias("og"), v("fg").alias("fg"), F.coalesce(v("abv"), units.alcohol(v("og"), v("fg"))).alias("abv"), v("ibu").alias("ibu"), srm.alias("srm"))
-    bad = parsed.where(~good).select(F.col("_xml").alias(xml), *[c for c in docs.columns if c != xml])
+    bad = read.where(~good).select(xml, *[c for c in docs.columns if c != xml])
     none = docs.where(~F.coalesce(F.col(xml).rlike("(?is)<RECIPE>"), F.lit(False)))
-    return parsed.where(good).withColumn("vitals", vitals).drop("_xml"), bad.unionByName(none.select(*bad.columns))
+    return _xml_record(read.where(good), xml).withColumn("vitals", vitals), bad.unionByName(none.select(*bad.columns))
 
 
 def sniff(content: Column) -> Column:
