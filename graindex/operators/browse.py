@@ -95,13 +95,15 @@ def by_stage(lines: Column, stage: str, stages: Sequence[str]) -> Column:
     return F.filter(groups, lambda g: F.size(g["lines"]) > 0)
 
 
-def tree(df: DataFrame, path: Sequence[str], leaves: str | None = None) -> DataFrame:
+def tree(df: DataFrame, path: Sequence[str], leaves: str | None = None, times: str | None = None) -> DataFrame:
     """Rows of a tree over ``path`` columns, the last of them the items: level, path, n (items below) and, for items, their leaves.
 
-    The root has level 0 and path 'all'. One roll-up, so each row of ``df`` is shuffled once.
+    The root has level 0 and path 'all'. With ``times`` a row of ``df`` counts as often as that column says, so that
+    alike rows, with their leaves, need enter the one roll-up only once.
     """
     more = [F.max(leaves).alias("leaves")] if leaves else []
-    rolled = df.rollup(*path).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"), *more)
+    many = F.coalesce(F.sum(times), F.lit(0)) if times else F.count(F.lit(1))
+    rolled = df.rollup(*path).agg(many.alias("n"), F.grouping_id().alias("g"), *more)
     level = F.lit(len(path)) - F.bit_count("g")
     out = [level.cast("int").alias("level"), F.concat_ws("/", F.lit("all"), *[F.when(level > i, F.col(c)) for i, c in enumerate(path)]).alias("path"), "n"]
     return rolled.select(*out, *([F.when(level == len(path), F.col("leaves")).alias("leaves")] if leaves else []))

@@ -32,19 +32,19 @@ def explode_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT lower(trim(p_name)) AS item, min(p_type) AS class, count(DISTINCT l_orderkey) AS n_groups FROM lines GROUP BY 1")
 def dim_any_value(spark: SparkSession, sf: str) -> DataFrame:
-    rows = order_parts(spark, sf).withColumn("item", F.lower(F.trim("p_name")))
+    rows = order_parts(spark, sf, by_order=True).withColumn("item", F.lower(F.trim("p_name")))
     return U.usage(rows, "item", "l_orderkey", **{"class": F.min("p_type")})
 
 
 @query(f"WITH {LINES} SELECT p_brand, count(DISTINCT l_orderkey) AS n_groups, round(avg(l_quantity), 6) AS avg_quantity FROM lines GROUP BY 1")
 def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return U.usage(order_parts(spark, sf), "p_brand", "l_orderkey", avg_quantity=F.round(F.avg("l_quantity"), 6))
+    return U.usage(order_parts(spark, sf, by_order=True), "p_brand", "l_orderkey", avg_quantity=F.round(F.avg("l_quantity"), 6))
 
 
 @query(f"""WITH {LINES} SELECT o_orderpriority, p_type, count(DISTINCT l_orderkey) AS n_groups, round(avg(l_quantity), 6) AS avg_quantity
   FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def class_by_family(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf)
+    rows = with_orders(order_parts(spark, sf, by_order=True), spark, sf)
     return rows.groupBy("o_orderpriority", "p_type").agg(F.countDistinct("l_orderkey").alias("n_groups"), F.round(F.avg("l_quantity"), 6).alias("avg_quantity"))
 
 
@@ -117,7 +117,7 @@ def stable_sample(spark: SparkSession, sf: str) -> DataFrame:
   string_agg(l_linenumber || ':' || p_brand, ',' ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS bill
   FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def detail_nested(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf).withColumnRenamed("l_orderkey", "o_orderkey")
+    rows = with_orders(order_parts(spark, sf, by_order=True), spark, sf).withColumnRenamed("l_orderkey", "o_orderkey")
     nested = R.nest(rows, ["o_orderkey", "o_orderpriority"], ["l_linenumber", "p_brand"], [-F.col("l_quantity"), F.col("l_linenumber"), F.col("l_partkey")], "lines")
     return nested.select("o_orderkey", "o_orderpriority", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["p_brand"])), ",").alias("bill"))
 
@@ -129,7 +129,7 @@ def detail_nested(spark: SparkSession, sf: str) -> DataFrame:
     round((list_sort(list(amount / batch) FILTER (WHERE batch > 0)))[(count(*) FILTER (WHERE batch > 0) // 2 + 1)::INT], 6) AS median_dose
   FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY f ORDER BY n_groups DESC, i) <= 40""")
 def leaderboard_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf).withColumnRenamed("o_orderpriority", "family")
+    rows = with_orders(order_parts(spark, sf, by_order=True), spark, sf).withColumnRenamed("o_orderpriority", "family")
     rows = rows.withColumn("item", F.lower(F.trim("p_name"))).withColumn("batch", F.col("l_orderkey") % 7)
     board = U.leaderboard(rows, "family", "l_orderkey", "item", "l_returnflag", ["A", "N", "R"], "l_quantity", "batch")
     stages = [F.col(s).alias(f"in_{s.lower()}") for s in "ANR"]
@@ -140,7 +140,7 @@ def leaderboard_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     FROM lines JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT f, count(DISTINCT g) AS n_groups FROM r GROUP BY 1)
   SELECT f AS family, c AS class, count(DISTINCT g) AS n_with, round(sum(pct) / any_value(n_groups), 6) AS mean_share FROM r JOIN n USING (f) GROUP BY 1, 2""")
 def grist_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(U.ratio_to_total(order_parts(spark, sf), "l_orderkey", "l_quantity"), spark, sf).withColumnsRenamed({"o_orderpriority": "family", "p_type": "class"})
+    rows = with_orders(U.ratio_to_total(order_parts(spark, sf, by_order=True), "l_orderkey", "l_quantity"), spark, sf).withColumnsRenamed({"o_orderpriority": "family", "p_type": "class"})
     return U.zero_filled_share(rows, "family", "l_orderkey", "class", "pct").withColumn("mean_share", F.round("mean_share", 6))
 
 
@@ -203,7 +203,7 @@ def vocab_min_count(spark: SparkSession, sf: str) -> DataFrame:
   r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY lift DESC, tag) AS k FROM l)
   SELECT s.c AS cluster, size, coalesce(string_agg(tag, ' · ' ORDER BY k) FILTER (WHERE k <= 3), 'mixed') AS label FROM s LEFT JOIN r ON s.c = r.c GROUP BY 1, 2""")
 def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf)
+    rows = with_orders(order_parts(spark, sf, by_order=True), spark, sf)
     members = rows.groupBy(F.col("o_orderpriority").alias("cluster"), "l_orderkey").agg(F.collect_set("p_brand").alias("tags"))
     return U.cluster_labels(members, "cluster", "tags", share=50)
 

@@ -25,7 +25,7 @@ query = REGISTRY.add
   SELECT f AS family, kind, k AS key, m.nm AS name, round(sum(pct) / any_value(n_groups), 6) AS mean_share, count(DISTINCT g) AS n_with
   FROM b JOIN n USING (f) JOIN m USING (f, kind, k) GROUP BY 1, 2, 3, 4""")
 def share_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(U.ratio_to_total(order_parts(spark, sf), "l_orderkey", "l_quantity"), spark, sf)
+    rows = with_orders(U.ratio_to_total(order_parts(spark, sf, by_order=True), "l_orderkey", "l_quantity"), spark, sf)
     rows = rows.select(F.col("o_orderpriority").alias("family"), F.col("l_orderkey").alias("g"), F.col("p_type").alias("kind"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("key"), F.col("p_name").alias("name"), "pct")
     return U.share_breakdown(rows, "family", "g", "kind", "key", "name", "pct").withColumn("mean_share", F.round("mean_share", 6))
 
@@ -165,8 +165,10 @@ def axis_domains(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT 2, 'all/' || p_type || '/' || p_brand, count(*), NULL FROM part GROUP BY p_type, p_brand UNION ALL SELECT 3, 'all/' || a || '/' || b || '/' || c, k, leaves FROM t""")
 def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_type", "p_brand", "p_name", "p_size")
-    leaves = parts.groupBy("p_type", "p_brand", "p_name").agg(F.array_join(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), ",").alias("leaves"))
-    return B.tree(parts.join(leaves, ["p_type", "p_brand", "p_name"]), ["p_type", "p_brand", "p_name"], "leaves")
+    path = ["p_type", "p_brand", "p_name"]
+    sizes = parts.groupBy(*path, "p_size").agg(F.count(F.lit(1)).alias("times"))
+    items = sizes.groupBy(*path).agg(F.sum("times").alias("times"), F.array_join(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), ",").alias("leaves"))
+    return B.tree(items, path, "leaves", "times")
 
 
 @query("""SELECT count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.25), 4) AS low, round(quantile_cont(o_totalprice, 0.75), 4) AS high,
@@ -182,7 +184,7 @@ def stat_tiles(spark: SparkSession, sf: str) -> DataFrame:
   n AS (SELECT f, count(DISTINCT g) AS n FROM r GROUP BY 1 HAVING count(DISTINCT g) >= 5)
   SELECT f AS family, any_value(n) AS n, round((sum(pct) FILTER (WHERE c IN ('SMALL', 'PROMO'))) / any_value(n), 6) AS dark FROM r JOIN n USING (f) GROUP BY 1""")
 def dark_families(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(U.ratio_to_total(order_parts(spark, sf), "l_orderkey", "l_quantity"), spark, sf).withColumnRenamed("o_orderpriority", "family")
+    rows = with_orders(U.ratio_to_total(order_parts(spark, sf, by_order=True), "l_orderkey", "l_quantity"), spark, sf).withColumnRenamed("o_orderpriority", "family")
     n = rows.groupBy("family").agg(F.countDistinct("l_orderkey").alias("n")).where("n >= 5")
     dark = U.zero_filled_share(rows, "family", "l_orderkey", "p_type", "pct").where("p_type in ('SMALL', 'PROMO')").groupBy("family").agg(F.sum("mean_share").alias("dark"))
     return n.join(dark, "family").select("family", "n", F.round("dark", 6).alias("dark")).orderBy("dark", "family")

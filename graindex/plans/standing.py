@@ -68,7 +68,7 @@ def retried_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_orders(order_parts(spark, sf), spark, sf).withColumnsRenamed({"o_orderpriority": "family", "l_orderkey": "group", "l_returnflag": "stage", "l_quantity": "amount", "p_type": "kind"})
+    rows = with_orders(order_parts(spark, sf, by_order=True), spark, sf).withColumnsRenamed({"o_orderpriority": "family", "l_orderkey": "group", "l_returnflag": "stage", "l_quantity": "amount", "p_type": "kind"})
     return rows.withColumn("item", F.lower(F.trim("p_name"))).withColumn("batch", F.col("group") % 7).withColumn("share", F.col("amount") / 50)
 
 

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lines of a task that groups them by order.
+ORDER_LINES = 500_000
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,11 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bills: one row a line with its part's brand, type and name."""
+def order_parts(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """The bills: one row a line with its part's brand, type and name.
+
+    ``by_order`` deals them by order to so many tasks that none holds more than some ``ORDER_LINES`` lines: what is then
+    grouped by order, or by it and more, takes no further shuffle, and memory that doesn't grow with the tables.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    bills = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    return bills.repartition(1 + lines.count() // ORDER_LINES, "l_orderkey") if by_order else bills
 
 
 def with_orders(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

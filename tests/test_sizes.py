@@ -53,3 +53,38 @@ def test_blocks_of_silhouettes_are_bounded(spark, monkeypatch):
     got = S.silhouettes(rows, "id", "v", "label")
     assert {r.id: round(r.silhouette, 9) for r in got.collect()} == {i: round(s, 9) for i, s in want.items()}
     assert "hashpartitioning(i#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 4)" in plan
+
+
+def test_alike_rows_enter_a_tree_once(spark):
+    rows = spark.createDataFrame([("a", "x", "1"), ("a", "x", "1"), ("a", "y", "2"), (None, "y", None)], "t string, m string, l string")
+    each = rows.groupBy("t", "m").agg(F.max("l").alias("l"), F.count(F.lit(1)).alias("k"))
+    got = sorted((tuple(r) for r in browse.tree(each, ["t", "m"], "l", "k").collect()), key=str)
+    assert got == sorted((tuple(r) for r in browse.tree(rows, ["t", "m"], "l").collect()), key=str)
+
+
+def test_lines_are_dealt_by_order(spark, monkeypatch):
+    from graindex.plans import bills, tables
+
+    monkeypatch.setattr(tables, "ORDER_LINES", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = bills.class_by_family(spark, "/root/testdata/sf0.001")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    # by order, then by the result's keys: nothing is shuffled by order and type in between
+    assert "hashpartitioning(l_orderkey#" in plan and f", {1 + lines // 1000})" in plan and "hashpartitioning(o_orderpriority#" in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "o_orderpriority" in x and "l_orderkey" in x]
+
+
+def test_equal_items_and_boxes_meet_once(spark, monkeypatch):
+    from graindex.operators import boxes
+
+    met = []
+    monkeypatch.setattr(boxes, "_met", lambda asked, held, *more, real=boxes._met: met.append((asked.count(), held.count())) or real(asked, held, *more))
+    items = spark.createDataFrame([(i, [1.0, 5.0, None][i % 3]) for i in range(90)], "id int, x double")
+    ranges = spark.createDataFrame([(f"b{i}", float(i % 2 * 4), float(i % 2 * 4 + 2)) for i in range(20)], "name string, x_lo double, x_hi double")
+    got = {r.id: (r.name, r.inside, r.off) for r in boxes.best_fit_many(items, "id", ranges, ["x"], "name").collect()}
+    assert got == {i: [("b0", 1, 0.0), ("b1", 1, 0.0), (None, None, None)][i % 3] for i in range(90)}
+    assert met[0] == (2, 2)
