@@ -255,24 +255,25 @@ def similar_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame]
         if not mixed.where(many).isEmpty():
             large = cut(mixed.where(many).select("node").distinct())
             refined = cut(rare_features(large.join(held, "node"), features, threshold))
-            more = more.union(cut(alike_across(_mixed(refined, labels), held, features, threshold)))
+            # no star has compared the members of these keys, so those of two count too
+            more = more.union(cut(alike_across(_mixed(refined, labels, 2), held, features, threshold)))
         out = _merged(labels, more)
         release(held, labels, mixed)
         return out
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     """key, node, component, n, main and n_main of the members (key, node) of every key with more than one component.
 
-    n is the number of members, main the component of most of them (of equal ones the least), n_main their number. A
-    key of two members needs no more, its star has compared them; keys with the same members are taken once.
+    n is the number of members, ``least`` or more, main the component of most of them (of equal ones the least), n_main
+    their number. Where a star has compared a key's members, two need no more; keys with the same members are taken once.
     """
     grouped = cut(members.join(labels, "node"))
     by = grouped.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
     keys = by.groupBy("key").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.bit_xor("x").alias("x"), F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("most")
     )
-    keys = keys.where("parts > 1 and n > 2").groupBy("n", "x", "parts", "most").agg(F.min("key").alias("key"))
+    keys = keys.where(f"parts > 1 and n >= {least}").groupBy("n", "x", "parts", "most").agg(F.min("key").alias("key"))
     keys = cut(keys.select("key", "n", F.col("most.component").alias("main"), (-F.col("most.n")).alias("n_main")))
     mixed = cut(grouped.join(keys, "key").select("key", "node", "component", "n", "main", "n_main"))
     release(grouped, keys)
