@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding over a Spark column.
 
 Every match of the pre-tokenizer's pattern is encoded by itself. Two tiers: a minimal perfect hash finds the
-pre-tokens that are vocabulary entries as a whole; the others are merged by rank with a heap over a doubly linked
-list of their bytes. The vocabulary (one fixed file, about 1 MB) is broadcast; a worker keeps a bounded cache of
-pre-tokens it has seen.
+pre-tokens that are vocabulary entries as a whole; the others are merged by rank, those of up to ``SHORT`` bytes all
+together, one join of each in a round, longer ones with a heap over a doubly linked list of their bytes. The vocabulary
+(one fixed file, about 1 MB) is broadcast; a worker keeps a bounded cache of pre-tokens it has seen.
 
 Null text encodes as the empty text, and a null id is passed through. Texts are taken in blocks of pre-tokens, so
 one very long text costs its ids and a block.
@@ -31,6 +31,9 @@ from .textkernel import Runs, chunks, give_back, mix, text_chunks
 BLOCK_CHARS, CACHE_BYTES, NONE = 200_000, 32_000_000, 1 << 40
 #: Bytes that an entry of the cache takes besides its characters and ids.
 ENTRY_BYTES = 200
+#: Bytes of the pre-tokens that are merged together, by upper bounds of their widths, pre-tokens in such a group, and no rank there.
+WIDTHS, GROUP, NO_RANK = (6, 9, 12, 16, 24, 40, 64), 16_384, np.int32((1 << 31) - 1)
+SHORT = WIDTHS[-1]
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
@@ -84,6 +87,11 @@ class Vocabulary:
         for t, i in zip(tokens, place.tolist(), strict=True):
             self.entries[i] = (t, ranks[t])
         self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array(self.bytes, np.int32)
+        # the rank of two neighbouring tokens, from every cut of a token in two
+        cuts = [(a << 32 | b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k], -1)) >= 0 and (b := ranks.get(t[k:], -1)) >= 0]
+        pairs = np.array(sorted(cuts), np.int64).reshape(-1, 2)
+        self.pairs, self.pair_ranks = np.append(pairs[:, 0], np.int64(-1)), np.append(pairs[:, 1], NO_RANK).astype(np.int32)
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -127,6 +135,57 @@ class Vocabulary:
                     heappush(heap, r * n + h)
         return [x for x in ids if x >= 0]
 
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair of tokens makes."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs[:-1], keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Second tier for many pieces: their ids as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = array("I", self.merge(pieces[i])).tobytes()
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            group = np.flatnonzero((size > low) & (size <= width))
+            for lo in range(0, len(group), GROUP):
+                self._merge_group(pieces, group[lo : lo + GROUP], size, width, out)
+        return out
+
+    def _merge_group(self, pieces: list[bytes], at: np.ndarray, size: np.ndarray, width: int, out: list[bytes]) -> None:
+        """Rows of ids, and of the rank of the pair that begins at each; a round joins one pair of every row and ends those without one."""
+        n = size[at]
+        ids = self.byte_ids[np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in at.tolist()]), np.uint8).reshape(len(at), width)]
+        rank = np.full(ids.shape, NO_RANK)
+        rows, cols = np.nonzero(np.arange(1, width) < n[:, None])
+        rank[rows, cols] = self.joined(ids[rows, cols], ids[rows, cols + 1])
+        while len(at):
+            rows, j = np.arange(len(at)), rank.argmin(1)
+            best = rank[rows, j]
+            going = best < NO_RANK
+            if not going.all():
+                over = ~going
+                ends = 4 * np.cumsum(n[over])
+                told = ids[over][np.arange(ids.shape[1]) < n[over, None]].astype("<u4").tobytes()
+                for i, a, b in zip(at[over].tolist(), (ends - 4 * n[over]).tolist(), ends.tolist(), strict=True):
+                    out[i] = told[a:b]
+                at, n, ids, rank, j, best = at[going], n[going], ids[going], rank[going], j[going], best[going]
+                rows = rows[: len(at)]
+            if not len(at):
+                break
+            ids[rows, j] = best
+            keep = np.ones(ids.shape, bool)
+            keep[rows, j + 1] = False
+            ids, rank, n = ids[keep].reshape(len(at), -1), rank[keep].reshape(len(at), -1), n - 1
+            rank[rows, j] = NO_RANK
+            some = np.flatnonzero(j + 1 < n)
+            k = j[some]
+            rank[some, k] = self.joined(ids[some, k], ids[some, k + 1])
+            some = np.flatnonzero(j > 0)
+            k = j[some]
+            rank[some, k - 1] = self.joined(ids[some, k - 1], ids[some, k])
+
     def learn(self, tokens: set[str]) -> None:
         """Put the ids of all these pre-tokens into the cache."""
         if self.held > CACHE_BYTES:
@@ -134,9 +193,9 @@ class Vocabulary:
             self.held = 0
         if new := list(tokens.difference(self.cache)):
             pieces = [t.encode() for t in new]
-            merge, cache = self.merge, self.cache
-            for t, piece, i in zip(new, pieces, self.whole(pieces), strict=True):
-                cache[t] = array("I", (i,) if i >= 0 else merge(piece)).tobytes()
+            whole = self.whole(pieces)
+            rest = iter(self.merge_all([p for p, i in zip(pieces, whole, strict=True) if i < 0]))
+            self.cache.update((t, i.to_bytes(4, "little") if i >= 0 else next(rest)) for t, i in zip(new, whole, strict=True))
             self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, pieces))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:

@@ -61,6 +61,21 @@ def test_perfect_hash_is_minimal():
     assert sorted(bpe.PerfectHash(keys).find(keys)) == list(range(len(keys)))
 
 
+def test_bpe_merges_short_words_together(encoding, monkeypatch):
+    """Only pre-tokens longer than SHORT take the heap, which costs Python steps a byte."""
+    rng, heaped = np.random.default_rng(3), []
+    v = bpe.Vocabulary(bpe.read_ranks(PATH), PATTERN)
+    merge = v.merge
+    monkeypatch.setattr(v, "merge", lambda piece: heaped.append(piece) or merge(piece))
+    monkeypatch.setattr(bpe, "GROUP", 70, raising=False)
+    sizes = [*range(1, 66), *rng.integers(1, 70, 900).tolist(), 300]
+    words = ["".join(map(chr, rng.choice([97, 98, 101, 116, 0xE9, 0x4E2D, 0x1D11E], n))) for n in sizes]
+    words += ["a" * n for n in sizes] + ["ab" * n for n in range(1, 40)] + ["\U0001f600" * n for n in range(1, 20)] + ["=" * 80]
+    text = " ".join(words)
+    assert np.frombuffer(v.encode_all([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
+    assert heaped and min(map(len, heaped)) > 64
+
+
 def test_bpe_replaces_a_clashing_column_and_takes_an_empty_table(spark):
     docs = docs_of(spark, ["a b"]).withColumn("token_ids", F.lit("x")).withColumn("decoded", F.lit(1))
     out = bpe.decode(bpe.encode(docs, PATH, PATTERN), PATH, PATTERN)
