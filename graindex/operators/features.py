@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .steps import cut
 
+#: Rows of a batch that are taken at a time, and numbers of a block that is worked out at a time.
+ROWS, CELLS = 4096, 1 << 18
+
 
 @dataclass
 class Scale:
@@ -120,11 +123,14 @@ class _Rows:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros((dims, width)), np.zeros(dims, bool)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 4096):
-                    row, place, value = _entries(batch.column(0).slice(lo, 4096))
-                    dot = np.zeros((int(row.max(initial=-1)) + 1, width))
-                    np.add.at(dot, row, value[:, None] * sent.value[place])
-                    np.add.at(total, place, value[:, None] * dot[row])
+                for lo in range(0, batch.num_rows, ROWS):
+                    row, place, value = _entries(batch.column(0).slice(lo, ROWS))
+                    if (x := _matrix(row, place, value, dims)) is not None:
+                        total += x.T @ (x @ sent.value)
+                    else:
+                        dot = np.zeros((int(row.max(initial=-1)) + 1, width))
+                        _add(dot, row, value, sent.value, place)
+                        _add(total, place, value, dot, row)
                     seen[place] = True
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(width))], names=["place", *names])
@@ -151,6 +157,21 @@ def _entries(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, place, values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _matrix(row: np.ndarray, place: np.ndarray, value: np.ndarray, dims: int) -> np.ndarray | None:
+    """Entries as rows of ``dims`` numbers, if every row has all of them in order."""
+    n = len(row) // dims if dims else 0
+    whole = n * dims == len(row) > 0 and (row.reshape(n, dims) == np.arange(n)[:, None]).all() and (place.reshape(n, dims) == np.arange(dims)).all()
+    return value.reshape(n, dims) if whole else None
+
+
+def _add(total: np.ndarray, at: np.ndarray, value: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """Add value * rows[of] to total[at], entry by entry; no more than ``CELLS`` products are held at once."""
+    step = max(1, CELLS // max(1, total.shape[1]))
+    for lo in range(0, len(at), step):
+        e = slice(lo, lo + step)
+        np.add.at(total, at[e], value[e, None] * rows[of[e]])
+
+
 def wide_components(df: DataFrame, vector: str, dims: int, k: int, extra: int = 8, most: int = 120, rounds: int = 60, tolerance: float = 1e-10, seed: int = 42) -> Components:
     """The k first axes of the covariance (n - 1) of very wide rows, without the matrix: one pass a round.
 
@@ -213,12 +234,20 @@ def coordinates(df: DataFrame, key: str, vector: str, found: Components) -> Data
     sent = df.sparkSession.sparkContext.broadcast((found.axes.T, found.axes @ found.mean))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes, base = sent.value
+        width = axes.shape[1]
         for batch in batches:
-            row, place, value = _entries(batch.column(1))
-            axes, base = sent.value
-            out = np.zeros((batch.num_rows, axes.shape[1]))
-            np.add.at(out, row, value[:, None] * axes[place])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((out - base).tolist(), pa.list_(pa.float64()))], names=[key, "coordinates"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                row, place, value = _entries(part.column(1))
+                x = _matrix(row, place, value, len(axes))
+                if x is not None and len(x) == part.num_rows:
+                    out = x @ axes
+                else:
+                    out = np.zeros((part.num_rows, width))
+                    _add(out, row, value, axes, place)
+                ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array((out - base).ravel()))], names=[key, "coordinates"])
 
     kind = df.schema[vector].dataType.simpleString()
     v = F.col(vector) if kind.startswith("struct") else F.col(vector).cast("array<double>")

@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -259,6 +261,27 @@ def test_wide_components_equal_the_matrix(spark):
     assert len(features.wide_components(df.limit(0), "embedding", 64, 4).shares) == 0
 
 
+def test_coordinates_hold_few_rows_at_a_time(spark, monkeypatch):
+    """Full batches of rows, dense or with some entries missing, cost a task a few blocks, not rows x entries x axes."""
+    rng, taken = np.random.default_rng(7), []
+    df = spark.createDataFrame([(1, [0.0])], "id bigint, v array<double>")
+    found = features.Components(np.ones(64), rng.normal(size=(64, 64)), np.ones(64))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append(f))
+    features.coordinates(df, "id", "v", found)
+    project, x = taken[0], rng.normal(size=(10_000, 64))
+    short = [row[: 64 - i % 2].tolist() for i, row in enumerate(x[:5000])]
+    for rows, size in ((x.tolist(), 64), (short, 63)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.float64()))], names=["id", "v"])
+        tracemalloc.start()
+        first = next(got := project(iter([batch])))
+        rest = sum(b.num_rows for b in got)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6 and first.num_rows + rest == len(rows)
+        want = np.array(rows[1]) @ found.axes.T[:size] - found.axes @ found.mean
+        assert first.column(1)[1].as_py() == pytest.approx(want.tolist())
+
+
 def test_components_of_a_restarted_basis(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 40)) * np.linspace(1, 2, 40)
