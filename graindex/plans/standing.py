@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from .texts import new_folder
 REGISTRY = Registry()
 query = REGISTRY.add
 
-#: Events on a page of a made-up listing.
-PAGE = 2000
+#: Events on a page of a made-up listing, and events that a shard of retries may hold.
+PAGE, SHARD = 2000, 200_000
 
 
 @query(f"SELECT event_type AS mode, (event_id // {PAGE} + 1)::INTEGER AS page, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
@@ -56,9 +58,11 @@ def retried_events(spark: SparkSession, sf: str) -> DataFrame:
     own = spark.newSession()  # for its kind of state alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", retries.PROVIDER)
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = ", ".join(f"{n} {t}" for n, t in table(spark, sf, "events").dtypes)
+    read = table(spark, sf, "events")
+    kinds = ", ".join(f"{n} {t}" for n, t in read.dtypes)
+    shards = max(32, read.count() // SHARD)
     events = own.readStream.schema(kinds).parquet(f"{sf}/event[s].parquet").select("event_id", "event_type")
-    retries.run_settled(retries.with_retries(events, _attempt, 50, 1000, 32), f"{work}/done", f"{work}/gone", f"{work}/log")
+    retries.run_settled(retries.with_retries(events, _attempt, 50, 1000, shards), f"{work}/done", f"{work}/gone", f"{work}/log", limit=math.inf)
     out = None
     for outcome in ("done", "gone"):
         rows = spark.read.schema("item string, tries int").parquet(f"{work}/{outcome}/*").withColumn("item", F.from_json("item", "event_id bigint, event_type string"))

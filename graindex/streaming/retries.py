@@ -1,9 +1,10 @@
 """Attempts that may fail for a while: a queue of retries with backoff as state of a stream, kept across restarts.
 
 An attempt ends well, fails for good (no retry would mend it), or fails for now. Only failures for good reach the rejects; what
-failed for now waits in the state and is tried again when its timer is due, later each time. Items are dealt to shards
-by a hash of their key; a shard's queue is one list state with one timer, so items that end well at once touch no state, and a
-key with many items is spread no worse than others, since items are hashed whole.
+failed for now waits in the state and is tried again when its timer is due, later each time. Up to ``PACK`` items that
+were read together travel and wait as one row of lines (what crosses to the state and back costs by rows), and packs are dealt
+to shards by a hash of all of them, so a key with many items is spread no worse than others. A shard's queue is one list state
+with one timer, and packs that end at once touch no state.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +22,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 DONE, GONE, LATER = "done", "gone", "later"
 #: An item's fields and the number of the attempt (from 1) to DONE, GONE or LATER.
 Attempt = Callable[[dict, int], str]
+#: Items of a pack: JSON, a line each (JSON has no line feed of its own).
+PACK = 200
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,7 +33,10 @@ def delay(tries: int, first: int, most: int) -> int:
 
 
 class Retries(StatefulProcessor):
-    """The queue of one shard: (due, tries, item) of all that failed for now, and a timer for the earliest."""
+    """The queue of one shard: (due, tries, item) of all that failed for now, and a timer for the earliest.
+
+    ``item`` holds the lines of a pack; those of them that end alike go on as one row, the others wait as one.
+    """
 
     def __init__(self, attempt: Attempt, first: int, most: int):
         self.attempt, self.first, self.most = attempt, first, most
@@ -39,12 +46,14 @@ class Retries(StatefulProcessor):
         self.queue = handle.getListState("queue", "due bigint, tries int, item string")
 
     def _try(self, items: Iterable[tuple[int, str]], now: int, waiting: list[tuple]) -> Iterator[Row]:
-        for tries, item in items:
-            outcome = self.attempt(json.loads(item), tries + 1)
-            if outcome == LATER:
-                waiting.append((now + delay(tries + 1, self.first, self.most), tries + 1, item))
-            else:
-                yield Row(item=item, outcome=outcome, tries=tries + 1)
+        for tries, lines in items:
+            ended: dict[str, list[str]] = {}
+            for item in lines.split("\n"):
+                ended.setdefault(self.attempt(json.loads(item), tries + 1), []).append(item)
+            if later := ended.pop(LATER, None):
+                waiting.append((now + delay(tries + 1, self.first, self.most), tries + 1, "\n".join(later)))
+            for outcome, done in ended.items():
+                yield Row(item="\n".join(done), outcome=outcome, tries=tries + 1)
 
     def _wake(self, due: int, now: int) -> None:
         """A timer for ``due`` unless an earlier one will go off; one that is going off just now is still listed."""
@@ -79,9 +88,16 @@ def with_retries(items: DataFrame, attempt: Attempt, first: int = 60_000, most:
 
     The session must keep its state in RocksDB (``PROVIDER``). ``shards`` is fixed for the life of a checkpoint.
     """
-    item = F.to_json(F.struct(*items.columns))
-    dealt = items.select(F.pmod(F.xxhash64(*items.columns), F.lit(shards)).alias("shard"), item.alias("item"))
-    return dealt.groupBy("shard").transformWithState(Retries(attempt, first, most), "item string, outcome string, tries int", "append", "ProcessingTime")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join(lines[lo : lo + PACK]) for lo in range(0, len(lines), PACK)], pa.string())], names=["item"])
+
+    packs = items.select(F.to_json(F.struct(*items.columns)).alias("item")).mapInArrow(packed, "item string")
+    dealt = packs.select(F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"), "item")
+    settled = dealt.groupBy("shard").transformWithState(Retries(attempt, first, most), "item string, outcome string, tries int", "append", "ProcessingTime")
+    return settled.select(F.explode(F.split("item", "\n")).alias("item"), "outcome", "tries")
 
 
 def run_settled(outcomes: DataFrame, out: str, rejects: str, checkpoint: str, every: str = "200 milliseconds", limit: float = 600.0) -> StreamingQuery:

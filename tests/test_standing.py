@@ -131,6 +131,31 @@ def test_retries_by_a_clock():
     assert [retries.delay(n, 100, 500) for n in (1, 2, 3, 4, 60)] == [100, 200, 400, 500, 500]
 
 
+def test_packs_wait_as_one_row_and_split_by_outcome():
+    fails = {1: 0, 2: 1, 3: 1, 4: 2, 5: 0}
+    processor, clock = retries.Retries(lambda item, n: retries.LATER if n <= fails[item["id"]] else retries.GONE if item["id"] == 3 else retries.DONE, 100, 500), Clock()
+    processor.init(clock)
+    lines = lambda *ids: "\n".join(f'{{"id":{i}}}' for i in ids)
+    assert [(r.item, r.outcome, r.tries) for r in processor.handleInputRows((0,), iter([{"item": lines(1, 2, 3, 4, 5)}]), clock)] == [(lines(1, 5), "done", 1)]
+    assert clock.rows == [(100, 1, lines(2, 3, 4))]
+    assert clock.run(processor, 2000) == [(100, lines(2), "done", 2), (100, lines(3), "gone", 2), (300, lines(4), "done", 3)]
+    assert not clock.rows and not clock.timers
+
+
+def test_retried_events_run_to_their_end(spark, monkeypatch):
+    """No limit of time cuts the query short, and shards grow with the table."""
+    from graindex.plans import standing as plans
+
+    asked, run, dealt = [], retries.run_settled, retries.with_retries
+    monkeypatch.setattr(retries, "run_settled", lambda *a, **k: asked.append(k.get("limit", 600)) or run(*a, **k))
+    monkeypatch.setattr(retries, "with_retries", lambda *a: asked.append(a[4]) or dealt(*a))
+    monkeypatch.setattr(plans, "SHARD", 20, raising=False)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    got = plans.retried_events(spark, sf)
+    assert got.count() == n == got.select("event_id").distinct().count() and asked == [n // 20, math.inf]
+
+
 def test_every_item_is_settled_whatever_the_order():
     rng = random.Random(4)
     fails = {i: rng.randint(0, 5) for i in range(200)}
