@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import euclidean
 from .rollups import top_by
-from .steps import cut
+from .steps import cut, worked_out
 
 #: Queries and rows that meet in one block of a search; rows of a block of a join, and its pivots.
 BLOCK_QUERIES, BLOCK_ROWS, BLOCK, PIVOTS = 500, 20_000, 4096, 32
@@ -352,26 +352,31 @@ def set_classes(sets: DataFrame, key: str, member: str) -> DataFrame:
 def jaccard_pairs(sets: DataFrame, key: str, member: str, least: float) -> DataFrame:
     """Pairs (a < b) of classes of equal sets, by their least keys, with a Jaccard similarity of ``least`` (above 0) or more.
 
-    A prefix filter by the rarest members: two sets that alike share one of their first n - ceil(least * n) + 1
-    members in order of frequency, so only those are joined. A pair is looked at only at its first common member, and
-    only if the places and sizes still allow the similarity; sets travel with their prefixes, so nothing is fetched
+    A prefix filter by the rarest members: two sets that alike share one of the first n - ceil(least * n) + 1 members, in
+    order of frequency, of the larger and one of the first n - ceil(2 * least / (1 + least) * n) + 1 of the smaller, so
+    only those are joined. What a pair has in common is worked out once, where the places and sizes still allow the
+    similarity, and counts only at its first common member; sets travel with their prefixes, so nothing is fetched
     again. set_classes tells which key is in which class.
     """
     rows = sets.select(F.col(key).alias("k"), F.col(member).alias("m")).where("m is not null").distinct()
     often = rows.groupBy("m").agg(F.count(F.lit(1)).alias("f"))
-    bags = rows.join(often, "m").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("s"))
+    bags = rows.join(often, "m").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "m"))).alias("s"))
     bags = bags.select("k", F.col("s.m").alias("s")).groupBy("s").agg(F.min("k").alias("k"))
     size = F.size("s")
-    heads = bags.select("k", "s", F.posexplode(F.slice("s", F.lit(1), (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int"))).alias("at", "m"))
-    x, y = (heads.select(F.col("k").alias(i), F.col("s").alias(f"s{i}"), F.col("at").alias(f"at{i}"), "m") for i in "ab")
-    na, nb = F.size("sa"), F.size("sb")
-    # what both still can share from here on, this member included
-    most = F.least(na - F.col("ata"), nb - F.col("atb"))
-    met = x.join(y, "m").where((F.col("a") < F.col("b")) & (most >= F.lit(least) / (1 + least) * (na + nb) - 1e-9))
-    before = F.size(F.array_intersect(F.slice("sa", F.lit(1), F.col("ata")), F.slice("sb", F.lit(1), F.col("atb"))))
-    both = F.size(F.array_intersect("sa", "sb"))
-    scored = met.where(before == 0).select("a", "b", (both / (na + nb - both)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= least)
+
+    def heads(i: str, share: float) -> DataFrame:
+        first = (size - F.ceil(size * F.lit(share) - 1e-9) + 1).cast("int")
+        return bags.select(F.col("k").alias(i), F.col("s").alias(f"s{i}"), F.posexplode(F.slice("s", F.lit(1), first)).alias(f"at{i}", "m"))
+
+    nx, ny = F.size("sx"), F.size("sy")
+    # what both still can share from here on, this member included; x is the smaller set, or has the lesser key
+    most = F.least(nx - F.col("atx"), ny - F.col("aty"))
+    ordered = (nx < ny) | ((nx == ny) & (F.col("x") < F.col("y")))
+    met = heads("x", 2 * least / (1 + least)).join(heads("y", least), "m").where(ordered & (most >= F.lit(least) / (1 + least) * (nx + ny) - 1e-9))
+    # in the order of x, so the first is the first that both have
+    met = worked_out(met, (F.get("both", F.lit(0)) == F.col("m")) & (F.size("both") / (nx + ny - F.size("both")) >= least), both=F.array_intersect("sx", "sy"))
+    both = F.size("both")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (both / (nx + ny - both)).alias("jaccard"))
 
 
 def silhouettes(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:

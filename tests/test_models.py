@@ -85,6 +85,25 @@ def test_jaccard_pairs_equal_brute_force(spark):
         assert {(r.a, r.b): r.jaccard for r in got} == pytest.approx(want) and len(got) == len(want)
 
 
+def test_jaccard_pairs_of_mixed_sizes_intersect_once(spark):
+    """Larger and smaller sets have prefixes of their own; what a pair has in common is worked out once a pair that may be alike."""
+    rng, sets = np.random.default_rng(11), {}
+    for _ in range(25):
+        base = rng.choice(400, rng.integers(2, 16), replace=False).tolist()
+        for _ in range(4):
+            some = set(base[: rng.integers(1, len(base) + 1)]) | set(rng.choice(400, rng.integers(0, 4)).tolist())
+            if some not in sets.values():
+                sets[int(rng.integers(0, 10**6))] = some
+    df = spark.createDataFrame([(f"k{i}", int(m)) for i, s in sets.items() for m in s], "k string, m int")
+    for least in (0.5, 0.6, 0.75):
+        want = {(f"k{i}", f"k{j}"): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if f"k{i}" < f"k{j}"}
+        want = {k: v for k, v in want.items() if v >= least}
+        got = similarity.jaccard_pairs(df, "k", "m", least)
+        rows = got.collect()
+        assert {(r.a, r.b): r.jaccard for r in rows} == pytest.approx(want) and len(rows) == len(want) > 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+
+
 def test_cosine_join_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 20)
     monkeypatch.setattr(similarity, "PIVOTS", 7)
