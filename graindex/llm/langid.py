@@ -31,6 +31,8 @@ from .textkernel import code_points, give_back, mix, spread, tables, text_chunks
 BUCKETS_LOG2, ORDERS, DIM = 16, 4, 16
 SAMPLE, ROWS, PIECES, PIECE = 400, 20_000, 4, 200
 EPOCHS, BATCH, RATE = 4, 32, 8.0
+#: Texts for calibration that are looked up together.
+CALIBRATED = 200
 REJECT_AT, REJECT_SHARE = 0.5, 0.001
 UNKNOWN = "und"
 
@@ -160,7 +162,8 @@ def train(sample: Sample, seed: int = 7) -> Model:
     model = Model(sample.languages, np.ascontiguousarray((embedding @ weight).T), bias.astype(np.float64))
     held = np.flatnonzero(sample.calibration & some)
     if len(held):
-        logits, truth = sample.means(held, np.ascontiguousarray(model.table.T))[0] + model.bias, sample.label[held]
+        by_bucket, truth = np.ascontiguousarray(model.table.T), sample.label[held]
+        logits = np.concatenate([sample.means(part, by_bucket)[0] for part in np.array_split(held, len(held) // CALIBRATED + 1)]) + model.bias
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
         p = softmax(logits / model.temperature)
@@ -194,12 +197,18 @@ def sampled(docs: DataFrame) -> Sample:
                 yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(pieces)), pa.array([lang[i]] * len(pieces)), *lists], ["doc", "lang", "bucket", "count"])
 
     with bounded_batches(docs.sparkSession):
-        rows = drawn.mapInArrow(counted, "doc long, lang string, bucket array<int>, count array<int>").collect()
-    rows = sorted(rows, key=lambda r: (r["doc"], r["lang"], len(r["bucket"]), r["bucket"]))
-    languages = sorted({r["lang"] for r in rows})
-    ends = np.append(0, np.cumsum([len(r["bucket"]) for r in rows])).astype(np.int64)
-    joined = [np.concatenate([np.zeros(0, np.int32), *[np.array(r[c], np.int32) for r in rows]]) for c in ("bucket", "count")]
-    return Sample(ends, *joined, np.array([languages.index(r["lang"]) for r in rows], np.int64), np.array([(r["doc"] >> 32) % 4 == 0 for r in rows], bool), languages)
+        told = drawn.mapInArrow(counted, "doc long, lang string, bucket array<int>, count array<int>").toArrow()
+    # numbers stay packed: as Python values they take the driver ten times the room
+    rows = []
+    for batch in told.to_batches():
+        ends = np.cumsum(batch.column("bucket").value_lengths().to_numpy())[:-1]
+        lists = [np.split(batch.column(c).flatten().to_numpy(), ends) for c in ("bucket", "count")]
+        rows += zip(batch.column("doc").to_pylist(), batch.column("lang").to_pylist(), *lists, strict=True)
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].astype(">i4").tobytes()))
+    languages = sorted({r[1] for r in rows})
+    ends = np.append(0, np.cumsum([len(r[2]) for r in rows])).astype(np.int64)
+    joined = [np.concatenate([np.zeros(0, np.int32), *[r[c] for r in rows]]) for c in (2, 3)]
+    return Sample(ends, *joined, np.array([languages.index(r[1]) for r in rows], np.int64), np.array([(r[0] >> 32) % 4 == 0 for r in rows], bool), languages)
 
 
 def fit(docs: DataFrame) -> Model:

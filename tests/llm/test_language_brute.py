@@ -1,6 +1,7 @@
 """Language predictions recomputed in plain Python, text by text and n-gram by n-gram."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -80,3 +81,18 @@ def test_texts_of_a_batch_are_read_in_chunks(monkeypatch):
     assert [at for at, _ in got] == np.cumsum([0, *[len(p) for _, p in got[:-1]]]).tolist()
     assert [t for _, part in textkernel.text_chunks(pa.array([b"x", None]), None) for t in part] == [b"x", None]
     assert list(textkernel.text_chunks(pa.array([], pa.string()))) == []
+
+
+def test_driver_holds_the_sample_packed(spark):
+    """The numbers of the sample never stand in the driver as Python values, and calibration takes a part of them at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langid.sampled(docs.limit(5))  # imports and tables
+    tracemalloc.start()
+    sample = langid.sampled(docs)
+    got, entries = tracemalloc.get_traced_memory()[1], len(sample.bucket)
+    assert entries > 1_000_000 and got < 24 * entries
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    langid.train(sample)
+    assert tracemalloc.get_traced_memory()[1] - before < 16 * langid.DIM << langid.BUCKETS_LOG2  # four tables of embeddings
+    tracemalloc.stop()
