@@ -201,8 +201,8 @@ def sampled(docs: DataFrame) -> Sample:
     # numbers stay packed: as Python values they take the driver ten times the room
     rows = []
     for batch in told.to_batches():
-        ends = np.cumsum(batch.column("bucket").value_lengths().to_numpy())[:-1]
-        lists = [np.split(batch.column(c).flatten().to_numpy(), ends) for c in ("bucket", "count")]
+        ends = np.cumsum(batch.column("bucket").value_lengths().to_numpy())
+        lists = [np.split(batch.column(c).flatten().to_numpy(), ends)[:-1] for c in ("bucket", "count")]
         rows += zip(batch.column("doc").to_pylist(), batch.column("lang").to_pylist(), *lists, strict=True)
     rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].astype(">i4").tobytes()))
     languages = sorted({r[1] for r in rows})
