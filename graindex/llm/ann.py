@@ -6,7 +6,8 @@ a list for each ``PER_LIST`` vectors, up to ``MAX_LISTS``, and ``PER_CENTROID``
 goes to its nearest centroid's list and, as a boundary vector, to those of up to ``REPLICAS`` centroids whose distance
 is within ``BOUNDARY`` times the least. A query walks a graph of the centroids (each linked to its nearest ones) and
 takes all lists within a ratio of its least distance; the ratio is the least that finds ``TARGET_RECALL`` of the
-neighbours of sampled queries in the sample.
+neighbours of sampled queries in the sample. The driver holds the sample packed, in its own type, and distances of a
+block of it at a time (``CELLS``), so its memory doesn't grow with the table.
 
 Lists are packed into bins of about ``BIN`` entries, so a query is sent once for each bin that holds some of its lists,
 and reads only those there. A list larger than a bin is split by a hash of vec_id and its queries go to each part; the
@@ -23,7 +24,7 @@ fewer than k candidates gets them all: it takes further lists until they hold k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -39,8 +40,8 @@ PER_LIST, MAX_LISTS, PER_CENTROID, BOUNDING = 100, 4096, 16, 5000
 REPLICAS, BOUNDARY, TARGET_RECALL = 2, 1.01, 0.97
 #: Links of a centroid to its nearest, places a walk starts from, and centroids it opens at least.
 LINKS, STARTS, OPENED = 16, 64, 64
-#: Rows whose distances to all centroids are held at once.
-ROWS = 2048
+#: Rows whose distances to all centroids are held at once, and distances held at once.
+ROWS, CELLS = 2048, 1 << 20
 #: Entries of a bin, and queries that meet it in one task.
 BIN = QUERIES = 8192
 
@@ -53,6 +54,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def matrix(column: pa.Array, real: type = np.float64) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(real, copy=False).reshape(len(column), -1)
+
+
+def pieces(rows: int, width: int) -> list[slice]:
+    """Parts of some rows, of up to ``ROWS`` rows and ``CELLS`` values if each row has ``width`` of them; one at least."""
+    step = max(1, min(ROWS, CELLS // max(1, width)))
+    return [slice(lo, lo + step) for lo in range(0, max(1, rows), step)]
+
+
+def summed(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The sum of all rows of the parts, one after another, so that it doesn't depend on how rows are cut into parts."""
+    total = None
+    for part in parts:
+        total = (part if total is None else np.vstack([total, part])).sum(0)
+    return total
+
+
 @dataclass
 class Lists:
     """Centroids in the space with one more component, their graph, and what the sample tells about queries."""
@@ -67,6 +86,7 @@ class Lists:
     counts: np.ndarray | None = None
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64, copy=False)
         return np.hstack([x, np.sqrt(np.maximum(self.radius**2 - (x * x).sum(1), 0))[:, None]])
 
     def distances(self, lifted: np.ndarray) -> np.ndarray:
@@ -76,9 +96,9 @@ class Lists:
     def assign(self, x: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         """(row, place) of every entry in the table (second) of near lists: the nearest, and the next at nearly its distance."""
         r, lists, taken = min(REPLICAS, len(self.centroids)), [], []
-        for lo in range(0, max(1, len(x)), ROWS):
-            d = self.distances(self.lifted(x[lo : lo + ROWS]))
-            near = np.argpartition(d, r - 1, axis=1)[:, :r]
+        for part in pieces(len(x), len(self.centroids)):
+            d = self.distances(self.lifted(x[part]))
+            near = np.argpartition(d, r - 1, axis=1)[:, :r].copy()  # a view would keep the places of all centroids
             dn = np.take_along_axis(d, near, 1)
             lists.append(near)
             taken.append(dn <= BOUNDARY * dn.min(1, keepdims=True))
@@ -115,29 +135,32 @@ class Lists:
         return kept
 
 
-def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """k-means whose clusters get dearer as they fill: a cluster's price follows its size in the rounds before."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), k, replace=False)]
-    price, scale = np.zeros(k), x.var(0).sum()
+def balanced_centroids(x: np.ndarray, lifted: Callable[[np.ndarray], np.ndarray], k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """k-means of lifted rows whose clusters get dearer as they fill: a cluster's price follows its size in the rounds before."""
+    rng, parts = np.random.default_rng(seed), pieces(len(x), k)
+    c = lifted(x[rng.choice(len(x), k, replace=False)])
+    mean = summed(lifted(x[p]) for p in parts) / len(x)
+    price, scale = np.zeros(k), (summed((lifted(x[p]) - mean) ** 2 for p in parts) / len(x)).sum()
     for _ in range(rounds):
         cost = (c * c).sum(1) + price
-        at = np.concatenate([(cost - 2 * x[lo : lo + ROWS] @ c.T).argmin(1) for lo in range(0, len(x), ROWS)])
-        n = np.bincount(at, minlength=k)
+        n, sums = np.zeros(k, np.int64), np.zeros_like(c)
+        for p in parts:
+            some = lifted(x[p])
+            at = (cost - 2 * some @ c.T).argmin(1)
+            n += np.bincount(at, minlength=k)
+            np.add.at(sums, at, some)
         price += 0.05 * scale * (n / (len(x) / k) - 1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], lifted(x[rng.choice(len(x), k)]))
     return c
 
 
 def centroid_graph(c: np.ndarray) -> list[list[int]]:
     """For each centroid its nearest others, those it is nearest to, and the next by number, so that all connect."""
     near, some = [], min(LINKS, len(c) - 1)
-    for lo in range(0, len(c), ROWS):
-        d = (c * c).sum(1) - 2 * c[lo : lo + ROWS] @ c.T
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-        near.append(np.argsort(d, 1, kind="stable")[:, :some])
+    for part in pieces(len(c), len(c)):
+        d = (c * c).sum(1) - 2 * c[part] @ c.T
+        d[np.arange(len(d)), np.arange(part.start, part.start + len(d))] = np.inf
+        near.append(np.argsort(d, 1, kind="stable")[:, :some].copy())
     near = np.concatenate(near)
     links = [{(i + 1) % len(c), *near[i].tolist()} for i in range(len(c))]
     for i, row in enumerate(near.tolist()):
@@ -146,30 +169,37 @@ def centroid_graph(c: np.ndarray) -> list[list[int]]:
     return [sorted(x) for x in links]
 
 
+def top_of_sample(x: np.ndarray, probe: np.ndarray, k: int) -> np.ndarray:
+    """For each probe (a place in ``x``) the places of its k nearest others, by a block of rows at a time; ties to the first."""
+    asked, best, top = x[probe].astype(np.float64), np.zeros((len(probe), 0)), np.zeros((len(probe), 0), np.int64)
+    for part in pieces(len(x), len(probe)):
+        score = asked @ x[part].astype(np.float64).T
+        at = np.broadcast_to(np.arange(part.start, part.start + score.shape[1]), score.shape)
+        score[at == probe[:, None]] = -np.inf
+        score, at = np.hstack([best, score]), np.hstack([top, at])
+        first = np.argsort(-score, 1, kind="stable")[:, :k]
+        best, top = np.take_along_axis(score, first, 1), np.take_along_axis(at, first, 1)
+    return top
+
+
 def fit(rows: DataFrame, k: int) -> Lists:
     """Fit centroids, graph and ratio on a bounded sample of ``rows`` (vec_id, embedding)."""
     norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     n, radius = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(norm), F.lit(1.0))).first()
     lists = max(1, min(MAX_LISTS, n // PER_LIST))
     share = min(1.0, PER_CENTROID * lists / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect()
-    drawn.sort(key=lambda r: r["vec_id"])
-    x = np.array([r["embedding"] for r in drawn], np.float64) if drawn else np.zeros((0, 1))
-    ids = np.array([r["vec_id"] for r in drawn])
+    x, ids = sampled(rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
     lists = max(1, min(lists, len(x) // 4))
     made = Lists(np.zeros((1, 1)), [[0]], radius * (1 + 1e-9), x, ids)
     if not len(x):
         return made
-    lifted = made.lifted(x)
-    made.centroids = balanced_centroids(lifted, lists)
+    made.centroids = balanced_centroids(x, made.lifted, lists)
     made.links = centroid_graph(made.centroids)
     probe = np.arange(0, len(x), max(1, len(x) // 200))
     asked = made.lifted(x[probe])
     asked[:, -1] = 0
-    score = x[probe] @ x.T
-    score[np.arange(len(probe)), probe] = -np.inf
     # the k nearest of all rows are about as near as this many of the sample
-    top = np.argsort(-score, 1)[:, : max(1, min(-(-k * len(x) // n), len(x) - 1))]
+    top = top_of_sample(x, probe, max(1, min(-(-k * len(x) // n), len(x) - 1)))
     (row, place), near = made.assign(x)
     d = made.distances(asked)
     relative = d / np.maximum(d.min(1, keepdims=True), 1e-12)
@@ -178,10 +208,24 @@ def fit(rows: DataFrame, k: int) -> Lists:
     lists_of = made.sample_lists[top]
     cost = np.where(lists_of >= 0, np.take_along_axis(relative, np.maximum(lists_of, 0).reshape(len(probe), -1), 1).reshape(lists_of.shape), np.inf).min(2)
     made.ratio = float(np.quantile(cost, TARGET_RECALL, method="higher")) * (1 + 1e-9)
-    made.sample, made.sample_ids, made.sample_lists = x[:BOUNDING], ids[:BOUNDING], made.sample_lists[:BOUNDING]
+    made.sample, made.sample_ids, made.sample_lists = x[:BOUNDING].astype(np.float64), ids[:BOUNDING].copy(), made.sample_lists[:BOUNDING].copy()
     return made
 
 
+def sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and vec_ids of ``rows``, ordered by vec_id; they come as Arrow columns, never as Python values."""
+    told = rows.select("vec_id", "embedding").toArrow()
+    if not len(told):
+        return np.zeros((0, 1)), np.array([])
+    ids = np.array(told["vec_id"].to_pylist())
+    order = np.argsort(ids, kind="stable")
+    return np.concatenate([matrix(c, real_of(rows)) for c in told["embedding"].chunks if len(c)])[order], ids[order]
+
+
+def real_of(rows: DataFrame) -> type:
+    return np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
+
+
 def bins_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each list its first bin, and the number of bins it is split into; small neighbouring lists share a bin."""
     first, parts, at, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
@@ -205,11 +249,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = cut(rows.where(F.size("embedding") == (size["n"] if size else 0)))
     lists = fit(rows, k)
     sent = spark.sparkContext.broadcast(lists)
-    kinds = dict(rows.dtypes)
-    id_type, real = kinds["vec_id"], np.float32 if kinds["embedding"] == "array<float>" else np.float64
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    id_type, real = dict(rows.dtypes)["vec_id"], real_of(rows)
 
     def packed(x: np.ndarray) -> pa.Array:
         return pa.array([v.tobytes() for v in x.astype(real)], pa.binary())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -244,6 +245,33 @@ def test_lists_are_packed_into_bins(monkeypatch):
     assert first.tolist() == [0, 0, 1, 1, 2, 5, 5, 6] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
 
 
+def test_driver_holds_blocks_of_distances(spark):
+    """The sample comes as Arrow columns, and the driver never holds all of its distances to the centroids."""
+    parts = [F.sin(F.xxhash64("id", F.lit(i)).cast("double")).cast("float") for i in range(8)]
+    rows = spark.range(100_000).select(F.col("id").alias("vec_id"), F.array(*parts).alias("embedding"))
+    ann.fit(rows.limit(500), 20)  # imports
+    tracemalloc.start()
+    lists = ann.fit(rows, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lists.centroids) == 1000 and peak < 8 * 16_000 * 1000 / 2  # half of all distances, 64 MB
+
+
+def test_blocks_of_distances_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(1500)], "vec_id bigint, embedding array<double>").cache()
+    want = ann.fit(rows, 20)
+    monkeypatch.setattr(ann, "CELLS", 600)
+    got = ann.fit(rows, 20)
+    assert got.links == want.links and got.ratio == pytest.approx(want.ratio, abs=1e-9) and np.allclose(got.centroids, want.centroids)
+    assert np.array_equal(got.sample, want.sample) and np.array_equal(got.sample_ids, want.sample_ids) and np.array_equal(got.sample_lists, want.sample_lists)
+    # the nearest of the sample, against all scores at once
+    x, probe = want.sample, np.arange(0, len(want.sample), 3)
+    score = x[probe] @ x.T
+    score[np.arange(len(probe)), probe] = -np.inf
+    assert np.array_equal(ann.top_of_sample(x, probe, 7), np.argsort(-score, 1, kind="stable")[:, :7])
+
+
 def test_the_loss_mask_covers_learned_texts(spark):
     rows = [(1, t, ("user", "assistant", "system")[t % 3], f"text {t} </turn> é" * (t % 4)) for t in range(150)] + [(2, 0, "user", "only")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), chat.text_parts(F.col("text")))
