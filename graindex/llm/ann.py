@@ -218,8 +218,15 @@ def sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not len(told):
         return np.zeros((0, 1)), np.array([])
     ids = np.array(told["vec_id"].to_pylist())
-    order = np.argsort(ids, kind="stable")
-    return np.concatenate([matrix(c, real_of(rows)) for c in told["embedding"].chunks if len(c)])[order], ids[order]
+    order, x, lo = np.argsort(ids, kind="stable"), None, 0
+    place = np.argsort(order)
+    for c in told["embedding"].chunks:  # straight to their places, so that the sample is held twice at most
+        if len(c):
+            part = matrix(c, real_of(rows))
+            x = np.empty((len(ids), part.shape[1]), part.dtype) if x is None else x
+            x[place[lo : lo + len(c)]] = part
+            lo += len(c)
+    return x, ids[order]
 
 
 def real_of(rows: DataFrame) -> type:
