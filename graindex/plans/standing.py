@@ -140,8 +140,8 @@ def range_best_fit_many(spark: SparkSession, sf: str) -> DataFrame:
     boxes = part.select(F.col("p_partkey").alias("name"), (F.col("p_retailprice") * 20).alias("p_lo"), (F.col("p_retailprice") * 20 + F.col("p_size") * 60).alias("p_hi"), size.alias("q_lo"), (size + 6).alias("q_hi"))
     items = lines.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("line"), F.col("l_extendedprice").alias("p"), F.when(F.col("l_linenumber") < 6, F.col("l_quantity")).alias("q"))
     got = R.best_fit(items, "line", boxes, ["p", "q"], "name")
-    got = got.groupBy("line.l_orderkey", "line.l_linenumber", "line.l_partkey", "name", "inside", "off").agg(F.count(F.lit(1)).alias("n"))
-    return got.withColumn("off", F.round("off", 6))
+    off = F.round("off", 6).alias("off")
+    return got.groupBy("line.l_orderkey", "line.l_linenumber", "line.l_partkey", "name", "inside", off).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey LIMIT 200 OFFSET (SELECT count(*) * 4 // 5 FROM lineitem)")

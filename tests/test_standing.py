@@ -276,6 +276,24 @@ def test_many_boxes_equal_brute_force(spark, monkeypatch, many, chunk, items):
     assert all(g[3] == w[3] or g[3] == pytest.approx(w[3]) for g, w in zip(got, want, strict=True))
 
 
+def test_items_are_not_shuffled_to_many_boxes(spark, monkeypatch):
+    """Items of many values are searched where they are read, in one or more blocks, whatever boxes tie between these."""
+    for name, value in (("SAME", 0), ("SMALL", 0), ("CHUNK", 2), ("BLOCK", 70), ("HELD", 1), ("GATHERED", 100)):
+        monkeypatch.setattr(boxes, name, value, raising=False)
+    rng = random.Random(5)
+    end = lambda: (None, None) if rng.random() < 0.2 else (lambda lo: (lo, lo + rng.choice([0.0, 1.0, 4.0])))(float(rng.randint(-6, 6)))
+    ranges = [(f"b{rng.random()}", *end(), *end()) for _ in range(400)]
+    rows = [(i, rng.choice([None, float(rng.randint(-9, 9))]), rng.choice([None, rng.gauss(0, 4)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    held = spark.createDataFrame(ranges, "name string, a_lo double, a_hi double, b_lo double, b_hi double")
+    out = relational.best_fit(df, "id", held, ["a", "b"], "name")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in out.collect())
+    want = [(r[0], *plain_fit(r[1:], ranges, 2)) for r in rows]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] == w[3] or g[3] == pytest.approx(w[3]) for g, w in zip(got, want, strict=True))
+
+
 def test_wide_components_equal_the_matrix(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     want, got = features.principal_components(df, "embedding", 4), features.wide_components(df, "embedding", 64, 4)
